@@ -148,9 +148,11 @@ def association_candidates(
 
     lists = spatial.shape_lists(shapes, dense, "detection_id", "class_name", "bbox")
     nearest = F.slice(F.array_sort(F.transform("shapes", by_center)), 1, k)
+    # explode keeps the choice in a step of its own; as a plain column it would be copied into each use
+    first = F.slice(F.array_sort(F.transform(nearest, by_edge)), 1, 1)
     sparse = (
         points.join(lists, "drawing_id")
-        .withColumn("best", F.array_min(F.transform(nearest, by_edge)))
+        .select("*", F.explode(first).alias("best"))
         .where(F.col("best.edge") <= F.col("limit"))
     )
     if obstacles:
@@ -236,8 +238,7 @@ def nearest_shape(
 
     sparse = (
         points.join(lists, "drawing_id")
-        .withColumn("near", F.array_min(F.transform("shapes", ranked)))
-        .drop("shapes")
+        .select(*points.columns, F.explode(F.array(F.array_min(F.transform("shapes", ranked)))).alias("near"))
         .select(*points.columns, "near.*")
     )
     big = None

@@ -16,8 +16,10 @@ def guarded(value: Column) -> Column:
     return F.when(risky, F.concat(F.lit("'"), text)).otherwise(text)
 
 
-def _float(value: Column) -> Column:
-    return F.when(value.isNull(), F.lit("")).otherwise(F.format_string("%.4f", value))
+def fixed(value: Column, digits: int = 4) -> Column:
+    """Fixed number of decimals, halves of the exact binary value to even; empty for null."""
+    text = F.replace(F.format_number(value.cast("double"), digits), F.lit(","), F.lit(""))
+    return F.coalesce(text, F.lit(""))
 
 
 def export_summary(
@@ -42,7 +44,7 @@ def export_summary(
     return joined.select(
         "drawing_id", "source_file",
         F.date_format("processing_timestamp", "yyyy-MM-dd HH:mm:ss").alias("processing_timestamp"),
-        _float(F.col("overall_confidence")).alias("overall_confidence"),
+        fixed(F.col("overall_confidence")).alias("overall_confidence"),
         "needs_review", "status", zero("entity_count"), zero("detection_count"), zero("association_count"),
         no("has_part_number"), no("has_title_block"), zero("review_flag_count"),
     )
@@ -56,7 +58,7 @@ def export_entities(entities: DataFrame, drawings: DataFrame) -> DataFrame:
     return _with_source(entities, drawings).select(
         "drawing_id", "source_file", "entity_id", "entity_type",
         guarded(F.col("value")).alias("value"), guarded(F.col("original_text")).alias("original_text"),
-        _float(F.col("confidence")).alias("confidence"), "extraction_method",
+        fixed(F.col("confidence")).alias("confidence"), "extraction_method",
         *[F.col(f"bbox.{p}").alias(f"bbox_{p}") for p in ("x", "y", "width", "height")],
     )
 
@@ -64,10 +66,10 @@ def export_entities(entities: DataFrame, drawings: DataFrame) -> DataFrame:
 def export_detections(detections: DataFrame, drawings: DataFrame) -> DataFrame:
     return _with_source(detections, drawings).select(
         "drawing_id", "source_file", "detection_id", "class_name",
-        _float(F.col("confidence")).alias("confidence"),
+        fixed(F.col("confidence")).alias("confidence"),
         *[F.col(f"bbox.{p}").alias(f"bbox_{p}") for p in ("x", "y", "width", "height")],
         *[
-            _float(F.col(f"bbox_normalized.{p}")).alias(f"bbox_norm_{p}")
+            fixed(F.col(f"bbox_normalized.{p}")).alias(f"bbox_norm_{p}")
             for p in ("x_center", "y_center", "width", "height")
         ],
     )
@@ -76,8 +78,8 @@ def export_detections(detections: DataFrame, drawings: DataFrame) -> DataFrame:
 def export_associations(associations: DataFrame, drawings: DataFrame) -> DataFrame:
     return _with_source(associations, drawings).select(
         "drawing_id", "source_file", "association_id", "text_id", F.col("detection_id").alias("shape_id"),
-        "relationship_type", _float(F.col("confidence")).alias("confidence"),
-        _float(F.col("distance_pixels")).alias("distance_pixels"),
+        "relationship_type", fixed(F.col("confidence")).alias("confidence"),
+        fixed(F.col("distance_pixels")).alias("distance_pixels"),
     )
 
 

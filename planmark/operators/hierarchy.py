@@ -77,8 +77,10 @@ def containment_pairs(detections: DataFrame, dense_limit: int = spatial.DENSE_LI
     )
     sparse = (
         shapes.join(spatial.shape_lists(shapes, dense, "detection_id", "bbox"), "drawing_id")
-        .withColumn("parent", F.array_min(F.transform(holders, lambda s: rank(s["bbox"], s["detection_id"]))))
-        .where(F.col("parent").isNotNull())
+        .select(
+            "drawing_id", "detection_id",
+            F.explode(F.slice(F.array_sort(F.transform(holders, lambda s: rank(s["bbox"], s["detection_id"]))), 1, 1)).alias("parent"),
+        )
         .select("drawing_id", "detection_id", F.col("parent.id").alias("parent_id"))
     )
     big = None

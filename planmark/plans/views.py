@@ -236,3 +236,25 @@ def with_views(body: str, **extra: str) -> str:
     ctes = {**SQL, **extra}
     listed = ",\n".join(f"{name} AS ({text})" for name, text in ctes.items())
     return f"WITH RECURSIVE {listed}\n{body}"
+
+
+# Associations in SQL, shared by many oracles. ``cnd`` has no obstacle test and no confidence cut.
+SQL |= {
+    "tk": r"""SELECT *, x+w/2.0::DOUBLE AS px, y+h/2.0::DOUBLE AS py, CASE WHEN kind = 'dimension' THEN 500 ELSE 200 END AS lim FROM (
+        SELECT *, CASE WHEN regexp_matches(content, '\d+\.?\d*\s*(mm|cm|in|inch|")') THEN 'dimension'
+          WHEN length(content) <= 10 AND regexp_full_match(replace(content,' ',''), '\p{L}+') THEN 'label' ELSE 'note' END AS kind FROM txt)""",
+    "prs": """SELECT t.text_id, t.drawing_id, t.kind, t.lim, t.px, t.py, t.w AS tw, t.h AS th, d.detection_id, d.class_name, d.x, d.y, d.w, d.h,
+        sqrt(power(d.x+d.w/2.0::DOUBLE-px,2)+power(d.y+d.h/2.0::DOUBLE-py,2)) AS center,
+        CASE WHEN px BETWEEN d.x AND d.x+d.w AND py BETWEEN d.y AND d.y+d.h THEN least(px-d.x, d.x+d.w-px, py-d.y, d.y+d.h-py)
+          ELSE sqrt(power(greatest(d.x-px,0,px-d.x-d.w),2)+power(greatest(d.y-py,0,py-d.y-d.h),2)) END AS edge
+        FROM tk t JOIN det d USING (drawing_id)""",
+    "cnd": """SELECT *, greatest(0, least(1, (0.5*exp(-3*least(edge/lim,1)) + 0.2*least(1, least(tw*th,w*h)/greatest(tw*th,w*h)::DOUBLE+0.5)
+          + 0.15*CASE WHEN abs(py-y)<20 OR abs(py-y-h)<20 OR abs(px-x)<20 OR abs(px-x-w)<20 THEN 1 ELSE 0.5 END
+          + 0.15*CASE kind WHEN 'dimension' THEN 1 WHEN 'label' THEN CASE WHEN class_name IN ('bolt','nut','screw','gear','bearing') THEN 1 ELSE 0.7 END ELSE 0.6 END)
+          * CASE kind WHEN 'dimension' THEN 0.9 WHEN 'label' THEN 1.0 ELSE 0.8 END))::DOUBLE AS confidence
+        FROM (SELECT * FROM (SELECT * FROM prs QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY center, detection_id) <= 5)
+          QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY edge, center, detection_id) = 1) WHERE edge <= lim""",
+    "clear": """SELECT * FROM cnd c WHERE NOT EXISTS (SELECT 1 FROM det o WHERE o.drawing_id = c.drawing_id AND o.detection_id <> c.detection_id
+        AND floor((c.px + c.x + c.w/2.0::DOUBLE)/2) BETWEEN o.x AND o.x+o.w AND floor((c.py + c.y + c.h/2.0::DOUBLE)/2) BETWEEN o.y AND o.y+o.h)""",
+    "asc_": """SELECT text_id, drawing_id, detection_id, kind AS relationship_type, confidence, edge AS distance_pixels FROM clear WHERE confidence >= 0.6""",
+}
