@@ -183,7 +183,7 @@ def confidence_histogram(drawings: DataFrame, bins: int = 20) -> DataFrame:
         .agg(F.sum("n").alias("n"))
     )
     return (
-        edges.select(F.explode(F.sequence(F.lit(1), F.lit(bins))).cast("bigint").alias("bin"), "low", "high")
+        edges.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))).alias("bin"), "low", "high")
         .join(placed, "bin", "left")
         .select(
             "bin",

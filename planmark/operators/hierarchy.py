@@ -41,7 +41,8 @@ def root_component(detections: DataFrame, associations: DataFrame) -> DataFrame:
     farthest = placed.groupBy("drawing_id").agg(F.max("off").alias("max_off"))
     share = lambda part, whole: F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
     central = F.when(F.col("max_off") > 0, 1.0 - F.col("off") / F.col("max_off")).otherwise(0.0)
-    score = share("area", "max_area") * 0.5 + share("links", "max_links") * 0.3 + central * 0.2
+    # to 12 decimals: the order in which a mean is summed decides the last bits, and so a tie
+    score = F.round(share("area", "max_area") * 0.5 + share("links", "max_links") * 0.3 + central * 0.2, 12)
     return (
         placed.join(farthest, "drawing_id")
         .withColumn("score", score)
@@ -148,10 +149,13 @@ def assembly_edges(
     """Containment first, then fastening, then what is left hangs on the root.
 
     A fastener that fastens something lies in no box and is no part of another, so no cycle can
-    arise: a child is always smaller in (area, id), or is no fastener, or is an orphan.
+    arise: a child is always smaller in (area, id), or is no fastener, or is an orphan. Each step
+    decides what is left for the next one, so the pairs of a step are written once and read
+    several times.
     """
+    roots = cut_lineage(roots)
     root_ids = roots.select(F.col("root_id").alias("detection_id"))
-    contained = containment_pairs(detections, dense_limit).join(root_ids, "detection_id", "left_anti")
+    contained = cut_lineage(containment_pairs(detections, dense_limit).join(root_ids, "detection_id", "left_anti"))
     inside = contained.select(
         "drawing_id", "parent_id", F.col("detection_id").alias("child_id"),
         F.lit("contains").alias("relationship"), F.lit(0.9 * 0.95).alias("confidence"),
@@ -161,7 +165,9 @@ def assembly_edges(
         .join(contained.select("detection_id"), "detection_id", "left_anti")
         .select("drawing_id", "detection_id")
     )
-    links = fastener_links(detections, reach, dense_limit).join(free.select("detection_id"), "detection_id", "left_semi")
+    links = cut_lineage(
+        fastener_links(detections, reach, dense_limit).join(free.select("detection_id"), "detection_id", "left_semi")
+    )
     per_fastener = links.groupBy("detection_id").agg(F.count("*").alias("n"), F.avg("distance").alias("d"))
     base = F.when(F.col("n") >= 2, 0.8).otherwise(0.8 * 0.8)
     confidence = F.greatest(F.lit(0.3), F.least(F.lit(1.0), base * (1.0 - F.col("d") / reach * 0.2)))
@@ -189,7 +195,7 @@ def hierarchy_tree(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPT
     so the plan stays flat and lost executors cost one level. A node already on its own path is
     cut, and nothing below ``max_depth`` is followed.
     """
-    links = edges.select("parent_id", "child_id", "relationship")
+    links = cut_lineage(edges.select("parent_id", "child_id", "relationship"))
     kind = dict(roots.dtypes)["root_id"]
     level = roots.select(
         "drawing_id",

@@ -158,8 +158,12 @@ def routing_scores(profiles: DataFrame, partial_credit: float = 0.3, weights: di
 
 
 def weakest_dimension(scores: DataFrame) -> DataFrame:
-    """Lowest of the five scores, ties by name, and the stage that would improve it."""
-    pairs = F.array(*[F.struct(F.col(n).alias("score"), F.lit(n).alias("name")) for n in ref.DIMENSION_TO_STAGE])
+    """Lowest of the five scores, ties by name, and the stage that would improve it.
+
+    Scores are compared to 12 decimals, since the order of a sum decides the last bits.
+    """
+    score = lambda name: F.round(F.col(name), 12).alias("score")
+    pairs = F.array(*[F.struct(score(n), F.lit(n).alias("name")) for n in ref.DIMENSION_TO_STAGE])
     mapping = F.create_map(*[F.lit(part) for pair in ref.DIMENSION_TO_STAGE.items() for part in pair])
     return (
         scores.withColumn("w", F.array_min(pairs))

@@ -8,6 +8,7 @@ from planmark.operators import hierarchy, view_groups
 from planmark.operators.associate import associate_text_shapes
 from planmark.plans.helpers import tidy
 from planmark.plans.registry import registry
+from planmark.session import cut_lineage
 from planmark.plans.views import Views, with_views
 
 Q, SQL, register = registry()
@@ -42,7 +43,8 @@ def _edges(v: Views) -> DataFrame:
 
 
 def _tree(v: Views) -> DataFrame:
-    return hierarchy.hierarchy_tree(_edges(v), _roots(v))
+    roots = cut_lineage(_roots(v))
+    return hierarchy.hierarchy_tree(hierarchy.assembly_edges(v.detections, roots), roots)
 
 
 @register(

@@ -9,6 +9,7 @@ from planmark.operators.associate import associate_text_shapes
 from planmark.plans.helpers import tidy
 from planmark.plans.registry import registry
 from planmark.plans.spatial_plan import IOU
+from planmark.session import cut_lineage
 from planmark.plans.views import PAGE_HEIGHT, PAGE_WIDTH, Views, with_views
 
 Q, SQL, register = registry()
@@ -44,8 +45,8 @@ SCORES = """SELECT *, 0.2*ocr_quality + 0.35*entity_completeness + 0.25*shape_de
     CASE WHEN ns > 0 THEN 0.8*shp + 0.2*least(ns/5, 1) ELSE 0 END::DOUBLE AS shape_detection_quality, coalesce(pc, 0) AS critical_field_presence,
     CASE WHEN nt > 0 AND ns > 0 AND ne > 0 THEN 0.9 WHEN nt > 0 AND ne > 0 THEN 0.7 ELSE 0.5 END::DOUBLE AS data_consistency FROM prof)"""
 
-WEAK = """SELECT *, (list_sort([(critical_field_presence, 'critical_field_presence'), (data_consistency, 'data_consistency'), (entity_completeness, 'entity_completeness'),
-    (ocr_quality, 'ocr_quality'), (shape_detection_quality, 'shape_detection_quality')])[1])[2] AS weakest, least(critical_field_presence, data_consistency, entity_completeness, ocr_quality, shape_detection_quality) AS weakest_score FROM scr"""
+WEAK = """SELECT *, (list_sort([(round(critical_field_presence, 12), 'critical_field_presence'), (round(data_consistency, 12), 'data_consistency'), (round(entity_completeness, 12), 'entity_completeness'),
+    (round(ocr_quality, 12), 'ocr_quality'), (round(shape_detection_quality, 12), 'shape_detection_quality')])[1])[2] AS weakest, least(critical_field_presence, data_consistency, entity_completeness, ocr_quality, shape_detection_quality) AS weakest_score FROM scr"""
 
 
 def _associations(v: Views) -> DataFrame:
@@ -53,7 +54,9 @@ def _associations(v: Views) -> DataFrame:
 
 
 def _issues(v: Views) -> DataFrame:
-    return validate.all_validation_issues(v.drawings, v.text_blocks, v.detections, v.entities, _associations(v))
+    """Three rules read the associations and five the entities, so both are written once."""
+    entities, links = cut_lineage(v.entities), cut_lineage(_associations(v))
+    return validate.all_validation_issues(v.drawings, v.text_blocks, v.detections, entities, links)
 
 
 def _profile(v: Views) -> DataFrame:

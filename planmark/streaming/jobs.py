@@ -54,36 +54,42 @@ def review_alert_stream(drawings: DataFrame, lateness: str = "1 day") -> DataFra
 
 
 class DayBudget(StatefulProcessor):
-    """Budget decisions with the day's spend, tier and drawing totals as keyed state."""
+    """Budget decisions with the day's spend, tier and drawing totals as keyed state.
+
+    A timer clears a day once the watermark has passed its end, so state does not pile up.
+    """
 
     def __init__(self, daily: float, per_drawing: float, alert_share: float, drawing_type: str):
         self.limits = (daily, per_drawing, alert_share)
         self.drawing_type = drawing_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = 2 * 24 * 3600 * 1000
-        self.total = handle.getValueState("total", "spend double, tier int", ttlDurationMs=ttl)
-        self.drawings = handle.getMapState(
-            "drawings", f"drawing_id {self.drawing_type}", "spend double", ttlDurationMs=ttl
-        )
+        self.handle = handle
+        self.total = handle.getValueState("total", "spend double, tier int")
+        self.drawings = handle.getMapState("drawings", f"drawing_id {self.drawing_type}", "spend double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = cost.BudgetState(*self.limits)
         if self.total.exists():
             state.spend, state.tier = self.total.get()
+        else:
+            end = pd.Timestamp(key[0], tz="UTC") + pd.Timedelta(days=1)
+            self.handle.registerTimer(int(end.timestamp() * 1000))
         calls = pd.concat(list(rows)).sort_values(["timestamp", "usage_id"])
-        decisions = []
+        changed, decisions = set(), []
         for r in calls.itertuples(index=False):
-            who = (r.drawing_id,)
-            if r.drawing_id not in state.by_drawing and self.drawings.containsKey(who):
-                state.by_drawing[r.drawing_id] = self.drawings.getValue(who)[0]
-            before = state.by_drawing.get(r.drawing_id)
+            if r.drawing_id not in state.by_drawing:
+                who = (r.drawing_id,)
+                known = self.drawings.getValue(who)[0] if self.drawings.containsKey(who) else 0.0
+                state.by_drawing[r.drawing_id] = known
             decided = state.decide(
                 r.drawing_id, (r.cost_0, r.cost_1, r.cost_2), (r.model_0, r.model_1, r.model_2)
             )
-            if state.by_drawing.get(r.drawing_id) != before:
-                self.drawings.updateValue(who, (state.by_drawing[r.drawing_id],))
+            if decided[0]:
+                changed.add(r.drawing_id)
             decisions.append((r.day, r.usage_id, r.drawing_id, *decided))
+        for drawing in changed:
+            self.drawings.updateValue((drawing,), (state.by_drawing[drawing],))
         self.total.update((state.spend, state.tier))
         yield pd.DataFrame(
             decisions,
@@ -91,21 +97,31 @@ class DayBudget(StatefulProcessor):
                      "estimated_cost", "spend_before"],
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.total.clear()
+        self.drawings.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 def budget_stream(
-    calls: DataFrame, daily_budget: float = 50.0, per_drawing: float = 0.30, alert_share: float = 0.8
+    calls: DataFrame, daily_budget: float = 50.0, per_drawing: float = 0.30, alert_share: float = 0.8,
+    lateness: str = "2 days",
 ) -> DataFrame:
     """Decisions for arriving calls (``planned_calls`` of a usage stream)."""
     kinds = dict(calls.dtypes)
     schema = cost.DECISION.replace("usage_id bigint", f"usage_id {kinds['usage_id']}").replace(
         "drawing_id bigint", f"drawing_id {kinds['drawing_id']}"
     )
-    return calls.groupBy("day").transformWithStateInPandas(
-        statefulProcessor=DayBudget(daily_budget, per_drawing, alert_share, kinds["drawing_id"]),
-        outputStructType=schema, outputMode="Append", timeMode="ProcessingTime",
+    return (
+        calls.withWatermark("timestamp", lateness)
+        .groupBy("day")
+        .transformWithStateInPandas(
+            statefulProcessor=DayBudget(daily_budget, per_drawing, alert_share, kinds["drawing_id"]),
+            outputStructType=schema, outputMode="Append", timeMode="EventTime",
+        )
     )
 
 
