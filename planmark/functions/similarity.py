@@ -6,9 +6,10 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-block ratio 2·M/(a+b); call it only on pairs that survived a cheap filter."""
     return pd.Series(

@@ -94,11 +94,10 @@ def cost_report(
         )
     )
     sets = fine.groupingSets(
-        [["use_case"], ["provider"], ["model"], ["day"], []], "use_case", "provider", "model", "day"
-    ).agg(
-        F.grouping_id().alias("g"), F.sum("cost").alias("cost"), F.sum("calls").alias("calls"),
-        F.sum("tin").alias("tin"), F.sum("tout").alias("tout"), F.sum("images").alias("images"),
-    )
+        [["use_case"], ["provider"], ["model"], ["day"]], "use_case", "provider", "model", "day"
+    ).agg(F.grouping_id().alias("g"), F.sum("cost").alias("cost"), F.sum("calls").alias("calls"))
+    # an aggregate without keys gives its row of zeros for an empty range too
+    totals = fine.agg(*[F.sum(c).alias(c) for c in ("cost", "calls", "tin", "tout", "images")])
     pair = lambda section, name, value: F.struct(
         F.lit(section).alias("section"), name.alias("name"), value.cast("double").alias("value")
     )
@@ -118,13 +117,12 @@ def cost_report(
         F.when(F.col("g") == 0b0111, F.array(pair("use_case", F.col("use_case"), F.col("cost"))))
         .when(F.col("g") == 0b1011, F.array(pair("provider", F.col("provider"), F.col("cost"))))
         .when(F.col("g") == 0b1101, F.array(pair("model", F.col("model"), F.col("cost"))))
-        .when(
-            F.col("g") == 0b1110,
-            F.array(pair("day_cost", F.col("day"), F.col("cost")), pair("day_calls", F.col("day"), F.col("calls"))),
+        .otherwise(
+            F.array(pair("day_cost", F.col("day"), F.col("cost")), pair("day_calls", F.col("day"), F.col("calls")))
         )
-        .otherwise(whole)
     )
     parts = sets.select(F.explode(rows).alias("r")).select("r.*")
+    whole_rows = totals.select(F.explode(whole).alias("r")).select("r.*")
     per_drawing = fine.groupBy("drawing_id").agg(F.sum("cost").alias("cost"))
     top = (
         per_drawing.orderBy(F.col("cost").desc(), "drawing_id").limit(top_n)
@@ -134,7 +132,7 @@ def cost_report(
     mean = per_drawing.agg(F.coalesce(F.avg("cost"), F.lit(0.0)).alias("value")).select(
         F.lit("total").alias("section"), F.lit("mean_per_drawing").alias("name"), "value"
     )
-    return reduce(DataFrame.unionByName, [parts, top, mean])
+    return reduce(DataFrame.unionByName, [whole_rows, parts, top, mean])
 
 
 # ---- prices and budgets --------------------------------------------------------------------
