@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from planmark import reference as ref
+from planmark.session import cut_lineage
 
 ELEMENTS_PER_DOCUMENT = 10_000
 
@@ -90,22 +91,28 @@ def nested_documents(
 
     A drawing with more than ``elements`` rows in a list is spread over numbered parts by the
     digest of the row key, so no list outgrows a task and no row is lost. Missing lists are empty.
+    Only drawings that need several parts are listed, in a small table of known size.
     """
     parts = None
     for table, _ in children.values():
-        sizes = table.groupBy("drawing_id").agg(F.ceil(F.count("*") / elements).alias("need"))
+        sizes = (
+            table.groupBy("drawing_id").agg(F.ceil(F.count("*") / elements).cast("int").alias("need"))
+            .where(F.col("need") > 1)
+        )
         parts = sizes if parts is None else parts.unionByName(sizes)
-    needed = parts.groupBy("drawing_id").agg(F.max("need").cast("int").alias("parts"))
+    needed = cut_lineage(parts.groupBy("drawing_id").agg(F.max("need").alias("parts")))
+    one = F.coalesce("parts", F.lit(1))
     result = (
         drawings.join(needed, "drawing_id", "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
+        .withColumn("parts", one)
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )
     for name, (table, key) in children.items():
         row = F.struct(key, *[c for c in table.columns if c not in ("drawing_id", key)])
         listed = (
-            table.join(needed, "drawing_id")
-            .withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+            table.join(needed, "drawing_id", "left")
+            .withColumn("part", F.pmod(F.xxhash64(key), one).cast("int"))
+            .drop("parts")
             .groupBy("drawing_id", "part")
             .agg(F.array_sort(F.collect_list(row)).alias(name))
         )

@@ -57,7 +57,8 @@ def regex_entities(text_blocks: DataFrame, types: list[str] | None = None, stric
     hits = F.concat(*[_matches(F.col("content"), kind) for kind in kinds])
     found = text_blocks.withColumn("hit", F.explode(hits))
     kind = F.col("hit.entity_type")
-    keep = (kind != "DIMENSION") | units.dimension_value(F.col("hit.original_text")).isNotNull()
+    number = F.regexp_extract("hit.original_text", r"\d+\.?\d*", 0).try_cast("double")
+    keep = (kind != "DIMENSION") | number.isNotNull()
     if strict:
         keep = keep & ((kind != "PART_NUMBER") | F.col("hit.original_text").rlike(r"\d"))
     return _finish(found.where(keep), "regex")
@@ -94,7 +95,9 @@ def dictionary_entities(text_blocks: DataFrame, names: list[str] | DataFrame | N
     else:
         known = [name.lower() for name in (names or ref.OEM_NAMES)]
         hits = F.filter(F.array_distinct(tokens), lambda t: F.lower(t).isin(known))
-        found = text_blocks.withColumn("token", F.explode(hits))
+        # a plain substring test spares most blocks the split into tokens
+        likely = tx.contains_any(F.lower("content"), known)
+        found = text_blocks.where(likely).withColumn("token", F.explode(hits))
     first = (
         found.groupBy("drawing_id", "token")
         .agg(F.min_by(F.struct("text_id", "bbox"), F.struct("block_no", "text_id")).alias("block"))

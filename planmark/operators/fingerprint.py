@@ -39,6 +39,8 @@ def similar_hashes(hashed: DataFrame, threshold: float = 0.9, bands: int = 8) ->
     equal = bands - most
     if equal < 1:
         raise ValueError("threshold too low for the number of bands")
+    if 64 % bands:
+        raise ValueError("bands must divide 64")
     width = 64 // bands
     groups = hashed.groupBy("hash").agg(F.min("vec_id").alias("head"))
     members = (
@@ -47,21 +49,21 @@ def similar_hashes(hashed: DataFrame, threshold: float = 0.9, bands: int = 8) ->
         .select(F.col("head").alias("a"), F.col("vec_id").alias("b"), F.lit(1.0).alias("similarity"))
     )
     band = lambda h, i: F.shiftrightunsigned(h, width * i).bitwiseAND(F.lit((1 << width) - 1))
-    choices = list(combinations(range(bands), equal))
     keys = F.array(*[
         F.struct(
-            F.lit(n).alias("choice"),
+            F.array(*map(F.lit, choice)).alias("choice"),
             F.xxhash64(*[band(F.col("hash"), i) for i in choice]).alias("digest"),
         )
-        for n, choice in enumerate(choices)
+        for choice in combinations(range(bands), equal)
     ])
     keyed = groups.select("hash", "head", F.explode(keys).alias("k")).select("hash", "head", "k.*")
     other = keyed.select(F.col("hash").alias("hash2"), F.col("head").alias("head2"), "choice", "digest")
     apart = F.col("hash").bitwiseXOR(F.col("hash2"))
-    same = lambda i: band(apart, i) == 0
-    first = F.coalesce(
-        *[F.when(_all([same(i) for i in choice]), F.lit(n)) for n, choice in enumerate(choices)]
+    band_of_difference = lambda i: F.call_function("shiftrightunsigned", apart, i * width).bitwiseAND(
+        F.lit((1 << width) - 1)
     )
+    equal_bands = F.filter(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: band_of_difference(i) == 0)
+    first = F.slice(equal_bands, 1, equal)
     pairs = (
         keyed.join(other, ["choice", "digest"])
         .where((F.col("head") < F.col("head2")) & (F.bit_count(apart) <= most) & (F.col("choice") == first))
@@ -72,9 +74,3 @@ def similar_hashes(hashed: DataFrame, threshold: float = 0.9, bands: int = 8) ->
     )
     return members.unionByName(pairs)
 
-
-def _all(conditions: list[Column]) -> Column:
-    result = conditions[0]
-    for condition in conditions[1:]:
-        result = result & condition
-    return result

@@ -19,11 +19,12 @@ MAX_DEPTH = 50
 def root_component(detections: DataFrame, associations: DataFrame) -> DataFrame:
     """Best of size·0.5 + associations·0.3 + centrality·0.2 per drawing, ties by smaller id.
 
-    Three small per-drawing aggregates in place of windows, so a large drawing stays spread out.
+    Small per-drawing aggregates in place of windows, so a large drawing stays spread out. The slim
+    shape rows with their association counts are written once and read three times.
     """
     counts = association_counts(associations).select("detection_id", "associations")
     x, y = bb.center_x(F.col("bbox")), bb.center_y(F.col("bbox"))
-    sized = (
+    sized = cut_lineage(
         detections.select(
             "drawing_id", "detection_id", "class_name", x.alias("cx"), y.alias("cy"), bb.area(F.col("bbox")).alias("area")
         )

@@ -126,61 +126,73 @@ def critical_field_issues(drawings: DataFrame, entities: DataFrame, enforce_mate
     )
 
 
-def overlapping_entities(
-    entities: DataFrame, text_blocks: DataFrame, min_iou: float = 0.3, dense_limit: int = spatial.DENSE_LIMIT
+def overlapping_blocks(
+    text_blocks: DataFrame, min_iou: float = 0.3, dense_limit: int = spatial.DENSE_LIMIT
 ) -> DataFrame:
-    """Entities of different type whose source boxes overlap by more than ``min_iou``, each pair once.
-
-    Boxes are compared per text block, not per entity: entities of one block share one box.
-    """
-    kinds = F.col("entity_type")
-    blocks = text_blocks.select(F.col("text_id").alias("source_text_id"), F.col("bbox").alias("box"))
-    placed = entities.join(blocks, "source_text_id").select(
-        "drawing_id", "entity_id", "entity_type", F.col("source_text_id").alias("text_id"), "box"
-    )
-    dense = spatial.dense_drawings(placed, dense_limit)
+    """Text blocks of a drawing that overlap by more than ``min_iou``, each pair once,
+    and each block with itself."""
+    blocks = text_blocks.select("drawing_id", "text_id", F.col("bbox").alias("box"))
+    dense = spatial.dense_drawings(blocks, dense_limit)
     packed = (
-        spatial.without_dense(placed, dense)
+        spatial.without_dense(blocks, dense)
         .groupBy("drawing_id")
-        .agg(F.collect_list(F.struct("entity_id", "entity_type", "box")).alias("others"))
+        .agg(F.collect_list(F.struct("text_id", "box")).alias("others"))
+    )
+    hits = F.filter(
+        F.transform(
+            F.filter("others", lambda o: F.col("text_id") <= o["text_id"]),
+            lambda o: F.struct(o["text_id"].alias("other_text"), bb.iou(F.col("box"), o["box"]).alias("overlap")),
+        ),
+        lambda o: o["overlap"] > min_iou,
     )
-    a, b = F.col("box"), F.col("o.box")
     sparse = (
-        spatial.without_dense(placed, dense)
+        spatial.without_dense(blocks, dense)
         .join(packed, "drawing_id")
-        .withColumn(
-            "o",
-            F.explode(
-                F.filter(
-                    "others",
-                    lambda o: (F.col("entity_id") < o["entity_id"])
-                    & (kinds != o["entity_type"])
-                    & (bb.iou(F.col("box"), o["box"]) > min_iou),
-                )
-            ),
-        )
-        .select(
-            "drawing_id", "entity_id", "entity_type", F.col("o.entity_id").alias("other_id"),
-            F.col("o.entity_type").alias("other_type"), bb.iou(a, b).alias("overlap"),
-        )
+        .select("drawing_id", "text_id", F.explode(hits).alias("o"))
+        .select("drawing_id", "text_id", "o.*")
     )
     big = None
     if dense is not None:
-        some = spatial.only_dense(placed, dense)
-        other = some.select(
-            "drawing_id", F.col("entity_id").alias("other_id"), F.col("entity_type").alias("other_type"),
-            F.col("box").alias("other_box"),
-        )
+        some = spatial.only_dense(blocks, dense)
+        other = some.select("drawing_id", F.col("text_id").alias("other_text"), F.col("box").alias("other_box"))
         big = (
             spatial.overlap_join(some, other, "box", "other_box")
-            .where((F.col("entity_id") < F.col("other_id")) & (kinds != F.col("other_type")))
-            .withColumn("overlap", bb.iou(a, F.col("other_box")))
+            .where(F.col("text_id") <= F.col("other_text"))
+            .select(
+                "drawing_id", "text_id", "other_text", bb.iou(F.col("box"), F.col("other_box")).alias("overlap")
+            )
             .where(F.col("overlap") > min_iou)
-            .select("drawing_id", "entity_id", "entity_type", "other_id", "other_type", "overlap")
         )
     return spatial.union_parts(sparse, big)
 
 
+def overlapping_entities(
+    entities: DataFrame, text_blocks: DataFrame, min_iou: float = 0.3, dense_limit: int = spatial.DENSE_LIMIT
+) -> DataFrame:
+    """Entities of different type whose source boxes overlap by more than ``min_iou``, each pair once.
+
+    Boxes are compared per text block, since the entities of one block share its box.
+    """
+    pairs = overlapping_blocks(text_blocks, min_iou, dense_limit)
+    slim = entities.select("entity_id", "entity_type", "source_text_id")
+    one = slim.select(F.col("source_text_id").alias("text_id"), F.struct("entity_id", "entity_type").alias("a"))
+    two = slim.select(F.col("source_text_id").alias("other_text"), F.struct("entity_id", "entity_type").alias("b"))
+    once = (F.col("text_id") != F.col("other_text")) | (F.col("a.entity_id") < F.col("b.entity_id"))
+    return (
+        pairs.join(one, "text_id")
+        .join(two, "other_text")
+        .where((F.col("a.entity_type") != F.col("b.entity_type")) & once)
+        .withColumn("first", F.least("a", "b"))
+        .withColumn("second", F.greatest("a", "b"))
+        .select(
+            "drawing_id",
+            F.col("first.entity_id").alias("entity_id"), F.col("first.entity_type").alias("entity_type"),
+            F.col("second.entity_id").alias("other_id"), F.col("second.entity_type").alias("other_type"),
+            "overlap",
+        )
+    )
+
+
 def overlap_issues(pairs: DataFrame) -> DataFrame:
     message = F.format_string(
         "Entities %s and %s have %.1f%% overlapping bounding boxes",

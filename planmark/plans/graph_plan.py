@@ -49,10 +49,10 @@ def _tree(v: Views) -> DataFrame:
 
 @register(
     "root_component",
-    with_views("SELECT drawing_id, root_id, root_class, round(score, 9) AS score FROM rts", rts=ROOTS),
+    with_views("SELECT drawing_id, root_id, root_class, round(score, 6) AS score FROM rts", rts=ROOTS),
 )
 def _(v: Views) -> DataFrame:
-    return tidy(_roots(v), 9)
+    return tidy(_roots(v))
 
 
 @register("assembly_edges", with_views("SELECT drawing_id, parent_id, child_id, relationship FROM edg", **PARTS))

@@ -11,6 +11,7 @@ from planmark.operators.associate import associate_text_shapes
 from planmark.plans.helpers import scratch, tidy
 from planmark.plans.registry import registry
 from planmark.plans.views import PAGE_HEIGHT, PAGE_WIDTH, Views, with_views
+from planmark.session import cut_lineage
 from planmark.sources import files, store
 
 Q, SQL, register = registry()
@@ -235,18 +236,15 @@ def _(v: Views) -> DataFrame:
         v.drawings,
         {
             "text_blocks": (v.text_blocks, "text_id"),
-            "entities": (v.entities, "entity_id"),
+            "entities": (cut_lineage(v.entities), "entity_id"),
             "detections": (v.detections, "detection_id"),
-            "associations": (associate_text_shapes(v.text_blocks, v.detections), "association_id"),
+            "associations": (cut_lineage(associate_text_shapes(v.text_blocks, v.detections)), "association_id"),
         },
     )
-    size = lambda name: F.json_array_length(F.get_json_object("document", f"$.{name}")).cast("bigint").alias(name)
-    return tidy(
-        documents.select(
-            "drawing_id", "part", F.get_json_object("document", "$.status").alias("status"),
-            *map(size, ("text_blocks", "entities", "detections", "associations")),
-        )
-    )
+    lists = ("text_blocks", "entities", "detections", "associations")
+    parsed = documents.select("drawing_id", "part", F.json_tuple("document", "status", *lists).alias("status", *lists))
+    size = lambda name: F.json_array_length(name).cast("bigint").alias(name)
+    return tidy(parsed.select("drawing_id", "part", "status", *map(size, lists)))
 
 
 # documents with one kind of fault each, by order priority and status
