@@ -394,7 +394,13 @@ def fuzzy_block_match(wanted: DataFrame, text_blocks: DataFrame, threshold: floa
     """
     from planmark.functions.similarity import ratio_similarity
 
-    blocks = text_blocks.select("drawing_id", "text_id", "block_no", "content")
+    # equal texts of a drawing are compared once: the first block stands for its copies
+    blocks = (
+        text_blocks.groupBy("drawing_id", "content")
+        .agg(F.min(F.struct("block_no", "text_id")).alias("first"))
+        .select("drawing_id", "content", "first.*")
+    )
+    texts = wanted.select("drawing_id", "text").distinct()
     pairs_of = lambda c: F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
     )
@@ -405,12 +411,12 @@ def fuzzy_block_match(wanted: DataFrame, text_blocks: DataFrame, threshold: floa
     pieces = F.when(
         piece >= 2, F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(2)))
     ).otherwise(pairs_of(F.col("text")))
-    asked = wanted.select("drawing_id", "wanted_id", "text", F.explode(F.array_distinct(pieces)).alias("pair"))
+    asked = texts.select("drawing_id", "text", F.explode(F.array_distinct(pieces)).alias("pair"))
     offered = blocks.select("*", F.explode(pairs_of(F.col("content"))).alias("pair"))
     total = F.length("text") + F.length("content")
     close = F.levenshtein(F.col("text"), F.col("content")) <= (1 - threshold) * total
     hit = asked.join(offered, ["drawing_id", "pair"]).where(F.col("content").contains(F.col("text")) | close)
-    candidates = hit.drop("pair").dropDuplicates(["wanted_id", "text_id"])
+    candidates = hit.drop("pair").dropDuplicates(["drawing_id", "text", "content"])
     exact = F.col("content").contains(F.col("text"))
     holding = candidates.where(exact).select("*", F.lit(1.0).alias("ratio"), F.lit(1).alias("exact"))
     similar = (
@@ -424,12 +430,17 @@ def fuzzy_block_match(wanted: DataFrame, text_blocks: DataFrame, threshold: floa
         F.when(F.col("exact") == 1, F.lit(0.0)).otherwise(F.col("ratio")).alias("rank"),
         (-F.col("block_no")).alias("first"),
     )
-    return (
+    best = (
         holding.unionByName(similar)
-        .groupBy("wanted_id", "drawing_id")
+        .groupBy("drawing_id", "text")
         .agg(
             F.max_by("text_id", order).alias("text_id"),
             F.max_by("ratio", order).alias("ratio"),
             F.max_by(F.col("exact") == 1, order).alias("exact"),
         )
     )
+    return (
+        wanted.select("wanted_id", "drawing_id", "text")
+        .join(best, ["drawing_id", "text"])
+        .select("wanted_id", "drawing_id", "text_id", "ratio", "exact")
+    )
