@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from planmark.shipping import ship_package
+
 
 def build_session(app: str = "planmark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume (UTC, adaptive execution)."""
@@ -23,17 +25,23 @@ def build_session(app: str = "planmark", master: str | None = None, **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a private one only where none is set."""
+    """The shared checkpoint folder named by the cluster; a private one only on a local master."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    target = configured or os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
+    if not configured:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
+    target = configured
     context.setCheckpointDir(target)
     return target
 
