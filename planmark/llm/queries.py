@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planmark.llm import bpe
+from planmark.llm import bpe, mixing
+from planmark.session import cut_lineage
 from planmark.plans.registry import registry
 
 Q, SQL, query = registry()
@@ -31,6 +32,76 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "op5_mix_sources",
+    r"""
+    WITH rows_ AS (
+      SELECT doc_id, source, md5(coalesce(text, '')) AS tid, coalesce(text, '') AS t,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+      FROM documents
+    ),
+    weighed AS (
+      SELECT doc_id, source, tid, size,
+             1.0::DOUBLE / (1.0::DOUBLE + 4.0::DOUBLE * len(regexp_extract_all(t, '[#*$%&|<>!]'))::DOUBLE
+                            / greatest(size, 1)::DOUBLE) AS w
+      FROM rows_
+    ),
+    sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM weighed GROUP BY source),
+    shares AS (
+      SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place,
+             [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS share
+      FROM sizes
+    ),
+    factors AS (
+      SELECT *, (source_size * 3)::DOUBLE / share::DOUBLE AS full_at,
+             (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (
+                ORDER BY (source_size * 3)::DOUBLE / share::DOUBLE, place
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+             / (sum(share) OVER (ORDER BY (source_size * 3)::DOUBLE / share::DOUBLE, place
+                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS factor
+      FROM shares
+    ),
+    goals AS (
+      SELECT source, source_size,
+             CASE WHEN factor <= full_at
+                  THEN least(max(CASE WHEN factor <= full_at THEN factor END) OVER () * share, (source_size * 3)::DOUBLE)
+                  ELSE (source_size * 3)::DOUBLE END AS target
+      FROM factors
+    ),
+    docs AS (
+      SELECT doc_id, source, tid, size, w, count(*) AS copies, size * count(*) AS total,
+             -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5)
+                 / 4503599627370496.0::DOUBLE) / w AS k
+      FROM weighed GROUP BY doc_id, source, tid, size, w
+    ),
+    summed AS (
+      SELECT d.*, g.source_size, g.target,
+             CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size)::BIGINT ELSE 0 END AS epochs,
+             sum(d.total) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, tid ROWS UNBOUNDED PRECEDING) AS prefix
+      FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+    ),
+    chosen AS (SELECT *, target - epochs * source_size AS rest, prefix <= target - epochs * source_size AS extra FROM summed),
+    remains AS (
+      SELECT *, rest - coalesce(sum(CASE WHEN extra THEN total END) OVER (PARTITION BY source), 0) AS remain FROM chosen
+    ),
+    last_ AS (
+      SELECT *, NOT extra AND total > 0 AND abs(total - remain) < remain AND row_number() OVER (
+               PARTITION BY source, (NOT extra AND total > 0 AND abs(total - remain) < remain)
+               ORDER BY abs(total - remain), k, doc_id NULLS FIRST, tid) = 1 AS closing
+      FROM remains
+    )
+    SELECT r.doc_id, l.size, l.source_size, l.target,
+           l.size * (l.epochs + CASE WHEN l.extra OR l.closing THEN 1 ELSE 0 END)::BIGINT AS taken
+    FROM rows_ r JOIN last_ l ON r.doc_id IS NOT DISTINCT FROM l.doc_id
+      AND r.source IS NOT DISTINCT FROM l.source AND r.tid = l.tid
+    """,
+)
+def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    measured = cut_lineage(mixing.measure(table(spark, folder, "documents")))
+    decided = mixing.with_plan(measured, mixing.plan_mix(measured))
+    return decided.select(F.col("m_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
     return dict(Q)
 
