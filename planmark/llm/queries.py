@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planmark.llm import bpe, mixing
+from planmark.llm import bpe, mixing, simhash
 from planmark.session import cut_lineage
 from planmark.plans.registry import registry
 
@@ -102,6 +102,12 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return decided.select(F.col("m_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query("op8_simhash_groups")
+def op8_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def queries() -> dict:
     return dict(Q)
 
