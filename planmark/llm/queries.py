@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planmark.llm import bpe, mixing, simhash
+from planmark.llm import bpe, langid, mixing, quality, simhash
 from planmark.session import cut_lineage
 from planmark.plans.registry import registry
 
@@ -108,6 +108,29 @@ def op8_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def remainder(divisor: int, doc_id: str = "doc_id"):
+    """crc32 of the id as text, modulo ``divisor``; null for a null id."""
+    return F.crc32(F.col(doc_id).cast("string")) % divisor
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = langid.train(documents, remainder(5) != 0)
+    found = langid.predict(documents.select("doc_id", "text"), model, reject=False)
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "accepted")
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    net = quality.train(documents, table(spark, folder, "labels"), remainder(3) != 1)
+    found = quality.score(documents.select("doc_id", "text"), net)
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return dict(Q)
 
