@@ -30,8 +30,8 @@ from planmark.llm.common import slices
 #: A leaf word of the bitmap has 2 to this power bits. The word above has a bit for each leaf.
 LEAF = 8
 LOW = (1 << LEAF) - 1
-#: Pre-tokens whose ids a worker process remembers (some 250 MB); beyond that it starts anew.
-REMEMBERED = 1_200_000
+#: Pre-tokens whose ids a worker process remembers (some 150 MB); beyond that it starts anew.
+REMEMBERED = 450_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
