@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planmark.llm import bpe, langid, mixing, quality, simhash
+from planmark.llm import bpe, langid, line_chunks, mixing, quality, simhash
 from planmark.session import cut_lineage
 from planmark.plans.registry import registry
 
@@ -32,6 +32,12 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_line_chunks")
+def op4_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return line_chunks.dedup_lines(documents, count="removed_chunks")
+
+
 @query(
     "op5_mix_sources",
     r"""
