@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planmark.llm import bpe, langid, line_chunks, mixing, quality, simhash
+from planmark.llm import bpe, decision_list, langid, line_chunks, mixing, quality, simhash
 from planmark.session import cut_lineage
 from planmark.plans.registry import registry
 
@@ -137,6 +137,14 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    rules = decision_list.train(documents, table(spark, folder, "labels"))
+    found = decision_list.judge(documents.select("doc_id", "text"), rules)
+    return found.select("doc_id", *decision_list.STATISTICS, "base_failed", "kept")
+
+
 def queries() -> dict:
     return dict(Q)
 
