@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planmark.llm import bpe, decision_list, langid, line_chunks, mixing, quality, simhash
-from planmark.session import cut_lineage
+from planmark.llm import bpe, decision_list, langid, line_chunks, mixing, quality, simhash, warc
+from planmark.session import cut_lineage, ensure_checkpoint_dir
 from planmark.plans.registry import registry
 
 Q, SQL, query = registry()
@@ -128,6 +130,34 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "accepted")
 
 
+@query(
+    "op6_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    d AS (
+      SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS x, body,
+             min(page_id) OVER (PARTITION BY body) AS first_id
+      FROM p
+    ),
+    bits AS (
+      SELECT *, list_transform(range(32), lambda i: (
+               (('0x' || substr(x, (i // 8 * 10 + 1)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)) AS fives
+      FROM d
+    )
+    SELECT page_id, payload_bytes,
+           list_aggregate(list_transform(fives, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v + 1)::INT, 1)),
+                          'string_agg', '') AS payload_digest,
+           CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+    FROM bits
+    """,
+)
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.resolve(warc.read_archives(spark, path))
+
+
 @query("op7_quality")
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
