@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planmark.llm import bpe, decision_list, langid, line_chunks, mixing, quality, simhash, warc
+from planmark.llm import bpe, decision_list, langid, line_chunks, mixing, quality, simhash, style_tree, warc
 from planmark.session import cut_lineage, ensure_checkpoint_dir
 from planmark.plans.registry import registry
 
@@ -175,6 +175,12 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *decision_list.STATISTICS, "base_failed", "kept")
 
 
+@query("op10_main_text")
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = style_tree.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict:
     return dict(Q)
 
