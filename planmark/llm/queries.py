@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planmark.llm import bpe, decision_list, langid, line_chunks, mixing, quality, simhash, style_tree, warc
+from planmark.llm import bpe, decision_list, langid, line_chunks, mixing, permutation_index, quality, simhash, style_tree, warc
 from planmark.session import cut_lineage, ensure_checkpoint_dir
 from planmark.plans.registry import registry
 
@@ -34,6 +34,11 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op2_permutation_neighbours")
+def op2_permutation_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return permutation_index.neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op4_line_chunks")
 def op4_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
