@@ -91,7 +91,8 @@ def tiles(classes: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def _close(mine: np.ndarray, other: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    near = np.bitwise_count(mine[:, None] ^ other[None, :]) <= radius
+    # unsigned: numpy counts the bits of a negative number's absolute value
+    near = np.bitwise_count(mine.view(np.uint64)[:, None] ^ other.view(np.uint64)[None, :]) <= radius
     if same:
         np.fill_diagonal(near, True)
     rows, columns = np.nonzero(near)
