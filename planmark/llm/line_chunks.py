@@ -7,7 +7,8 @@ that is not white space) that occur again anywhere, in this or another document,
 by document id and place; the others are removed after their bytes have been compared with it.
 
 Only digests and places of chunks are grouped. Texts move twice: once to hand over the bytes of
-repeated chunks, once to take the removals.
+repeated chunks, once to take the removals; both joins are merge joins at every size, as neither the
+lists nor the texts have a bound.
 
 Behaviour at the edges: a null text stays null and an empty one empty; a text whose chunks all occur
 earlier becomes empty; rows with equal id and text are one document and get one result; null ids come
@@ -116,7 +117,7 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         .select(F.col("c_id").alias("w_id"), F.col("c_text").alias("w_text"), "spans")
     )
     bodies = (
-        documents.join(wanted, F.col("c_id").eqNullSafe(F.col("w_id")) & (F.col("c_text") == F.col("w_text")))
+        documents.join(wanted.hint("merge"), F.col("c_id").eqNullSafe(F.col("w_id")) & (F.col("c_text") == F.col("w_text")))
         .withColumn("bodies", _called(_bodies, "array<string>", F.col("t"), F.col("spans")))
         .select("c_id", "c_text", F.explode(F.arrays_zip("spans", "bodies")).alias("p"))
         .select("c_id", "c_text", "p.spans.*", F.col("p.bodies").alias("body"))
@@ -142,7 +143,7 @@ def dedup_lines(
     )
     rows = df.withColumns({key_id: F.col(f"`{doc_id}`"), key_text: F.md5(text_of(text))})
     same = F.col(key_id).eqNullSafe(F.col(f"{key_id}_g")) & (F.col(key_text) == F.col(f"{key_text}_g"))
-    joined = rows.join(lost, same, "left").drop(f"{key_id}_g", f"{key_text}_g", key_id, key_text)
+    joined = rows.join(lost.hint("merge"), same, "left").drop(f"{key_id}_g", f"{key_text}_g", key_id, key_text)
     cleaned = {out or text: _called(_without, "string", F.col(f"`{text}`").cast("string"), F.col(spans))}
     if count:
         cleaned[count] = F.coalesce(F.size(spans), F.lit(0)).cast("long")
