@@ -30,8 +30,9 @@ from planmark.llm.common import slices
 #: A leaf word of the bitmap has 2 to this power bits. The word above has a bit for each leaf.
 LEAF = 8
 LOW = (1 << LEAF) - 1
-#: Pre-tokens whose ids a worker process remembers (some 150 MB); beyond that it starts anew.
-REMEMBERED = 450_000
+#: Pre-tokens whose ids a worker process remembers. When as many are new, those not met since go
+#: (some 200 MB for both generations).
+REMEMBERED = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -122,15 +123,21 @@ class Encoder:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.after_blank: dict[str, bytes] = {}  # ids of a pre-token that begins with a blank
         self.other: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # the same, not met of late
 
     def ids(self, text: str) -> bytes:
         """The ids as 32-bit numbers."""
         ranks, out = self.ranks, []
         for piece in self.find(text):
-            known, key = (self.after_blank, piece[1:]) if piece[0] == " " else (self.other, piece)
+            if piece[0] == " ":
+                known, older, key = self.after_blank, self.older[0], piece[1:]
+            else:
+                known, older, key = self.other, self.older[1], piece
             found = known.get(key)
             if found is None:
-                found = array("i", merge(piece.encode(), ranks)).tobytes()
+                found = older.get(key)
+                if found is None:
+                    found = array("i", merge(piece.encode(), ranks)).tobytes()
                 if len(piece) <= 64:
                     known[key] = found
             out.append(found)
@@ -138,8 +145,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if len(self.after_blank) + len(self.other) > REMEMBERED:
-            self.after_blank.clear()
-            self.other.clear()
+            self.older = (self.after_blank, self.other)
+            self.after_blank, self.other = {}, {}
         if "  " in text:
             return self.ids(text)
         head, *rest = text.split(" ")
