@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -11,6 +13,15 @@ from planmark import reference as ref
 
 UNICODE = "(?U)"  # Java \b \d \s cover Unicode only with this flag
 
+#: Every decimal digit beyond ASCII, by the Unicode tables, and the ASCII digit it stands for.
+_DIGITS = [chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+_VALUES = "".join(str(unicodedata.decimal(d)) for d in _DIGITS)
+
+
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of all scripts as 0 to 9, so that a cast reads them."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, "".join(_DIGITS), _VALUES)).otherwise(text)
+
 
 def normalize_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, UNICODE + r"\s+", " "))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from planmark import reference as ref
-from planmark.functions.text import UNICODE
+from planmark.functions.text import UNICODE, ascii_digits
 
 ALL_UNITS = {**ref.LENGTH_TO_MM, **ref.WEIGHT_TO_KG}
 
@@ -47,8 +47,8 @@ def to_kg(value: Column, unit: Column) -> Column:
 def dimension_value(text: Column) -> Column:
     """Struct (value, tolerance, unit, is_diameter, value_mm); null where no number is found."""
     group = lambda i: F.regexp_extract(text, UNICODE + ref.DIMENSION_VALUE_PATTERN, i)
-    value = group(2).try_cast("double")
-    tolerance = F.trim(F.replace(group(3), F.lit("±"), F.lit(""))).try_cast("double")
+    value = ascii_digits(group(2)).try_cast("double")
+    tolerance = F.trim(F.replace(ascii_digits(group(3)), F.lit("±"), F.lit(""))).try_cast("double")
     unit = detect_unit(F.nullif(group(4), F.lit("")))
     return F.when(
         value.isNotNull(),
@@ -65,7 +65,7 @@ def dimension_value(text: Column) -> Column:
 def weight_value(text: Column) -> Column:
     """Struct (value, unit, value_kg)."""
     group = lambda i: F.regexp_extract(text, UNICODE + ref.WEIGHT_VALUE_PATTERN, i)
-    value = group(1).try_cast("double")
+    value = ascii_digits(group(1)).try_cast("double")
     unit = F.lower(group(2))
     return F.when(
         value.isNotNull(),

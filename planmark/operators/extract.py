@@ -31,7 +31,7 @@ def _matches(text: Column, kind: str) -> Column:
     """Array of (kind, match, occurrence) structs."""
     pattern, confidence = ref.REGEX_LAYERS[kind]
     found = F.when(
-        text.rlike(_PREFILTER[kind]),
+        text.rlike(tx.UNICODE + _PREFILTER[kind]),
         F.regexp_extract_all(text, F.lit(tx.UNICODE + pattern), F.lit(0)),
     ).otherwise(F.array().cast("array<string>"))
     return F.transform(
@@ -57,7 +57,9 @@ def regex_entities(text_blocks: DataFrame, types: list[str] | None = None, stric
     hits = F.concat(*[_matches(F.col("content"), kind) for kind in kinds])
     found = text_blocks.withColumn("hit", F.explode(hits))
     kind = F.col("hit.entity_type")
-    number = F.regexp_extract("hit.original_text", r"\d+\.?\d*", 0).try_cast("double")
+    number = tx.ascii_digits(
+        F.regexp_extract("hit.original_text", tx.UNICODE + r"\d+\.?\d*", 0)
+    ).try_cast("double")
     keep = (kind != "DIMENSION") | number.isNotNull()
     if strict:
         keep = keep & ((kind != "PART_NUMBER") | F.col("hit.original_text").rlike(r"\d"))
@@ -314,12 +316,16 @@ def title_block_fields(marked: DataFrame, names: list[str] | None = None) -> Dat
 
     The texts of a drawing are never joined in memory. Part number and date hold no blank, so
     they lie inside one block. Scale and revision may start at the end of one block and go on in
-    the next, so each block is read together with the first word of the block that follows it.
+    the next, so each block is read together with the block that follows it. Blocks of blanks and
+    colons alone are passed over, however many stand between, as both patterns run across them.
     """
     title = marked.where(F.col("region_type") == "title_block").select(
         "drawing_id", "text_id", "block_no", "content"
     )
-    joined = following(title, ["drawing_id"], "block_no", "text_id", "content", "next_content")
+    speaks = F.coalesce(F.col("content").rlike(tx.UNICODE + r"[^:\s]"), F.lit(False))
+    joined = following(title.where(speaks), ["drawing_id"], "block_no", "text_id", "content", "next_content")
+    silent = title.where(~speaks).withColumn("next_content", F.lit(None).cast("string"))
+    joined = joined.unionByName(silent)
     own = F.col("content")
     pair = F.concat_ws(" ", own, F.col("next_content"))
 
@@ -390,8 +396,11 @@ def fuzzy_block_match(wanted: DataFrame, text_blocks: DataFrame, threshold: floa
     A ratio of at least ``threshold`` leaves at most (1-t)(a+b) insertions and deletions, so of
     that many plus one pieces of the text one survives whole in the block: the join runs on
     (drawing, leading pair of letters of a piece). Levenshtein, a lower bound of those edits,
-    thins the candidates before Python sees them.
+    thins the candidates before Python sees them. Where a piece would be shorter than two letters,
+    single letters are the key: a ratio above zero needs a common one.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must lie above 0 and not above 1")
     from planmark.functions.similarity import ratio_similarity
 
     # equal texts of a drawing are compared once: the first block stands for its copies
@@ -404,15 +413,19 @@ def fuzzy_block_match(wanted: DataFrame, text_blocks: DataFrame, threshold: floa
     pairs_of = lambda c: F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
     )
+    letters_of = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
     size = F.length("text")
+    # at most so many characters of both are not matched; every matched one is matched in order
     edits = F.floor((1 - threshold) * size * (1 + (2 - threshold) / threshold)).cast("int")
-    piece = F.greatest(F.floor(size / (edits + 1)).cast("int"), F.lit(1))
-    starts = F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1)), piece)
+    piece = F.floor(size / (edits + 1)).cast("int")
+    starts = F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1)), F.greatest(piece, F.lit(1)))
     pieces = F.when(
         piece >= 2, F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(2)))
-    ).otherwise(pairs_of(F.col("text")))
+    ).otherwise(letters_of(F.col("text")))
     asked = texts.select("drawing_id", "text", F.explode(F.array_distinct(pieces)).alias("pair"))
-    offered = blocks.select("*", F.explode(pairs_of(F.col("content"))).alias("pair"))
+    offered = blocks.select(
+        "*", F.explode(F.array_union(pairs_of(F.col("content")), letters_of(F.col("content")))).alias("pair")
+    )
     total = F.length("text") + F.length("content")
     close = F.levenshtein(F.col("text"), F.col("content")) <= (1 - threshold) * total
     hit = asked.join(offered, ["drawing_id", "pair"]).where(F.col("content").contains(F.col("text")) | close)

@@ -13,7 +13,6 @@ from planmark.operators.aggregate import association_counts
 from planmark.session import cut_lineage
 
 FASTENER_REACH = 200.0
-MAX_DEPTH = 50
 
 
 def root_component(detections: DataFrame, associations: DataFrame) -> DataFrame:
@@ -189,33 +188,29 @@ def assembly_edges(
     return reduce(DataFrame.unionByName, [inside, fastened, orphans])
 
 
-def hierarchy_tree(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def hierarchy_tree(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All nodes below each root with depth, path and relationship.
 
     One join per level over all drawings at once. Each level is written to the checkpoint folder,
     so the plan stays flat and lost executors cost one level. A node already on its own path is
-    cut, and nothing below ``max_depth`` is followed.
+    cut; edges have no cycles, so the levels end by themselves. With ``max_depth`` nothing below it
+    is followed, and the column ``cut`` marks nodes whose children are left out.
     """
     links = cut_lineage(edges.select("parent_id", "child_id", "relationship"))
     kind = dict(roots.dtypes)["root_id"]
-    level = roots.select(
+    level = cut_lineage(roots.select(
         "drawing_id",
         F.col("root_id").alias("component_id"),
         F.lit(None).cast(kind).alias("parent_id"),
         F.lit(None).cast("string").alias("relationship"),
         F.lit(0).alias("depth"),
         F.array("root_id").alias("path"),
-    )
-    levels = []
-    for depth in range(1, max_depth + 2):
-        level = cut_lineage(level)
-        if level.isEmpty():
-            break
-        levels.append(level)
-        if depth > max_depth:
-            break
+    ))
+    levels = [level]
+    while True:
+        depth = len(levels)
         above = level.select("drawing_id", F.col("component_id").alias("parent_id"), "path")
-        level = (
+        level = cut_lineage(
             above.join(links, "parent_id")
             .where(~F.array_contains("path", F.col("child_id")))
             .select(
@@ -227,7 +222,15 @@ def hierarchy_tree(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPT
                 F.concat("path", F.array("child_id")).alias("path"),
             )
         )
-    return reduce(DataFrame.unionByName, levels) if levels else level
+        if level.isEmpty():
+            break
+        if max_depth is not None and depth > max_depth:
+            below = level.select(F.col("parent_id").alias("component_id")).distinct().withColumn("cut", F.lit(True))
+            tree = reduce(DataFrame.unionByName, levels).join(below, "component_id", "left")
+            return tree.withColumn("cut", (F.col("depth") == max_depth) & F.coalesce("cut", F.lit(False)))
+        levels.append(level)
+    tree = reduce(DataFrame.unionByName, levels)
+    return tree if max_depth is None else tree.withColumn("cut", F.lit(False))
 
 
 def unreachable_components(detections: DataFrame, tree: DataFrame) -> DataFrame:

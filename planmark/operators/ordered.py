@@ -1,9 +1,10 @@
 """Order-dependent results without one window task per key.
 
 A plain window keyed by drawing or day sorts all rows of that key in one task. Here a key with
-many rows is first cut into ranges of its order column (equal widths between its exact minimum and
-maximum, hence the same on every rerun). The window runs inside a range, and one small row per
-range carries the totals or the border row over to the next. A key with few rows is one range.
+many rows is first cut into ranges of its order column: the bounds are quantiles of the order among
+the key's own rows, so neither outliers nor crowded stretches make a range long. The window runs
+inside a range, and one small row per range carries the totals or the border row over to the next.
+A key with few rows is one range. Rows of one order value stay in one range, however many they are.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_RANGE = 1_000_000
-MOST_RANGES = 65_536
+#: Ranges that quantiles cut a key into at most; a longer key has longer ranges.
+MOST_RANGES = 256
 
 
 def _number(order: str, df: DataFrame) -> Column:
@@ -20,22 +22,28 @@ def _number(order: str, df: DataFrame) -> Column:
 
 
 def with_ranges(df: DataFrame, keys: list[str], order: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Adds ``range_no``, which grows with ``order`` inside each key. Equal values share a range."""
+    """Adds ``range_no``, which grows with ``order`` inside each key: how many of the key's quantiles
+    lie below the value, -1 for null. Equal values share a range."""
     value = _number(order, df)
-    sizes = df.groupBy(*keys).agg(
-        F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("rows_of_key")
+    every = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
+    step = F.greatest(F.floor(F.lit(MOST_RANGES) * rows_per_range / F.col("rows_of_key")), F.lit(1))
+    used = F.array_distinct(F.filter("quantiles", lambda q, i: (i + 1) % F.col("step") == 0))
+    cuts = (
+        df.groupBy(*keys).agg(
+            F.count("*").alias("rows_of_key"),
+            F.percentile_approx(value, every, F.lit(4 * MOST_RANGES)).alias("quantiles"),
+        )
+        .where(F.col("rows_of_key") > rows_per_range)
+        .withColumn("step", step).select(*keys, used.alias("bounds"))
     )
     if keys:
-        sized = df.join(sizes, keys)
-        low, high, rows = F.col("low"), F.col("high"), F.col("rows_of_key")
-    else:  # one row of three numbers
-        one = sizes.first()
-        sized = df
-        low, high, rows = (F.lit(one[c]) for c in ("low", "high", "rows_of_key"))
-    ranges = F.least(F.ceil(rows / rows_per_range), F.lit(MOST_RANGES)).cast("double")
-    share = (value - low).cast("double") / (high - low + 1).cast("double")
-    number = F.coalesce(F.floor(share * ranges), F.lit(-1)).cast("int")
-    return sized.withColumn("range_no", number).drop("low", "high", "rows_of_key")
+        joined = df.join(cuts, keys, "left")
+    else:  # one row of bounds at most
+        one = cuts.first()
+        bounds = F.array(*[F.lit(b) for b in one["bounds"]]) if one else F.lit(None)
+        joined = df.withColumn("bounds", bounds.cast("array<bigint>"))
+    below = F.size(F.filter(F.coalesce("bounds", F.array().cast("array<bigint>")), lambda b: b < value))
+    return joined.withColumn("range_no", F.when(value.isNull(), F.lit(-1)).otherwise(below).cast("int")).drop("bounds")
 
 
 def _ranges_window(keys: list[str], descending: bool = False):

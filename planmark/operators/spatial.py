@@ -56,8 +56,8 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(value / (F.pow(F.lit(2.0), level) * CELL))
 
 
-def _cover(box: Column) -> Column:
-    """All (level, column, row) cells a box touches, from its own level upwards."""
+def _cover(box: Column, levels: Column) -> Column:
+    """The (level, column, row) cells a box touches on each of ``levels``."""
 
     def at(level: Column) -> Column:
         columns = F.sequence(_cell(bb.left(box), level), _cell(bb.right(box), level))
@@ -71,27 +71,41 @@ def _cover(box: Column) -> Column:
             )
         )
 
-    return F.flatten(F.transform(F.sequence(_level(box), F.lit(TOP_LEVEL)), at))
+    return F.flatten(F.transform(levels, at))
+
+
+def _on_own_level(df: DataFrame, box: str) -> DataFrame:
+    """Cells of the box's own level, four or so."""
+    return df.select("*", F.inline(_cover(F.col(box), F.array(_level(F.col(box))))))
+
+
+def _on_levels_above(df: DataFrame, box: str, other: DataFrame, other_box: str, with_own: bool) -> DataFrame:
+    """Cells on those coarser levels (and the own one) that boxes of ``other`` have in the drawing."""
+    present = other.groupBy("drawing_id").agg(F.collect_set(_level(F.col(other_box))).alias("levels"))
+    own = _level(F.col(box))
+    wanted = F.filter("levels", lambda lv: (lv >= own) if with_own else (lv > own))
+    return df.join(present, "drawing_id").select(*df.columns, F.inline(_cover(F.col(box), wanted)))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str) -> DataFrame:
     """Pairs of the same drawing whose boxes touch, each once.
 
-    Two boxes meet at the coarser of their own levels, in the cell of the upper left corner of
-    their common part, so the join needs no distinct. Column names of both sides must differ,
-    but for ``drawing_id``.
+    Two boxes meet at the coarser of their own levels: one side lies on its own level only, the other
+    goes up to it. Small boxes thus never meet in a coarse cell, and a cell holds boxes of its own
+    size on one side. Two joins cover both roles. A pair counts in the cell of the upper left corner
+    of its common part, so the join needs no distinct. Column names of both sides must differ, but
+    for ``drawing_id``.
     """
-    l = left.select("*", F.explode(_cover(F.col(left_box))).alias("cell")).select("*", "cell.*").drop("cell")
-    r = right.select("*", F.explode(_cover(F.col(right_box))).alias("cell")).select("*", "cell.*").drop("cell")
     a, b = F.col(left_box), F.col(right_box)
-    joined = l.join(r, ["drawing_id", "lv", "gx", "gy"])
     met = (
         bb.overlaps(a, b)
-        & (F.col("lv") == F.greatest(_level(a), _level(b)))
         & (F.col("gx") == _cell(F.greatest(bb.left(a), bb.left(b)), F.col("lv")))
         & (F.col("gy") == _cell(F.greatest(bb.top(a), bb.top(b)), F.col("lv")))
     )
-    return joined.where(met).drop("lv", "gx", "gy")
+    keys = ["drawing_id", "lv", "gx", "gy"]
+    coarse_left = _on_own_level(left, left_box).join(_on_levels_above(right, right_box, left, left_box, True), keys)
+    coarse_right = _on_levels_above(left, left_box, right, right_box, False).join(_on_own_level(right, right_box), keys)
+    return coarse_left.unionByName(coarse_right).where(met).drop("lv", "gx", "gy")
 
 
 # ---- nearest neighbours on a density pyramid ----------------------------------------------

@@ -30,7 +30,7 @@ EDGES = """SELECT drawing_id, parent_id, detection_id AS child_id, 'contains' AS
     UNION ALL SELECT f.drawing_id, root_id, f.detection_id, 'orphaned', 0.5 FROM free f JOIN rts USING (drawing_id) WHERE f.detection_id NOT IN (SELECT detection_id FROM lnk)"""
 TREE = """SELECT drawing_id, root_id AS component_id, NULL::BIGINT AS parent_id, NULL::VARCHAR AS relationship, 0::BIGINT AS depth, [root_id] AS path FROM rts
     UNION ALL SELECT t.drawing_id, e.child_id, e.parent_id, e.relationship, t.depth + 1, list_append(t.path, e.child_id) FROM tree t JOIN edg e ON e.parent_id = t.component_id
-    WHERE NOT list_contains(t.path, e.child_id) AND t.depth < 50"""
+    WHERE NOT list_contains(t.path, e.child_id)"""
 PARTS = {"rts": ROOTS, "ins": INSIDE, "free": FREE, "lnk": LINKS, "edg": EDGES, "tree": TREE}
 
 
