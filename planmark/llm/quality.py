@@ -141,7 +141,8 @@ def fit(texts: list[str], labels: np.ndarray, share_of_one: float, seed: int = 7
     balance = np.where(label == 1, share_of_one / label.mean(), (1 - share_of_one) / (1 - label.mean())).astype(np.float32)
     order = draw.permutation(len(texts))
     held, used = order[: max(1, len(texts) // 5)], order[max(1, len(texts) // 5) :]
-    center, spread = pooled[used].mean(axis=0), pooled[used].std(axis=0) + 1e-6
+    center, spread = pooled[used].mean(axis=0), pooled[used].std(axis=0)
+    spread = np.maximum(spread, 0.1 * spread.mean() + 1e-6)  # what hardly varies here may vary elsewhere
     inputs = (pooled - center) / spread
     weights = [
         draw.normal(0, WIDTH**-0.5, (WIDTH, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),

@@ -66,7 +66,7 @@ def test_quality_edges(spark, documents):
     many = documents(*[(i, good * 5 if i % 2 else "*** $$$ ### " * 9) for i in range(60)])
     marks = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 1)], "doc_id long, quality int")
     net = quality.train(many, marks, remainder(3) != 1)
-    got = {r["doc_id"]: r["score"] for r in quality.score(documents(*enumerate([None, "", good, "$$$ ***", good * 9000])), net).collect()}
+    got = {r["doc_id"]: r["score"] for r in quality.score(documents(*enumerate([None, "", good, "$$$ *** ### ***", good * 9000])), net).collect()}
     assert got[2] > 0.5 > got[3] and got[4] > 0.5 and got[0] == got[1]
     assert quality.score(many.filter("doc_id < 0"), net).count() == 0
 
