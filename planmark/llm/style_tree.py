@@ -262,17 +262,19 @@ def extract(
 ) -> DataFrame:
     """Adds the main text of ``page`` and its number of characters."""
     rest = df.drop(out, count)
-    key, host, parsed = spare(rest, "x_row", "x_host", "x_blocks")
+    key, host, parsed, same, row_of, gone_paths = spare(
+        rest, "x_row", "x_host", "x_blocks", "x_same", "x_row_of", "x_gone"
+    )
     read = F.arrow_udf(_parsed, "array<struct<path:string,text:string,content:long,style:long,where:string>>")
     body = text_of(page)
     kept = [c for c in rest.columns if c != page]
     whole = df.select(
         *[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(key), host_of(F.col(f"`{url}`")).alias(host),
-        F.xxhash64(body).alias(f"{key}_same"), read.asNondeterministic()(body).alias(parsed),
+        F.xxhash64(body).alias(same), read.asNondeterministic()(body).alias(parsed),
     )
     whole = cut_lineage(whole)  # parsed once; the row numbers stay what they are
     narrow = whole.select(
-        F.col(key).alias("row"), F.col(host).alias("host"), F.col(f"{key}_same").alias("page"), F.col(parsed).alias("blocks")
+        F.col(key).alias("row"), F.col(host).alias("host"), F.col(same).alias("page"), F.col(parsed).alias("blocks")
     )
     weights = importance(narrow.select("host", "page", "blocks"))
     has_main = F.exists("blocks", lambda b: b["where"] == "main")
@@ -285,12 +287,12 @@ def extract(
         placed.filter("where <> 'main'").join(weights, ["host", "path"], "left")
         .filter(prior * F.coalesce("weight", F.lit(1.0)) < threshold)
         .groupBy("row").agg(F.collect_set("path").alias("gone"))
-        .select(F.col("row").alias(f"{key}_gone"), F.col("gone").alias(f"{parsed}_gone"))
+        .select(F.col("row").alias(row_of), F.col("gone").alias(gone_paths))
     )
-    joined = whole.join(gone, F.col(key) == F.col(f"{key}_gone"), "left")
+    joined = whole.join(gone, F.col(key) == F.col(row_of), "left")
     stay = F.filter(
         F.col(parsed),
-        lambda b: F.col(f"{parsed}_gone").isNull() | (b["where"] == "main") | ~F.array_contains(F.col(f"{parsed}_gone"), b["path"]),
+        lambda b: F.col(gone_paths).isNull() | (b["where"] == "main") | ~F.array_contains(F.col(gone_paths), b["path"]),
     )
     text = F.array_join(F.transform(stay, lambda b: b["text"]), "\n")
     return joined.select(*[F.col(f"`{c}`") for c in kept], text.alias(out)).withColumn(count, F.length(out).cast("long"))
