@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from planmark.llm.common import slices
+from planmark.llm.common import bound_batches, slices
 
 #: A leaf word of the bitmap has 2 to this power bits. The word above has a bit for each leaf.
 LEAF = 8
@@ -173,6 +173,8 @@ def encode_text(df: DataFrame, path: str, pattern: str, text: str = "text", out:
     ``path`` is the rank file; workers read it where they run, as it is installed on every machine.
     """
 
+    bound_batches(df)
+
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = worker_encoder(path, pattern)
@@ -194,6 +196,8 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     An id that the rank file does not hold ends the task with a ValueError.
     """
 
+    bound_batches(df)
+
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ranks = load_ranks(path)

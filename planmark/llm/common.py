@@ -22,6 +22,23 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of an Arrow batch where rows hold whole documents.
+BATCH = 1_000
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Keep Arrow batches of documents small for the session of ``df``.
+
+    A batch is held several times at once (JVM, worker, results), and the default of 10,000 rows is
+    made for narrow rows. A smaller setting of the user stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    now = int(conf.get(key, "10000"))
+    if now <= 0 or now > BATCH:
+        conf.set(key, str(BATCH))
+
+
 def text_of(column: str) -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from planmark.llm.common import slices
+from planmark.llm.common import bound_batches, slices
 
 #: Labelled documents that training may gather on the driver, and languages it may learn.
 SAMPLE, MOST_LANGUAGES = 6_000, 100
@@ -203,6 +203,7 @@ def predict(
 
     With ``reject``, a text below the threshold is ``und`` in ``lang``.
     """
+    bound_batches(df)
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of a float per language
 
     @F.arrow_udf("lang string, score double")

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from planmark.llm.common import spare, text_of
+from planmark.llm.common import bound_batches, spare, text_of
 from planmark.session import cut_lineage
 
 WINDOW, DIVISOR, LEAST_LINES, MOST_LINES = 2, 3, 2, 64
@@ -101,6 +101,7 @@ def _called(fn, kind: str, *columns: Column) -> Column:
 
 def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(c_id, c_text, gone): for each document that loses something, the places of the chunks that go."""
+    bound_batches(df)
     documents = df.select(F.col(f"`{doc_id}`").alias("c_id"), F.col(f"`{text}`").cast("string").alias("t"))
     documents = documents.filter("t is not null").withColumn("c_text", F.md5("t"))
     cut = documents.withColumn("found", _called(_digests, _CHUNKS, F.col("t"))).select("c_id", "c_text", "found")

@@ -26,13 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from planmark.llm.common import slices
+from planmark.llm.common import bound_batches, slices
 
 #: Labelled documents of each class that training may gather on the driver.
 SAMPLE_PER_CLASS = 2_000
 TERMS, WIDTH, NONZERO, REACH, HIDDEN = 2_048, 64, 8, 2, 24
 #: Terms whose number a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 SHAPES = ("<lower>", "<Capital>", "<UPPER>", "<miXed>", "<digits>", "<symbols>")
 
@@ -212,6 +212,7 @@ def train(
 
 def score(df: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:
     """Adds ``out``, the calibrated probability of label 1, from the text alone."""
+    bound_batches(df)
     shared = df.sparkSession.sparkContext.broadcast(net)  # under 1 MB: TERMS vectors of WIDTH
 
     @F.arrow_udf("double")

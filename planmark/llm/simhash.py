@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from planmark.llm.common import text_of
+from planmark.llm.common import bound_batches, text_of
 from planmark.llm.components import components
 from planmark.session import cut_lineage
 
@@ -58,6 +58,8 @@ def fingerprint(text: str, width: int = SHINGLE, seed: int = SEED) -> int:
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """Adds ``out``, the fingerprint of ``text`` as a long."""
 
+    bound_batches(df)
+
     @F.arrow_udf("long")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from planmark.llm.common import spare, text_of
+from planmark.llm.common import bound_batches, spare, text_of
 from planmark.session import cut_lineage
 
 THRESHOLD, LEAST_PAGES, CONTENT_SHARE = 0.4, 4, 0.9
@@ -261,6 +261,7 @@ def extract(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Adds the main text of ``page`` and its number of characters."""
+    bound_batches(df)
     rest = df.drop(out, count)
     key, host, parsed, same, row_of, gone_paths = spare(
         rest, "x_row", "x_host", "x_blocks", "x_same", "x_row_of", "x_gone"
