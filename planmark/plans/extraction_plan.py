@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from planmark.functions import bbox as bb, text as tx, units
+from planmark.functions import checks, bbox as bb, text as tx, units
 from planmark.operators import extract
 from planmark.plans.helpers import tidy
 from planmark.plans.registry import registry
@@ -394,7 +394,67 @@ def _(v: Views) -> DataFrame:
         F.when(name == "unnamed", F.lit("")).otherwise(name).alias("file_name"),
         F.nullif(tx.split_path(url)["directory"], F.lit("")).alias("directory"),
         tx.make_id("PAGE", F.col("page_id"), url).alias("stable_id"),
-        F.col("page_id").between(0, 100).alias("in_percent"),
+        checks.in_percent(F.col("page_id").cast("double")).alias("in_percent"),
+    )
+
+
+@register(
+    "value_checks",
+    r"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+    l_discount * 12 BETWEEN 0 AND 1 AS unit_range, l_quantity * 3 BETWEEN 0 AND 100 AS percent,
+    l_shipmode IN ('WEIGHT') OR l_returnflag = 'A' AS known, 2 AS words, l_comment_name AS extended,
+    l_linenumber % 2 = 1 AS drawing_id_ok, lower(trim(l_returnflag)) = 'n' AS same_text
+    FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 'sheet.PDF' ELSE 'sheet.pdf.txt.pdf' END AS l_comment_name,
+          'X' AS l_shipmode FROM lineitem)""",
+)
+def _(v: Views) -> DataFrame:
+    odd = F.col("l_linenumber") % 2 == 1
+    kind = F.when(F.col("l_returnflag") == "A", F.lit("WEIGHT")).when(F.col("l_returnflag") == "N", F.lit("weight"))
+    name = F.when(odd, F.lit("sheet.pdf.txt")).otherwise(F.lit("sheet.PDF"))
+    ident = F.when(odd, F.lit("DWG-20240101-120000-0123abcd")).otherwise(F.lit("DWG-20240101-1200-0123abcd"))
+    return tidy(
+        v.table("lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+            checks.in_unit_range(F.col("l_discount") * 12).alias("unit_range"),
+            checks.in_percent(F.col("l_quantity") * 3).alias("percent"),
+            checks.known_type(kind).alias("known"),
+            tx.count_words(F.concat(F.lit(" two  "), F.col("l_returnflag"))).cast("bigint").alias("words"),
+            tx.ensure_extension(name, "pdf").alias("extended"),
+            tx.is_drawing_id(ident).alias("drawing_id_ok"),
+            checks.fuzzy_match(F.concat(F.lit(" "), F.col("l_returnflag")), F.lit("N ")).alias("same_text"),
+        )
+    )
+
+
+@register(
+    "box_checks",
+    with_views(
+        """SELECT t.text_id,
+        CASE WHEN hit THEN greatest(t.x, t.dx) ELSE 0 END AS common_x,
+        CASE WHEN hit THEN least(t.x+t.w, t.dx+t.dw) - greatest(t.x, t.dx) ELSE 0 END AS common_width,
+        t.x >= 0 AND t.x < 1000 AND t.y >= 0 AND t.y < 800 AS corner_on_page,
+        least(t.x, t.dx) AS hull_x, greatest(t.x, t.dx) - least(t.x, t.dx) AS hull_width, t.x AS again_x, t.w AS again_width
+        FROM (SELECT t.text_id, t.x, t.y, t.w, t.h, d.x AS dx, d.y AS dy, d.w AS dw, d.h AS dh,
+              least(t.x+t.w,d.x+d.w) >= greatest(t.x,d.x) AND least(t.y+t.h,d.y+d.h) >= greatest(t.y,d.y) AS hit
+              FROM txt t JOIN det d ON d.detection_id = t.text_id) t
+        WHERE t.x >= 0 AND t.y >= 0 AND t.x + t.w <= 1000 AND t.y + t.h <= 800"""
+    ),
+)
+def _(v: Views) -> DataFrame:
+    t, d = F.col("bbox"), F.col("other")
+    both = v.text_blocks.join(
+        v.detections.select(F.col("detection_id").alias("text_id"), F.col("bbox").alias("other")), "text_id"
+    ).where(bb.valid(t, PAGE_WIDTH, PAGE_HEIGHT))
+    point = lambda b: F.struct(b["x"].cast("double").alias("x"), b["y"].cast("double").alias("y"))
+    common, hull = bb.intersection(t, d), bb.points_to_bbox(F.array(point(t), point(d)))
+    again = bb.denormalize(bb.normalize(t, PAGE_WIDTH, PAGE_HEIGHT), PAGE_WIDTH, PAGE_HEIGHT)
+    return tidy(
+        both.select(
+            "text_id", common["x"].alias("common_x"), common["width"].alias("common_width"),
+            bb.in_bounds(t["x"], t["y"], PAGE_WIDTH, PAGE_HEIGHT).alias("corner_on_page"),
+            hull["x"].alias("hull_x"), hull["width"].alias("hull_width"),
+            again["x"].cast("bigint").alias("again_x"), again["width"].cast("bigint").alias("again_width"),
+        )
     )
 
 
