@@ -9,7 +9,7 @@ two, nine parts to one, times a prior from the markup: navigation, headers, foot
 elements whose class, id or role names such a thing have none; what stands outside ``article`` or
 ``main`` on a page that has one counts half. Blocks of nodes below ``THRESHOLD`` are removed, blocks
 inside ``article`` or ``main`` only by their markup. A host with few pages, or none in its address,
-is judged by the tree merged over all hosts.
+is judged by the tree merged over all hosts. Pages join the short list of their host's low nodes.
 
 Behaviour at the edges: a null or empty page has an empty text; malformed markup is read as browsers
 read it as far as blocks go (a block start ends an open paragraph, stray end tags are ignored, an
@@ -193,7 +193,7 @@ def _hash(text: str) -> int:
 
 
 _TYPE = pa.list_(pa.struct([
-    ("path", pa.string()), ("text", pa.string()), ("content", pa.int64()), ("style", pa.int64()), ("where", pa.string()),
+    ("node", pa.int64()), ("text", pa.string()), ("content", pa.int64()), ("style", pa.int64()), ("where", pa.string()),
 ]))
 
 
@@ -203,7 +203,7 @@ def _parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for at in range(0, len(batch), 500):
             rows = [
                 [
-                    {"path": p, "text": t, "content": _hash(t), "style": _hash(s), "where": w}
+                    {"node": _hash(p), "text": t, "content": _hash(t), "style": _hash(s), "where": w}
                     for p, t, s, w in blocks(page or "")
                 ]
                 for page in batch.slice(at, 500).to_pylist()
@@ -218,17 +218,17 @@ def host_of(url: Column) -> Column:
 
 
 def importance(parsed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, path, weight): importance of each node of each host's tree, by the host's own pages or,
+    """(host, node, weight): importance of each node of each host's tree, by the host's own pages or,
     where those are few, by all hosts' pages."""
+    both = F.inline(F.array(
+        F.struct(F.lit(True).alias("is_content"), F.col("b.content").alias("value")),
+        F.struct(F.lit(False).alias("is_content"), F.col("b.style").alias("value")),
+    ))
     node = parsed.select("host", "page", F.explode("blocks").alias("b")).select(
-        "host", "page", F.col("b.path").alias("path"),
-        F.inline(F.array(
-            F.struct(F.lit(True).alias("is_content"), F.col("b.content").alias("value")),
-            F.struct(F.lit(False).alias("is_content"), F.col("b.style").alias("value")),
-        )),
+        "host", "page", F.col("b.node").alias("node"), both
     )
     seen = cut_lineage(
-        node.distinct().groupBy("host", "path", "is_content", "value").agg(F.count("*").alias("c"))
+        node.distinct().groupBy("host", "node", "is_content", "value").agg(F.count("*").alias("c"))
     )
     pages = cut_lineage(parsed.groupBy("host").agg(F.count_distinct("page").alias("m")))
 
@@ -243,19 +243,32 @@ def importance(parsed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
         )
 
     styles = lambda counts, keys: counts.filter("not is_content").groupBy(*keys).agg(F.sum("c").alias("on"))
-    own = seen.join(styles(seen, ["host", "path"]), ["host", "path"]).join(pages, "host").filter(
+    own = seen.join(styles(seen, ["host", "node"]), ["host", "node"]).join(pages, "host").filter(
         (F.col("m") >= least_pages) & (F.col("host") != "")
     )
-    own = weigh(own, ["host", "path"], F.col("m"), F.col("on"))
-    everywhere = seen.groupBy("path", "is_content", "value").agg(F.sum("c").alias("c"))
-    total = pages.agg(F.sum("m").alias("m"))  # one row
-    of_all = everywhere.join(styles(everywhere, ["path"]), "path").join(F.broadcast(total), F.lit(True))
-    of_all = weigh(of_all.filter(F.col("m") >= least_pages), ["path"], F.col("m"), F.col("on"))
+    own = weigh(own, ["host", "node"], F.col("m"), F.col("on"))
+    everywhere = seen.groupBy("node", "is_content", "value").agg(F.sum("c").alias("c"))
+    total = pages.agg(F.sum("m").alias("m")).first()["m"] or 0
+    of_all = everywhere.join(styles(everywhere, ["node"]), "node").filter(F.lit(total >= least_pages))
+    of_all = weigh(of_all, ["node"], F.lit(total), F.col("on"))
     few = pages.filter((F.col("m") < least_pages) | (F.col("host") == "")).select("host")
-    others = seen.select("host", "path").distinct().join(few, "host").join(of_all, "path").select("host", "path", "weight")
+    others = seen.select("host", "node").distinct().join(few, "host").join(of_all, "node").select("host", "node", "weight")
     return own.unionByName(others)
 
 
+def low_nodes(weights: DataFrame, threshold: float) -> DataFrame:
+    """(host, low, low_outside): nodes below the threshold, and below it at half their importance.
+
+    Such a node's texts stand on many of the host's pages each, so a host has few of them beside its
+    pages, and one short list travels with the host.
+    """
+    part = lambda prior: F.collect_list(F.when(F.col("weight") * prior < threshold, F.col("node")))
+    return (
+        weights.filter(F.col("weight") * 0.5 < threshold).groupBy("host")
+        .agg(part(1.0).alias("low"), part(0.5).alias("low_outside"))
+    )
+
+
 def extract(
     df: DataFrame, page: str = "html", url: str = "url", out: str = "text", count: str = "n_chars",
     threshold: float = THRESHOLD,
@@ -263,37 +276,30 @@ def extract(
     """Adds the main text of ``page`` and its number of characters."""
     bound_batches(df)
     rest = df.drop(out, count)
-    key, host, parsed, same, row_of, gone_paths = spare(
-        rest, "x_row", "x_host", "x_blocks", "x_same", "x_row_of", "x_gone"
+    host, parsed, same, low_host, low, low_outside = spare(
+        rest, "x_host", "x_blocks", "x_same", "x_low_host", "x_low", "x_low_outside"
     )
-    read = F.arrow_udf(_parsed, "array<struct<path:string,text:string,content:long,style:long,where:string>>")
+    kind = "array<struct<node:long,text:string,content:long,style:long,where:string>>"
     body = text_of(page)
-    kept = [c for c in rest.columns if c != page]
-    whole = df.select(
-        *[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(key), host_of(F.col(f"`{url}`")).alias(host),
-        F.xxhash64(body).alias(same), read.asNondeterministic()(body).alias(parsed),
-    )
-    whole = cut_lineage(whole)  # parsed once; the row numbers stay what they are
-    narrow = whole.select(
-        F.col(key).alias("row"), F.col(host).alias("host"), F.col(same).alias("page"), F.col(parsed).alias("blocks")
-    )
-    weights = importance(narrow.select("host", "page", "blocks"))
-    has_main = F.exists("blocks", lambda b: b["where"] == "main")
-    placed = (
-        narrow.select("row", "host", has_main.alias("has_main"), F.explode("blocks").alias("b"))
-        .select("row", "host", "has_main", F.col("b.path").alias("path"), F.col("b.where").alias("where")).distinct()
-    )
-    prior = F.when(F.col("where") == "noise", F.lit(0.0)).when(F.col("has_main"), F.lit(0.5)).otherwise(F.lit(1.0))
-    gone = (
-        placed.filter("where <> 'main'").join(weights, ["host", "path"], "left")
-        .filter(prior * F.coalesce("weight", F.lit(1.0)) < threshold)
-        .groupBy("row").agg(F.collect_set("path").alias("gone"))
-        .select(F.col("row").alias(row_of), F.col("gone").alias(gone_paths))
+    kept = [F.col(f"`{c}`") for c in rest.columns if c != page]
+    whole = cut_lineage(df.select(  # parsed once
+        *kept, host_of(F.col(f"`{url}`")).alias(host), F.xxhash64(body).alias(same),
+        F.arrow_udf(_parsed, kind).asNondeterministic()(body).alias(parsed),
+    ))
+    weights = importance(whole.select(
+        F.col(host).alias("host"), F.col(same).alias("page"), F.col(parsed).alias("blocks")
+    ))
+    lows = cut_lineage(low_nodes(weights, threshold)).select(
+        F.col("host").alias(low_host), F.col("low").alias(low), F.col("low_outside").alias(low_outside)
     )
-    joined = whole.join(gone, F.col(key) == F.col(row_of), "left")
+    joined = whole.join(lows, F.col(host) == F.col(low_host), "left")
+    none = F.array().cast("array<bigint>")
+    has_main = F.exists(parsed, lambda b: b["where"] == "main")
+    gone = F.coalesce(F.when(has_main, F.col(low_outside)).otherwise(F.col(low)), none)
+    marked = joined.withColumn(low, gone)
     stay = F.filter(
-        F.col(parsed),
-        lambda b: F.col(gone_paths).isNull() | (b["where"] == "main") | ~F.array_contains(F.col(gone_paths), b["path"]),
+        parsed,
+        lambda b: (b["where"] == "main") | ((b["where"] == "other") & ~F.array_contains(F.col(low), b["node"])),
     )
     text = F.array_join(F.transform(stay, lambda b: b["text"]), "\n")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], text.alias(out)).withColumn(count, F.length(out).cast("long"))
+    return marked.select(*kept, text.alias(out)).withColumn(count, F.length(out).cast("long"))

@@ -55,7 +55,7 @@ def site(spark):
 
 
 def test_repeated_branches_go(site):
-    df = site.withColumn("n_chars", F.lit("clash")).withColumn("x_row", F.lit(1)).withColumn("extra", F.lit(2))
+    df = site.withColumn("n_chars", F.lit("clash")).withColumn("x_host", F.lit(1)).withColumn("extra", F.lit(2))
     got = {r["page_id"]: r for r in tree.extract(df).collect()}
     assert len(got) == 74 and got[0]["extra"] == 2
     for i in range(30):
@@ -68,9 +68,9 @@ def test_repeated_branches_go(site):
 
 
 def test_importance_by_hand(site):
-    rows = [("h", k, [("/a", "t", c, 1, "other")]) for k, c in enumerate([1, 1, 1, 1, 2, 3, 4, 5])]
+    rows = [("h", k, [(7, "t", c, 1, "other")]) for k, c in enumerate([1, 1, 1, 1, 2, 3, 4, 5])]
     spark = site.sparkSession
-    df = spark.createDataFrame(rows, "host string, page long, blocks array<struct<path:string,text:string,content:long,style:long,where:string>>")
+    df = spark.createDataFrame(rows, "host string, page long, blocks array<struct<node:long,text:string,content:long,style:long,where:string>>")
     weight = tree.importance(df).filter("host = 'h'").first()["weight"]
     import math
 
