@@ -60,9 +60,11 @@ def assign_types(df: DataFrame, record_id: str, payload: str, least: int = 0) ->
         F.col(f"`{record_id}`").alias("r_id"), *([F.col("`url`").alias("r_url")] if "url" in df.columns else []),
         body.alias("r_payload"), F.octet_length(body).cast("long").alias("r_bytes"), F.sha2(body, 256).alias("r_same"),
     )
-    firsts = rows.filter(F.col("r_bytes") >= least).groupBy("r_same").agg(F.min("r_id").alias("f_id")).withColumnRenamed(
-        "r_same", "f_same"
-    )
+    # only payloads that occur again: the fewer, the less there is to join the texts with
+    firsts = rows.filter(F.col("r_bytes") >= least).groupBy("r_same").agg(
+        F.min("r_id").alias("f_id"), F.count("*").alias("f_n")
+    ).filter("f_n > 1").select(F.col("r_same").alias("f_same"), "f_id")
+    firsts = cut_lineage(firsts)  # so that the planner knows how few they are before it moves the texts
     joined = rows.join(firsts, F.col("r_same") == F.col("f_same"), "left")
     revisits = F.col("f_id").isNotNull() & ~F.col("f_id").eqNullSafe(F.col("r_id"))
     return joined.withColumn("r_first", F.when(revisits, F.col("f_id"))).withColumn(
