@@ -240,11 +240,9 @@ def budget_plan(
 
     Each decision depends on all earlier ones of its day, so a day is one ordered pass. It is read
     as a sorted stream of batches, never gathered: memory holds the day's state only, whose size
-    is bounded by the calls the budget admits, not by the calls that ask. Calls that no state
-    could admit are settled beforehand, in parallel, and skip the pass.
+    is bounded by the calls the budget admits, not by the calls that ask. Every call, admitted or
+    not, gets its tier, price and the spend before it.
     """
-    hopeless = (F.least("cost_0", "cost_1", "cost_2") > per_drawing) & F.lit(per_drawing <= daily_budget)
-    marked = calls.withColumn("hopeless", hopeless)
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         day, state = None, None
@@ -266,15 +264,5 @@ def budget_plan(
     schema = DECISION.replace("usage_id bigint", f"usage_id {kinds['usage_id']}").replace(
         "drawing_id bigint", f"drawing_id {kinds['drawing_id']}"
     )
-    ordered = (
-        marked.where(~F.col("hopeless")).drop("hopeless")
-        .repartition("day").sortWithinPartitions("day", "timestamp", "usage_id")
-    )
-    decided = ordered.mapInPandas(replay, schema)
-    refused = marked.where("hopeless").select(
-        "day", "usage_id", "drawing_id", F.lit(False).alias("allowed"),
-        F.lit("DRAWING_LIMIT").alias("reason"), F.lit(None).cast("int").alias("tier"),
-        F.lit(None).cast("string").alias("model"), F.col("cost_0").alias("estimated_cost"),
-        F.lit(None).cast("double").alias("spend_before"),
-    )
-    return decided.unionByName(refused)
+    ordered = calls.repartition("day").sortWithinPartitions("day", "timestamp", "usage_id")
+    return ordered.mapInPandas(replay, schema)

@@ -50,15 +50,17 @@ def _(v: Views) -> DataFrame:
 @register("stream_budget_state")
 def _(v: Views) -> DataFrame:
     calls = cost.planned_calls(v.usage, PLAN_PRICES)
-    folder, root = _stage(v, calls.repartition(1).sortWithinPartitions("timestamp"), "stream-calls")
-    v.spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    folder, root = _stage(v, calls, "stream-calls")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = v.spark.conf.get(key)
+    v.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = jobs.budget_stream(
         jobs.read_folder(v.spark, folder, calls.schema), daily_budget=1.0, per_drawing=0.05
     )
-    jobs.write_folder(stream, f"{root}/out", f"{root}/state").start().awaitTermination()
+    try:
+        jobs.write_folder(stream, f"{root}/out", f"{root}/state").start().awaitTermination()
+    finally:
+        v.spark.conf.set(key, before)
     return tidy(v.spark.read.schema(stream.schema).parquet(f"{root}/out"), 9)
 
 

@@ -7,8 +7,6 @@ from planmark.plans.summary_plan import PLAN_PRICES
 from planmark.streaming import jobs
 from tests.conftest import rows
 
-COLUMNS = ("usage_id", "allowed", "reason", "estimated_cost")
-
 
 def replay(calls, daily, per_drawing, alert=0.8):
     """The rules, one call after the other."""
@@ -19,24 +17,27 @@ def replay(calls, daily, per_drawing, alert=0.8):
         costs = [r["cost_0"], r["cost_1"], r["cost_2"]]
         price = costs[tier]
         if drawings.get(r["drawing_id"], 0.0) + price > per_drawing:
-            found.append((r["usage_id"], False, "DRAWING_LIMIT"))
+            found.append((r["usage_id"], False, "DRAWING_LIMIT", tier, price, spend))
             continue
         if spend >= daily * alert and tier > 0:
             tier -= 1
             price = costs[tier]
         if spend + price > daily:
-            found.append((r["usage_id"], False, "DAILY_BUDGET"))
+            found.append((r["usage_id"], False, "DAILY_BUDGET", tier, price, spend))
             continue
-        spend += price
+        before, spend = spend, spend + price
         drawings[r["drawing_id"]] = drawings.get(r["drawing_id"], 0.0) + price
-        found.append((r["usage_id"], True, ["TIER_0", "TIER_1", "PREFERRED"][tier]))
-    return sorted(found)
+        found.append((r["usage_id"], True, ["TIER_0", "TIER_1", "PREFERRED"][tier], tier, price, before))
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in f) for f in found)
+
+
+ALL = ("usage_id", "allowed", "reason", "tier", "estimated_cost", "spend_before")
 
 
 @pytest.mark.parametrize("daily, per_drawing", [(0.2, 0.05), (1.0, 0.012), (0.05, 10.0)])
 def test_budget_plan(views, daily, per_drawing):
     calls = cost.planned_calls(views.usage, PLAN_PRICES)
-    found = rows(cost.budget_plan(calls, daily, per_drawing), "usage_id", "allowed", "reason")
+    found = rows(cost.budget_plan(calls, daily, per_drawing), *ALL)
     wanted = replay(calls.collect(), daily, per_drawing)
     assert found == wanted and len({r[2] for r in found}) >= 2
 
@@ -49,7 +50,7 @@ def test_stream_equals_plan(spark, views):
     jobs.write_folder(stream, f"{root}/out", f"{root}/state").start().awaitTermination(120)
     written = spark.read.schema(stream.schema).parquet(f"{root}/out")
     plan = cost.budget_plan(calls, 0.2, 0.05)
-    assert rows(written, "usage_id", "allowed", "reason") == rows(plan, "usage_id", "allowed", "reason")
+    assert rows(written, *ALL) == rows(plan, *ALL)
 
 
 def test_empty_report_is_zero(views):
