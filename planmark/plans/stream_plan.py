@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from planmark.operators import cost
 from planmark.plans.helpers import scratch, tidy
 from planmark.plans.registry import registry
-from planmark.plans.summary_plan import PLAN_PRICES
+from planmark.plans.summary_plan import PLAN_PRICES, PLAN_SQL
 from planmark.plans.views import Views, with_views
 from planmark.streaming import jobs
 
@@ -47,7 +47,7 @@ def _(v: Views) -> DataFrame:
     return tidy(v.spark.read.schema(stream.schema).parquet(f"{root}/out"))
 
 
-@register("stream_budget_state")
+@register("stream_budget_state", PLAN_SQL)
 def _(v: Views) -> DataFrame:
     calls = cost.planned_calls(v.usage, PLAN_PRICES)
     folder, root = _stage(v, calls, "stream-calls")

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
+from planmark import reference as ref
 from planmark.operators import aggregate, cost, validate
 from planmark.operators.associate import associate_text_shapes
 from planmark.plans.helpers import tidy
@@ -202,7 +203,52 @@ PLAN_PRICES = {
 }
 
 
-@register("budget_plan")
+def _plan_prices_sql() -> str:
+    """Model and prices of each use case by tier, cheap first, as a table."""
+    table = {**ref.MODEL_PRICES, **PLAN_PRICES}
+    rows = []
+    for name, models in ref.USE_CASE_MODELS.items():
+        cells = [f"'{name}'"]
+        for model in reversed(models):
+            price_in, price_out = table.get(model, (0.0, 0.0))
+            cells += [f"'{model}'", f"{float(price_in)}::DOUBLE", f"{float(price_out)}::DOUBLE"]
+        rows.append(f"({', '.join(cells)})")
+    names = ", ".join(f"m{t}, i{t}, o{t}" for t in (0, 1, 2))
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(use_case, {names})"
+
+
+def _by_tier(tier: str, what: str) -> str:
+    return f"CASE {tier} WHEN 0 THEN c.{what}0 WHEN 1 THEN c.{what}1 ELSE c.{what}2 END"
+
+
+# one call of each day in every step; the day's spend, tier and drawing totals travel in the row
+PLAN_SQL = with_views(
+    """SELECT strftime(day, '%Y-%m-%d') AS day, usage_id, drawing_id, allowed, reason, tier, model,
+    round(estimated_cost, 9) AS estimated_cost, round(spend_before, 9) AS spend_before FROM run WHERE n > 0""",
+    prices=_plan_prices_sql(),
+    calls="SELECT CAST(\"timestamp\" AS DATE) AS day, usage_id, drawing_id, m0, m1, m2, "
+    + ", ".join(f"tokens_input/1e6*i{t} + tokens_output/1e6*o{t} AS c{t}" for t in (0, 1, 2))
+    + ", row_number() OVER (PARTITION BY CAST(\"timestamp\" AS DATE) ORDER BY \"timestamp\", usage_id) AS n"
+    " FROM usg JOIN prices USING (use_case)",
+    run=f"""SELECT day, 0::BIGINT AS n, NULL::BIGINT AS usage_id, NULL::BIGINT AS drawing_id, false AS allowed, '' AS reason,
+    2::BIGINT AS tier, NULL::VARCHAR AS model, 0::DOUBLE AS estimated_cost, 0::DOUBLE AS spend_before, 0::DOUBLE AS spend,
+    MAP([-1::BIGINT], [0::DOUBLE]) AS drawings FROM calls GROUP BY day
+    UNION ALL
+    SELECT day, n, usage_id, drawing_id, NOT over_drawing AND NOT over_day,
+    CASE WHEN over_drawing THEN 'DRAWING_LIMIT' WHEN over_day THEN 'DAILY_BUDGET' WHEN now = 0 THEN 'TIER_0' WHEN now = 1 THEN 'TIER_1' ELSE 'PREFERRED' END,
+    now, CASE WHEN NOT over_drawing AND NOT over_day THEN model END, cost, spend,
+    CASE WHEN NOT over_drawing AND NOT over_day THEN spend + cost ELSE spend END,
+    CASE WHEN NOT over_drawing AND NOT over_day THEN map_concat(drawings, MAP([drawing_id], [already + cost])) ELSE drawings END
+    FROM (SELECT *, NOT over_drawing AND spend + cost > 1.0 AS over_day FROM (
+      SELECT c.*, r.spend, r.drawings, q.already, q.over_drawing, q.now, {_by_tier("q.now", "c")} AS cost, {_by_tier("q.now", "m")} AS model
+      FROM run r JOIN calls c ON c.day = r.day AND c.n = r.n + 1,
+      LATERAL (SELECT already, over_drawing, CASE WHEN NOT over_drawing AND r.spend >= 0.8::DOUBLE AND r.tier > 0 THEN r.tier - 1 ELSE r.tier END AS now
+        FROM (SELECT already, already + {_by_tier("r.tier", "c")} > 0.05::DOUBLE AS over_drawing
+          FROM (SELECT coalesce(r.drawings[c.drawing_id], 0) AS already))) q))""",
+)
+
+
+@register("budget_plan", PLAN_SQL)
 def _(v: Views) -> DataFrame:
     calls = cost.planned_calls(v.usage, PLAN_PRICES)
     return tidy(cost.budget_plan(calls, daily_budget=1.0, per_drawing=0.05), 9)

@@ -26,4 +26,7 @@ def ship_package(spark: SparkSession) -> None:
                     path = os.path.join(folder, name)
                     archive.write(path, os.path.relpath(path, os.path.dirname(root)))
     context.addPyFile(target)
+    # runners of stateful streams start on the driver's machine and do not see added files
+    known = context.environment.get("PYTHONPATH")
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(root), known]))
     context._planmark_shipped = True
