@@ -193,22 +193,28 @@ def _hash(text: str) -> int:
 
 
 _TYPE = pa.list_(pa.struct([
-    ("node", pa.int64()), ("text", pa.string()), ("content", pa.int64()), ("style", pa.int64()), ("where", pa.string()),
+    ("node", pa.int64()), ("text", pa.string()), ("style", pa.int64()), ("where", pa.string()),
+    ("new_text", pa.bool_()), ("new_style", pa.bool_()),
 ]))
 
 
+def _row(page: str) -> list[dict]:
+    """Blocks of a page; new_text and new_style tell the first of equal ones in a node."""
+    out, seen = [], set()
+    for path, text, inline, where in blocks(page):
+        node, style = _hash(path), _hash(inline)
+        marks = [key not in seen for key in ((node, text), (node, style))]
+        seen.update(((node, text), (node, style)))
+        out.append({"node": node, "text": text, "style": style, "where": where, "new_text": marks[0], "new_style": marks[1]})
+    return out
+
+
 def _parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        parts = []
-        for at in range(0, len(batch), 500):
-            rows = [
-                [
-                    {"node": _hash(p), "text": t, "content": _hash(t), "style": _hash(s), "where": w}
-                    for p, t, s, w in blocks(page or "")
-                ]
-                for page in batch.slice(at, 500).to_pylist()
-            ]
-            parts.append(pa.array(rows, _TYPE))
+        parts = [
+            pa.array([_row(page or "") for page in batch.slice(at, 500).to_pylist()], _TYPE)
+            for at in range(0, len(batch), 500)
+        ]
         yield pa.concat_arrays(parts) if parts else pa.array([], _TYPE)
 
 
@@ -220,17 +226,21 @@ def host_of(url: Column) -> Column:
 def importance(parsed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, node, weight): importance of each node of each host's tree, by the host's own pages or,
     where those are few, by all hosts' pages."""
+    copies = cut_lineage(
+        parsed.groupBy("host", "page").agg(F.count("*").alias("n")).filter("n > 1")
+    ).withColumnsRenamed({"host": "of_host", "page": "of_page"})
+    same = (F.col("host") == F.col("of_host")) & (F.col("page") == F.col("of_page"))
+    # equal pages share the weight of one
+    shared = parsed.join(copies, same, "left").withColumn("w", F.lit(1.0) / F.coalesce("n", F.lit(1)))
     both = F.inline(F.array(
-        F.struct(F.lit(True).alias("is_content"), F.col("b.content").alias("value")),
-        F.struct(F.lit(False).alias("is_content"), F.col("b.style").alias("value")),
+        F.struct(F.lit(True).alias("is_content"), F.xxhash64("b.text").alias("value"), F.col("b.new_text").alias("new")),
+        F.struct(F.lit(False).alias("is_content"), F.col("b.style").alias("value"), F.col("b.new_style").alias("new")),
     ))
-    node = parsed.select("host", "page", F.explode("blocks").alias("b")).select(
-        "host", "page", F.col("b.node").alias("node"), both
-    )
+    node = shared.select("host", "w", F.explode("blocks").alias("b")).select("host", "w", F.col("b.node").alias("node"), both)
     seen = cut_lineage(
-        node.distinct().groupBy("host", "node", "is_content", "value").agg(F.count("*").alias("c"))
+        node.filter("new").groupBy("host", "node", "is_content", "value").agg(F.round(F.sum("w")).cast("long").alias("c"))
     )
-    pages = cut_lineage(parsed.groupBy("host").agg(F.count_distinct("page").alias("m")))
+    pages = cut_lineage(shared.groupBy("host").agg(F.round(F.sum("w")).cast("long").alias("m")))
 
     def weigh(counts: DataFrame, keys: list[str], m: Column, nodes_pages: Column) -> DataFrame:
         base = F.log(F.greatest(m, F.lit(2)).cast("double"))
@@ -279,7 +289,7 @@ def extract(
     host, parsed, same, low_host, low, low_outside = spare(
         rest, "x_host", "x_blocks", "x_same", "x_low_host", "x_low", "x_low_outside"
     )
-    kind = "array<struct<node:long,text:string,content:long,style:long,where:string>>"
+    kind = "array<struct<node:long,text:string,style:long,where:string,new_text:boolean,new_style:boolean>>"
     body = text_of(page)
     kept = [F.col(f"`{c}`") for c in rest.columns if c != page]
     whole = cut_lineage(df.select(  # parsed once

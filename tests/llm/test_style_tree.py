@@ -68,9 +68,9 @@ def test_repeated_branches_go(site):
 
 
 def test_importance_by_hand(site):
-    rows = [("h", k, [(7, "t", c, 1, "other")]) for k, c in enumerate([1, 1, 1, 1, 2, 3, 4, 5])]
+    rows = [("h", k, [(7, f"t{c}", 1, "other", True, True)]) for k, c in enumerate([1, 1, 1, 1, 2, 3, 4, 5])]
     spark = site.sparkSession
-    df = spark.createDataFrame(rows, "host string, page long, blocks array<struct<node:long,text:string,content:long,style:long,where:string>>")
+    df = spark.createDataFrame(rows, "host string, page long, blocks array<struct<node:long,text:string,style:long,where:string,new_text:boolean,new_style:boolean>>")
     weight = tree.importance(df).filter("host = 'h'").first()["weight"]
     import math
 
