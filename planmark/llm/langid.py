@@ -15,13 +15,13 @@ through, columns named as the results are replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from planmark.llm.common import bound_batches, slices
@@ -33,6 +33,7 @@ GRAMS = (2, 3, 4)
 #: Of the pieces kept out of training that are accepted, so many must be right.
 PRECISION = 0.99
 UNKNOWN = "und"
+_LETTER = regex.compile(r"\p{L}")
 
 
 @lru_cache(maxsize=1)
@@ -95,10 +96,6 @@ class Model:
         return names, np.where(lettered, share[np.arange(len(best)), best], 0.0)
 
 
-#: A letter of any script, as the subwords see it.
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 def softmax(logit: np.ndarray) -> np.ndarray:
     power = np.exp(logit - logit.max(axis=1, keepdims=True))
     return power / power.sum(axis=1, keepdims=True)

@@ -90,8 +90,7 @@ def targets(measured: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 def sample_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
     """An exponential variate with rate ``weight``, drawn from a digest of the id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
-                   )
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
     return -F.log(uniform) / weight
 

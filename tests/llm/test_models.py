@@ -28,7 +28,7 @@ def test_language_edges(spark, documents):
     learned = documents(*[(i, *((english, "en") if i % 2 else (german, "de"))) for i in range(40)])
     model = langid.train(learned.withColumn("l_found", F.lit(1)))
     assert model.languages == ["de", "en"]
-    texts = [None, "", "1234 --- !!", english, german, "the", english * 300]
+    texts = [None, "", "1234 ² ٣ --- !!", english, german, "the", english * 300]
     asked = documents(*enumerate(texts), score="clash", lang_pred=3, l_found="x")
     got = {r["doc_id"]: r for r in langid.predict(asked, model, reject=False).collect()}
     assert [got[i]["lang_pred"] for i in range(7)] == ["und", "und", "und", "en", "de", "en", "en"]
