@@ -36,19 +36,25 @@ _SHIFT = np.arange(8, dtype=np.int64) * 256
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: str, width: int = SHINGLE, seed: int = SEED) -> int:
-    """64 bits as a signed number: the majority over the hashes of all word shingles."""
+def shingle_hashes(text: str, width: int = SHINGLE, seed: int = SEED) -> list[int]:
+    """Unsigned 64-bit hashes of all word shingles; one of the whole text where it has fewer words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII blanks
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [digest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        begins = [0, *ends[: len(words) - width].tolist()]
-        hashes = [digest(joined[a:b], seed) for a, b in zip(begins, (ends[width - 1 :] - 1).tolist())]
+        return [digest(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    begins = [0, *ends[: len(words) - width].tolist()]
+    return [digest(joined[a:b], seed) for a, b in zip(begins, (ends[width - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: str, width: int = SHINGLE, seed: int = SEED) -> int:
+    """64 bits as a signed number: the majority over the hashes of all word shingles."""
+    hashes = shingle_hashes(text, width, seed)
+    if not hashes:
+        return 0
     octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     ones = np.bincount((octets + _SHIFT).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     bits = (2 * ones.ravel() > len(hashes)).astype(np.uint8)
@@ -173,7 +179,11 @@ def near_duplicates(
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that stay: of each component the one with the smallest id (null last), then
     the smallest text digest; of equal rows one."""
-    found = near_duplicates(df, doc_id, text, **options)
+    return first_of_groups(df, near_duplicates(df, doc_id, text, **options), doc_id, text)
+
+
+def first_of_groups(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``keep_one`` for the groups ``found`` (doc_id, text_id, root)."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
     kept = found.groupBy("root").agg(F.min(first).alias("k")).select(
         F.col("k.doc_id").alias("k_id"), F.col("k.text_id").alias("k_text")
