@@ -7,7 +7,10 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planmark.llm import bpe, decision_list, langid, line_chunks, mixing, permutation_index, quality, simhash, style_tree, warc
+from planmark.llm import (
+    alignment, bpe, decision_list, langid, line_chunks, merkle, mixing, permutation_index, quality, simhash, style_tree, warc,
+)
+from planmark.llm.merkle_sql import MERKLE_SQL
 from planmark.session import cut_lineage, ensure_checkpoint_dir
 from planmark.plans.registry import registry
 
@@ -186,6 +189,21 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", "text", "n_chars")
 
 
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    tampered = F.when(remainder(2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.prove(documents, {"text": tampered})
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path
+    return alignment.align(
+        table(spark, folder, "documents"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path("piece_bpe_32k.model")
+    )
+
+
 def queries() -> dict:
     return dict(Q)
 
