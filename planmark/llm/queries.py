@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from planmark.llm import (
-    alignment, bpe, decision_list, langid, line_chunks, merkle, mixing, permutation_index, quality, simhash, style_tree, warc,
+    alignment, bpe, decision_list, langid, line_chunks, merkle, mixing, permutation_index, quality, simhash, style_tree,
+    suffix_index, warc,
 )
 from planmark.llm.merkle_sql import MERKLE_SQL
 from planmark.session import cut_lineage, ensure_checkpoint_dir
@@ -196,6 +197,12 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.prove(documents, {"text": tampered})
 
 
+@query("op12_suffix_index")
+def op12_suffix_index(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_index.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path
