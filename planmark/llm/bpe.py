@@ -8,13 +8,15 @@ position has another rank by now is stale and skipped. The cost of a pre-token o
 O(n log n) at worst, where rescanning for the best pair would be O(n^2).
 
 Behaviour at the edges: a null text is an empty text and gives no ids; text is encoded as UTF-8;
-strings that look like special tokens are ordinary text; equal texts give equal ids; columns beside
+strings that look like special tokens are ordinary text; equal texts give equal ids; of equal pairs the leftmost merges
+first; a very long text is encoded as a whole, in an Arrow slice of its own; an empty table gives an empty one; columns beside
 the text are passed through untouched, and an existing column of the output's name is replaced.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -115,9 +117,9 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Ids of texts. Works unit by unit: between single blanks, no pre-token crosses a blank except
-    by taking it as its first character, so a unit with its blank has the same ids everywhere. Texts
-    with runs of blanks are split as a whole."""
+    """Ids of texts. Works unit by unit: no pre-token crosses a blank between two characters that are not
+    white space, except by taking it as its first character, so a unit with its blank has the same ids everywhere.
+    A blank beside other white space belongs to a longer unit."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
@@ -147,15 +149,37 @@ class Encoder:
         if len(self.after_blank) + len(self.other) > REMEMBERED:
             self.older = (self.after_blank, self.other)
             self.after_blank, self.other = {}, {}
-        if "  " in text:
-            return self.ids(text)
-        head, *rest = text.split(" ")
-        known = self.after_blank.get
-        out = [self.ids(head)]
-        out += [known(unit) or self.ids(" " + unit) for unit in rest]
+        pieces = text.split(" ")
+        if "" in pieces or list(map(str.strip, pieces)) != pieces:
+            pieces = list(_units(pieces))
+        known = self.after_blank
+        out = list(map(known.get, pieces))
+        out[0] = self.ids(pieces[0])
+        if None in out:
+            for i, found in enumerate(out):
+                if found is None:
+                    unit = pieces[i]
+                    found = known.get(unit)
+                    if found is None:
+                        found = self.ids(" " + unit)
+                        if len(unit) <= 24:
+                            known[unit] = found
+                    out[i] = found
         return b"".join(out)
 
 
+def _units(pieces: list[str]) -> Iterator[str]:
+    """``pieces`` between blanks, joined again where white space stands on either side of the blank."""
+    held = [pieces[0]]
+    for piece in pieces[1:]:
+        if held[-1] and piece and not held[-1][-1].isspace() and not piece[0].isspace():
+            yield " ".join(held)
+            held = [piece]
+        else:
+            held.append(piece)
+    yield " ".join(held)
+
+
 @lru_cache(maxsize=1)
 def worker_encoder(path: str, pattern: str) -> Encoder:
     """One for all tasks of a worker process, so that pre-tokens merged once stay known."""
@@ -167,6 +191,30 @@ def _lists(parts: list[bytes], width: int, values) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), values(b"".join(parts)))
 
 
+def _encode(encoder: Encoder, texts: list[str]) -> pa.Array:
+    chunks = [
+        _lists([encoder.encode(x) for x in texts[a:b]], 4, lambda raw: pa.array(np.frombuffer(raw, "<i4")))
+        for a, b in slices(texts)
+    ]
+    return pa.concat_arrays(chunks) if chunks else pa.array([], pa.list_(pa.int32()))
+
+
+def _decode(tokens: dict[int, bytes], ids: pa.Array) -> pa.Array:
+    """The bytes of each list of ids; one list at a time is in memory as numbers."""
+    values, of = ids.values, ids.offsets.to_pylist()
+    valid = ids.is_valid().to_pylist()
+    out = []
+    for ok, a, b in zip(valid, of[:-1], of[1:]):
+        mine = values.slice(a, b - a) if ok else values.slice(0, 0)
+        if mine.null_count:
+            mine = mine.drop_null()
+        try:
+            out.append(b"".join(map(tokens.__getitem__, mine.to_numpy(zero_copy_only=False).tolist())))
+        except KeyError as e:
+            raise ValueError(f"id {e} is not in the vocabulary") from None
+    return pa.array(out, pa.binary())
+
+
 def encode_text(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds ``out``, the token ids of ``text`` (array of int). Narrow: no row moves.
 
@@ -179,12 +227,7 @@ def encode_text(df: DataFrame, path: str, pattern: str, text: str = "text", out:
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = worker_encoder(path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.to_pylist()]
-            chunks = [
-                _lists([encoder.encode(x) for x in texts[a:b]], 4, lambda raw: pa.array(np.frombuffer(raw, "<i4")))
-                for a, b in slices(texts)
-            ]
-            yield pa.concat_arrays(chunks) if chunks else pa.array([], pa.list_(pa.int32()))
+            yield _encode(encoder, [x or "" for x in batch.to_pylist()])
 
     # so that no later projection computes the ids a second time
     return df.withColumn(out, encoded.asNondeterministic()(F.col(f"`{text}`").cast("string")))
@@ -200,34 +243,34 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ranks = load_ranks(path)
-        known = np.zeros(max(ranks.values(), default=-1) + 2, dtype=bool)
-        sizes = np.zeros(len(known), dtype=np.int64)
-        for token, rank in ranks.items():
-            known[rank], sizes[rank] = True, len(token)
-        blob = np.frombuffer(b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])), dtype=np.uint8)
-        starts = np.cumsum(sizes) - sizes
+        tokens = {i: t for t, i in load_ranks(path).items()}
         for batch in batches:
-            chunks = []
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                part = part.fill_null([]) if part.null_count else part
-                values, counts = part.flatten(), part.value_lengths().to_numpy(zero_copy_only=False)
-                if values.null_count:
-                    keep = values.is_valid().to_numpy(zero_copy_only=False)
-                    counts = np.array([int(k.sum()) for k in np.split(keep, np.cumsum(counts)[:-1])])
-                    values = values.drop_null()
-                flat = values.to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(flat) and (flat.min() < 0 or flat.max() >= len(known) or not known[flat].all()):
-                    raise ValueError("an id is not in the vocabulary")
-                width = sizes[flat]
-                total = np.concatenate(([0], np.cumsum(width)))
-                at_byte = np.repeat(starts[flat] - total[:-1], width) + np.arange(total[-1])
-                ends = np.concatenate(([0], np.cumsum(counts)))
-                chunks.append(pa.Array.from_buffers(
-                    pa.binary(), len(part),
-                    [None, pa.py_buffer(total[ends].astype(np.int32)), pa.py_buffer(blob[at_byte].tobytes())],
-                ))
-            yield pa.concat_arrays(chunks) if chunks else pa.array([], pa.binary())
+            yield _decode(tokens, batch)
 
     return df.withColumn(out, decoded.asNondeterministic()(F.col(f"`{ids}`")))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "tokens") -> DataFrame:
+    """Adds ``out``, a struct of the ids of ``text``, their digest (of decimal ids with a blank between) and that of the bytes
+    they decode to: ``ids``, ``ids_sha256``, ``decoded_sha256``. Texts and ids pass to Python and back once."""
+
+    bound_batches(df)
+
+    @F.arrow_udf("struct<ids:array<int>,ids_sha256:string,decoded_sha256:string>")
+    def done(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = worker_encoder(path, pattern)
+        tokens = {i: t for t, i in encoder.ranks.items()}
+        digits = {i: str(i).encode() for i in tokens}
+        sha = hashlib.sha256
+        for batch in batches:
+            texts = [x or "" for x in batch.to_pylist()]
+            for a, b in slices(texts):
+                ids = _encode(encoder, texts[a:b])
+                listed = (x.values.to_numpy(zero_copy_only=False).tolist() for x in ids)
+                spelled = [sha(b" ".join(map(digits.__getitem__, x))).hexdigest() for x in listed]
+                bodies = [sha(x.as_py()).hexdigest() for x in _decode(tokens, ids)]
+                yield pa.StructArray.from_arrays([ids, pa.array(spelled, pa.string()), pa.array(bodies, pa.string())], ["ids", "ids_sha256", "decoded_sha256"])
+            if not texts:
+                yield pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+
+    return df.withColumn(out, done.asNondeterministic()(F.col(f"`{text}`").cast("string")))

@@ -28,14 +28,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     texts = table(spark, folder, "documents").select("doc_id", "text")
-    encoded = bpe.encode_text(texts, path, public_tokenizers.PATTERN).drop("text")
-    decoded = bpe.decode_ids(encoded, path)
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    done = bpe.round_trip(texts, path, public_tokenizers.PATTERN).select("doc_id", "tokens")
+    return done.select("doc_id", F.size("tokens.ids").cast("long").alias("n_tokens"), "tokens.ids_sha256", "tokens.decoded_sha256")
 
 
 @query("op2_permutation_neighbours")

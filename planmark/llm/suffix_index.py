@@ -11,8 +11,9 @@ in it), which is scanned against every level of the shard's index family for equ
 level 0; two levels of one size merge into one of twice the size, so n batches are held in log n
 sorted arrays. What an older level holds belongs to smaller ids.
 
-At scale: exact copies of a text are told apart by a digest and only the first is indexed. Texts stay in batches
-of bounded size, compressed; shards grow in number with the input. A passage that very many documents hold is one
+At scale: exact copies of a text are told apart by a digest and only the first is indexed. Texts are written once in
+batches of bounded size, compressed and bucketed by batch, and later steps join what belongs to a batch without moving
+texts; shards and buckets grow in number with the input. A passage that very many documents hold is one
 anchor entry per batch and document, and its equal stretches are met by look-up before anything is sorted. A hash
 collision only lets more stretches travel; strings are compared byte by byte.
 
@@ -31,7 +32,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from planmark.llm.common import bound_batches, text_of
 from planmark.session import cut_lineage, ensure_checkpoint_dir
@@ -39,8 +42,8 @@ from planmark.session import cut_lineage, ensure_checkpoint_dir
 #: Bytes of a string that counts as repeated; bytes of an anchor.
 LENGTH, SEED = 50, 24
 #: Bytes of text of a batch of documents, and of the documents whose anchors meet in one shard.
-BATCH, SHARD = 8_000_000, 32_000_000
-LEAST_SHARDS = 24
+BATCH, SHARD = 4_000_000, 16_000_000
+LEAST_SHARDS, MOST_BUCKETS = 24, 65536
 #: Strings of a batch of the index family.
 STRINGS = 1 << 17
 _LAST = 2**63 - 1
@@ -188,7 +191,58 @@ def _table(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-_KEPT = "kind string, batch long, ids array<long>, digests array<binary>, sizes array<int>, body binary, stretch_sizes binary, shard_of binary, known binary, asked binary, shard int, hashes binary, docs binary"
+def _kinds(df: DataFrame, function, schema: StructType, buckets: int, columns: dict[str, str]) -> list[DataFrame]:
+    """What ``function`` makes of the batches of ``df``, written once, bucketed by batch: a table for each kind of row."""
+    spark = df.sparkSession
+    name = f"suffix_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    made = df.mapInArrow(function, schema)
+    made.write.option("path", path).partitionBy("kind").bucketBy(buckets, "batch").saveAsTable(name)
+    return [spark.table(name).filter(F.col("kind") == kind).selectExpr(*names.split()) for kind, names in columns.items()]
+
+
+def _per_batch(df: DataFrame, buckets: int, value: Column) -> DataFrame:
+    """(batch, value): all rows of a batch together, laid out like the bucketed tables."""
+    return df.repartition(buckets, "batch").groupBy("batch").agg(value).hint("shuffle_hash")
+
+
+def _texts(narrow: DataFrame, buckets: int) -> list[DataFrame]:
+    """Texts (batch, ids, digests, sizes, body), and rows (batch, idx, doc_id, place, digest, n_bytes, small)."""
+    kind = narrow.schema["doc_id"].dataType
+    schema = StructType(
+        _parse_datatype_string("kind string, batch long, ids array<long>, digests array<binary>, sizes array<int>, body binary, idx int").fields
+        + [StructField("doc_id", kind)] + _parse_datatype_string("place long, digest binary, n_bytes long, small binary").fields
+    )
+    arrow = to_arrow_schema(schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = 0, [], 0
+
+        def written() -> Iterator[pa.RecordBatch]:
+            nonlocal number, held, size
+            batch = TaskContext.get().partitionId() << 32 | number
+            ids, places, digests, texts = ([row[k] for row in held] for k in range(4))
+            sizes, n = [len(t) for t in texts], len(texts)
+            yield _table(
+                arrow, kind=["texts"], batch=[batch], ids=[places], digests=[digests], sizes=[sizes],
+                body=[zstandard.compress(b"".join(texts), 3)],
+            )
+            yield _table(
+                arrow, kind=["rows"] * n, batch=[batch] * n, idx=list(range(n)), doc_id=ids, place=places, digest=digests,
+                n_bytes=sizes, small=[t if len(t) < LENGTH else None for t in texts],
+            )
+            number, held, size = number + 1, [], 0
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and size + len(row[3]) > BATCH:
+                    yield from written()
+                held.append(row)
+                size += len(row[3])
+        if held:
+            yield from written()
+
+    return _kinds(narrow, cut, schema, buckets, {"texts": "batch ids digests sizes body", "rows": "batch idx doc_id place digest n_bytes small"})
 
 
 def _local(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,59 +260,52 @@ def _local(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return known, asked
 
 
-def _batches(rows: DataFrame, shards: int, path: str) -> tuple[DataFrame, DataFrame]:
-    """Written: texts (batch, ids, digests, sizes, body, ...) and anchors (batch, shard, hashes, docs)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    spark = rows.sparkSession
-    schema = _parse_datatype_string(_KEPT)
+def _anchored(texts: DataFrame, first: DataFrame, shards: int, buckets: int) -> list[DataFrame]:
+    """Stretches (batch, stretch_sizes, shard_of, known, asked) and asked anchors (batch, shard, hashes, docs) of the
+    documents ``first`` (batch, idx)."""
+    schema = _parse_datatype_string(
+        "kind string, batch long, stretch_sizes binary, shard_of binary, known binary, asked binary, shard int, hashes binary, docs binary"
+    )
     arrow = to_arrow_schema(schema)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = 0, [], 0
-
-        def written() -> Iterator[pa.RecordBatch]:
-            nonlocal number, held, size
-            batch = TaskContext.get().partitionId() << 32 | number
-            texts = [t for _, _, t in held]
-            doc, first, count, hashes = stretches(texts)
-            shard = (hashes >> np.uint64(32)).astype(np.int64) % shards
-            known, asked = _local(doc, hashes)
+    def anchor(row: dict) -> Iterator[pa.RecordBatch]:
+        batch, ends = row["batch"], np.cumsum(row["sizes"])
+        raw, used = zstandard.decompress(row["body"]), set(row["used"])
+        texts_ = [raw[b - n : b] if i in used else b"" for i, (b, n) in enumerate(zip(ends.tolist(), row["sizes"]))]
+        doc, _, count, hashes = stretches(texts_)
+        shard = (hashes >> np.uint64(32)).astype(np.int64) % shards
+        known, asked = _local(doc, hashes)
+        yield _table(
+            arrow, kind=["stretches"], batch=[batch],
+            stretch_sizes=[zstandard.compress(np.concatenate((np.bincount(doc, minlength=len(texts_)), count)).astype("<u4").tobytes(), 3)],
+            shard_of=[zstandard.compress(shard.astype("<u4").tobytes(), 3)],
+            known=[np.packbits(known).tobytes()], asked=[np.packbits(asked).tobytes()],
+        )
+        order = np.flatnonzero(asked)
+        order = order[np.argsort(shard[order], kind="stable")]
+        if len(order):
+            bounds = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) != 0, [True])))
+            low, owner = hashes[order].astype("<u4"), np.where(known[order], _MANY, doc[order]).astype("<u4")
+            parts = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:])]
             yield _table(
-                arrow, kind=["texts"], batch=[batch], ids=[[i for i, _, _ in held]], digests=[[d for _, d, _ in held]],
-                sizes=[[len(t) for t in texts]], body=[zstandard.compress(b"".join(texts), 3)],
-                stretch_sizes=[zstandard.compress(np.concatenate((np.bincount(doc, minlength=len(texts)), count)).astype("<u4").tobytes(), 3)],
-                shard_of=[zstandard.compress(shard.astype("<u4").tobytes(), 3)],
-                known=[np.packbits(known).tobytes()], asked=[np.packbits(asked).tobytes()],
+                arrow, kind=["anchors"] * len(parts), batch=[batch] * len(parts), shard=[int(shard[order[p.start]]) for p in parts],
+                hashes=[low[p].tobytes() for p in parts], docs=[owner[p].tobytes() for p in parts],
             )
-            order = np.flatnonzero(asked)
-            order = order[np.argsort(shard[order], kind="stable")]
-            if len(order):
-                bounds = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) != 0, [True])))
-                low, owner = hashes[order].astype("<u4"), np.where(known[order], _MANY, doc[order]).astype("<u4")
-                parts = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:])]
-                yield _table(
-                    arrow, kind=["anchors"] * len(parts), batch=[batch] * len(parts), shard=[int(shard[order[p.start]]) for p in parts],
-                    hashes=[low[p].tobytes() for p in parts], docs=[owner[p].tobytes() for p in parts],
-                )
-            number, held, size = number + 1, [], 0
 
-        for batch in batches:
-            for found in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and size + len(found[2]) > BATCH:
-                    yield from written()
-                held.append(found)
-                size += len(found[2])
-        if held:
-            yield from written()
+    used = _per_batch(first, buckets, F.collect_list("idx").alias("used"))
+    met = texts.select("batch", "sizes", "body").join(used, "batch")
+    return _kinds(met, _by_row(anchor), schema, buckets, {"stretches": "batch stretch_sizes shard_of known asked", "anchors": "batch shard hashes docs"})
+
 
-    rows.mapInArrow(cut, schema).write.partitionBy("kind").parquet(path)
-    from pyspark.sql.types import StructType
+def _by_row(function):
+    """``function`` for the rows of batches, one in memory at a time."""
 
-    table = spark.read.schema(StructType([*[f for f in schema if f.name != "kind"], schema["kind"]])).parquet(path)
-    texts = table.filter("kind = 'texts'").select("batch", "ids", "digests", "sizes", "body", "stretch_sizes", "shard_of", "known", "asked")
-    return texts, table.filter("kind = 'anchors'").select("batch", "shard", "hashes", "docs")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield from function(batch.slice(i, 1).to_pylist()[0])
+
+    return run
 
 
 def _shared(anchors_: DataFrame) -> DataFrame:
@@ -290,13 +337,9 @@ def _shared(anchors_: DataFrame) -> DataFrame:
 _STRETCHES = "shard int, batch long, ids binary, docs binary, firsts binary, sizes binary, body binary, gone binary"
 
 
-def _sent(texts: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
+def _sent(texts: DataFrame, cut: DataFrame, shared: DataFrame, shards: int, buckets: int) -> DataFrame:
     """Stretches of shared anchors by shard, equal ones of a batch once: ``gone`` has the spans of its others, in any shard."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     arrow = to_arrow_schema(_parse_datatype_string(_STRETCHES))
-    per_batch = shared.groupBy("batch").agg(F.collect_list(F.struct("shard", "bits")).alias("flags"))
 
     def of_batch(row: dict) -> Iterator[pa.RecordBatch]:
         ids, sizes = np.array(row["ids"], np.int64), np.array(row["sizes"], np.int64)
@@ -340,15 +383,11 @@ def _sent(texts: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
                 sizes=[width[mine].astype("<u4").tobytes()], body=[flat[_ragged(begin[mine], width[mine])].tobytes()], gone=[b""],
             )
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                yield from of_batch(batch.slice(i, 1).to_pylist()[0])
-
+    flags = _per_batch(shared, buckets, F.collect_list(F.struct("shard", "bits")).alias("flags"))
+    none = F.array().cast("array<struct<shard:int,bits:binary>>")
     # a batch without an answer may still share anchors within itself
-    return texts.drop("digests").join(per_batch, "batch", "left").withColumn(
-        "flags", F.coalesce("flags", F.array().cast("array<struct<shard:int,bits:binary>>"))
-    ).mapInArrow(send, _STRETCHES)
+    met = texts.select("batch", "ids", "sizes", "body").join(cut.hint("shuffle_hash"), "batch").join(flags, "batch", "left")
+    return met.withColumn("flags", F.coalesce("flags", none)).mapInArrow(_by_row(of_batch), _STRETCHES)
 
 
 def _found(sent: DataFrame) -> DataFrame:
@@ -375,38 +414,35 @@ def _found(sent: DataFrame) -> DataFrame:
 _RESULT = "digest binary, spans array<struct<start:int,stop:int>>, n_removed long, kept_sha256 string, kept binary"
 
 
-def _cut(texts: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
-    """(digest, spans, n_removed, kept_sha256, kept) of every indexed text."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
+def _cut(texts: DataFrame, first: DataFrame, found: DataFrame, with_text: bool, buckets: int) -> DataFrame:
+    """(digest, spans, n_removed, kept_sha256, kept) of the documents ``first``."""
     arrow = to_arrow_schema(_parse_datatype_string(_RESULT))
-    spans = found.groupBy("batch").agg(F.collect_list("spans").alias("spans"))
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
-                sizes = np.array(row["sizes"], np.int64)
-                ends = np.cumsum(sizes)
-                flat = np.frombuffer(zstandard.decompress(row["body"]), np.uint8)
-                gone = np.frombuffer(b"".join(row["spans"] or []), "<u4").astype(np.int64).reshape(-1, 3)
-                base = (ends - sizes)[gone[:, 0]]
-                edge = np.zeros(len(flat) + 1, dtype=np.int32)
-                np.add.at(edge, base + gone[:, 1], 1)
-                np.add.at(edge, base + gone[:, 2], -1)
-                out = np.cumsum(edge[:-1]) > 0
-                results = {k: [] for k in ("spans", "n_removed", "kept_sha256", "kept")}
-                for a, b in zip((ends - sizes).tolist(), ends.tolist()):
-                    mine = out[a:b]
-                    steps = np.flatnonzero(np.diff(np.concatenate(([False], mine, [False])).astype(np.int8)))
-                    kept = flat[a:b][~mine].tobytes()
-                    results["spans"].append([{"start": int(x), "stop": int(y)} for x, y in steps.reshape(-1, 2)])
-                    results["n_removed"].append(int(mine.sum()))
-                    results["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                    results["kept"].append(kept if with_text else None)
-                yield _table(arrow, digest=row["digests"], **results)
-
-    return texts.select("batch", "digests", "sizes", "body").join(spans, "batch", "left").mapInArrow(finish, _RESULT)
+    def finish(row: dict) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum(np.array(row["sizes"], np.int64))
+        begins = np.concatenate(([0], ends[:-1]))
+        flat = np.frombuffer(zstandard.decompress(row["body"]), np.uint8)
+        gone = np.frombuffer(b"".join(row["spans"] or []), "<u4").astype(np.int64).reshape(-1, 3)
+        edge = np.zeros(len(flat) + 1, dtype=np.int32)
+        np.add.at(edge, begins[gone[:, 0]] + gone[:, 1], 1)
+        np.add.at(edge, begins[gone[:, 0]] + gone[:, 2], -1)
+        out = np.cumsum(edge[:-1]) > 0
+        results = {k: [] for k in ("digest", "spans", "n_removed", "kept_sha256", "kept")}
+        for i in row["used"]:
+            mine = out[begins[i] : ends[i]]
+            steps = np.flatnonzero(np.diff(np.concatenate(([False], mine, [False])).astype(np.int8)))
+            kept = flat[begins[i] : ends[i]][~mine].tobytes()
+            results["digest"].append(row["digests"][i])
+            results["spans"].append([{"start": int(x), "stop": int(y)} for x, y in steps.reshape(-1, 2)])
+            results["n_removed"].append(int(mine.sum()))
+            results["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+            results["kept"].append(kept if with_text else None)
+        yield _table(arrow, **results)
+
+    used = _per_batch(first, buckets, F.collect_list("idx").alias("used"))
+    spans = _per_batch(found, buckets, F.collect_list("spans").alias("spans"))
+    met = texts.select("batch", "digests", "sizes", "body").join(used, "batch").join(spans, "batch", "left")
+    return met.mapInArrow(_by_row(finish), _RESULT)
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
@@ -415,30 +451,27 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     ``spans`` are the removed byte ranges; ``kept`` the bytes left, on request. Ids are integers.
     """
     bound_batches(df)
-    spark = df.sparkSession
-    body = F.col("t").cast("binary")
     narrow = df.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("place"), text_of(text).alias("t")
-    ).withColumn("digest", F.unhex(F.sha2("t", 256)))
-    small = F.when(F.length(body) < LENGTH, body) if with_text else F.lit(None).cast("binary")
-    listed = cut_lineage(narrow.select("doc_id", "place", "digest", F.length(body).cast("long").alias("n_bytes"), small.alias("small")))
-    copied = cut_lineage(
-        listed.groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("lowest")).filter("n > 1").select("digest", "lowest")
-    )
-    total = listed.agg(F.sum("n_bytes")).first()[0] or 0
+    ).select("doc_id", "place", F.unhex(F.sha2("t", 256)).alias("digest"), F.col("t").cast("binary").alias("b"))
+    total = df.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-total // SHARD))
-    first = narrow.filter(F.length(body) >= LENGTH).join(copied, "digest", "left").filter("lowest is null or place = lowest")
-    path = f"{ensure_checkpoint_dir(spark)}/suffix-{uuid.uuid4().hex}"
-    texts, anchored = _batches(first.select("place", "digest", body.alias("b")), shards, path)
-    found = cut_lineage(_found(_sent(texts, cut_lineage(_shared(anchored)), shards)))
-    # rows of one id and text are indexed each and come to the same result
-    results = cut_lineage(_cut(texts, found, with_text).dropDuplicates(["digest"]))
-    short, later = F.col("n_bytes") < LENGTH, F.coalesce(F.col("place") > F.col("lowest"), F.lit(False))
+    buckets = min(shards, MOST_BUCKETS)
+    texts, listed = _texts(narrow, buckets)
+    # of rows of one text, the one with the smallest id is indexed
+    lowest = cut_lineage(listed.groupBy("digest").agg(F.min(F.struct("place", "batch", "idx")).alias("k"), F.first("n_bytes").alias("n_bytes")))
+    first = cut_lineage(lowest.filter(F.col("n_bytes") >= LENGTH).select("k.batch", "k.idx"))
+    cut, anchored = _anchored(texts, first, shards, buckets)
+    shared = cut_lineage(_shared(anchored))
+    found = cut_lineage(_found(_sent(texts, cut, shared, shards, buckets)))
+    results = cut_lineage(_cut(texts, first, found, with_text, buckets))
+    lowest = lowest.select("digest", F.col("k.place").alias("lowest"))
+    short, later = F.col("n_bytes") < LENGTH, F.col("place") > F.col("lowest")
     nothing = F.array().cast("array<struct<start:int,stop:int>>")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("stop")))
     pick = lambda a, b, c, name: F.when(short, a).when(later, b).otherwise(F.col(c)).alias(name)
     zero = F.lit(0).cast("long")
-    out = listed.join(copied, "digest", "left").join(results, "digest", "left").select(
+    out = listed.join(lowest, "digest").join(results, "digest", "left").select(
         "doc_id", "n_bytes", pick(zero, F.col("n_bytes"), "n_removed", "n_removed"),
         pick(F.lower(F.hex("digest")), F.sha2(F.lit(""), 256), "kept_sha256", "kept_sha256"), pick(nothing, whole, "spans", "spans"),
         *([pick(F.col("small"), F.lit(b""), "kept", "kept")] if with_text else []),

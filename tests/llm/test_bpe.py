@@ -1,4 +1,6 @@
 import base64
+import hashlib
+import itertools
 import random
 
 import public_tokenizers
@@ -25,6 +27,13 @@ def test_any_text_as_the_library(text):
     assert ids(text) == REFERENCE.encode_ordinary(text)
 
 
+def test_all_short_white_space_as_the_library():
+    for size in range(7):
+        for letters in itertools.product(" \n\t\r\xa0\u3000a", repeat=size):
+            text = "".join(letters)
+            assert ids(text) == REFERENCE.encode_ordinary(text), repr(text)
+
+
 @pytest.mark.parametrize("text", [
     "", " ", "   ", "a  b", "a \n b", "\n\n a", "it's we'll I'd", "x" * 5000, "ab" * 4000, "日本語テキスト" * 50, "<|endoftext|>",
     "aaaa aaaa   ", " a   b", "tab\tand  two", "é ², ٣ _under_",
@@ -69,3 +78,14 @@ def test_empty_table_and_bad_id(spark, documents):
     token = {v: k for k, v in RANKS.items()}
     assert back == {b"", token[64] + token[65]}
     assert base64.b64encode(token[64])
+
+
+def test_round_trip_in_one_pass(documents):
+    texts = [None, "", "a \xa0 \xa0b", "plain words, twice, plain words", "y" * 30_000, "z " * 700_000]
+    df = documents(*[(i, t) for i, t in enumerate(texts)], tokens2=1, ids="clash")
+    for row in bpe.round_trip(df, PATH, public_tokenizers.PATTERN).collect():
+        want = REFERENCE.encode_ordinary(row["text"] or "")
+        assert row["tokens"]["ids"] == want and row["ids"] == "clash"
+        assert row["tokens"]["ids_sha256"] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert row["tokens"]["decoded_sha256"] == hashlib.sha256((row["text"] or "").encode()).hexdigest()
+    assert bpe.round_trip(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
