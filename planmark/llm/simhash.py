@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from planmark.llm.common import bound_batches, text_of
+from planmark.llm.common import bound_batches, spare, text_of
 from planmark.llm.components import components
 from planmark.session import cut_lineage
 
@@ -184,11 +184,13 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **option
 
 def first_of_groups(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``keep_one`` for the groups ``found`` (doc_id, text_id, root)."""
+    k_id, k_text = spare(df, "k_id", "k_text")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
     kept = found.groupBy("root").agg(F.min(first).alias("k")).select(
-        F.col("k.doc_id").alias("k_id"), F.col("k.text_id").alias("k_text")
+        F.col("k.doc_id").alias(k_id), F.col("k.text_id").alias(k_text)
     )
-    rows = df.withColumns({"s_id": F.col(f"`{doc_id}`"), "s_text": F.md5(text_of(text))})
-    stay = rows.join(kept, F.col("s_id").eqNullSafe(F.col("k_id")) & (F.col("s_text") == F.col("k_text")), "left_semi")
-    one = Window.partitionBy("s_id", "s_text").orderBy(F.lit(0))
-    return stay.withColumn("s_no", F.row_number().over(one)).filter("s_no = 1").select(*df.columns)
+    own_id, own_text, no = spare(df, "s_id", "s_text", "s_no")
+    rows = df.withColumns({own_id: F.col(f"`{doc_id}`"), own_text: F.md5(text_of(text))})
+    stay = rows.join(kept, F.col(own_id).eqNullSafe(F.col(k_id)) & (F.col(own_text) == F.col(k_text)), "left_semi")
+    one = Window.partitionBy(own_id, own_text).orderBy(F.lit(0))
+    return stay.withColumn(no, F.row_number().over(one)).filter(F.col(no) == 1).select(*df.columns)

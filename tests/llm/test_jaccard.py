@@ -2,6 +2,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from planmark.llm import jaccard
 
@@ -54,16 +56,43 @@ def test_stage_against_brute_force(spark, documents):
     assert 20 < len(wanted) < len(texts) - 20
 
 
-def test_order_and_centres_lose_nothing(documents, monkeypatch):
+def test_tiles_and_blocks_lose_nothing(documents, monkeypatch):
     texts = corpus(random.Random(8))
-    monkeypatch.setattr(jaccard, "SAMPLE", 1)
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    monkeypatch.setattr(jaccard, "BLOCK", 150)
     found = jaccard.groups_of(documents(*enumerate(texts))).collect()
     wanted = groups(texts)
     pairs = {(r["root"], wanted[r["doc_id"]]) for r in found}
     assert len(found) == len(texts) and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def test_a_block_of_many_links_hands_on_a_spanning_set():
+    draw = np.random.default_rng(4)
+    base = np.unique(draw.integers(0, 2**63, 500).astype(np.uint64))
+    sets = [np.unique(np.concatenate((base[k:], draw.integers(0, 2**63, k).astype(np.uint64)))) for k in range(60)]
+    tile = (np.arange(60), np.array([len(s) for s in sets]), np.array([jaccard.words(s) for s in sets]).view(np.uint64))
+    half = tuple(x[::2] for x in tile), tuple(x[1::2] for x in tile)
+    for a, b in (jaccard.compared(tile, tile, True), jaccard.compared(*half, False)):
+        assert 0 < len(a) <= 120
+        root = list(range(60))
+        for x, y in zip(a.tolist(), b.tolist()):
+            root = [root[x] if r == root[y] else r for r in root]
+        assert len(set(root)) == 1
+
+
+def test_bits_at_the_limit():
+    draw = np.random.default_rng(1)
+    most = 0
+    for size in (4, 5, 8, 12, 20, 45, 100, 450) * 40:
+        a = draw.integers(0, 2**63, size).astype(np.uint64)
+        extra = draw.integers(0, 2**63, max(1, size // 4)).astype(np.uint64) if size >= 4 else a[:0]
+        w, v = (np.array(jaccard.words(np.unique(x))).view(np.uint64) for x in (a, np.concatenate((a, extra))))
+        bits = np.bitwise_count(w ^ v)
+        most = max(most, int(bits.sum()))
+        assert bits[:2].sum() <= jaccard.HALF
+    assert 40 < most <= jaccard.RADIUS
+
+
 def test_edges(documents):
     same = "the quick brown fox jumps over the lazy dog"
     df = documents((7, same), (3, same.upper()), (3, same.upper()), (None, same), (9, None), (8, ""), (5, "alone"), (None, "unnamed"))

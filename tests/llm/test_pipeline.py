@@ -8,8 +8,9 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from planmark.llm import bpe, line_chunks, mixing, quality, simhash
+from planmark.llm import bpe, line_chunks, mixing, quality
 from planmark.llm.queries import Q, SQL, remainder
+from tests.llm.test_jaccard import groups
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -51,20 +52,8 @@ def test_stages(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in after)
 
     before, after = seen["near_duplicates"]
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) % 2**64 for r in before}
-    root = {d: d for d in prints}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for a in prints:
-        for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    assert sorted(r["doc_id"] for r in after) == sorted({find(d) for d in prints})
+    ordered = sorted(before, key=lambda r: r["doc_id"])
+    assert sorted(r["doc_id"] for r in after) == sorted({ordered[i]["doc_id"] for i in groups([r["text"] for r in ordered])})
 
     before, after = seen["mixing"]
     sizes = lambda rows: sum(len(r["text"].split()) for r in rows)
