@@ -47,11 +47,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the digest of the bytes they decode to."""
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode_text(docs, path, public_tokenizers.PATTERN).drop("text")
-    decoded = bpe.decode_ids(encoded, path)
-    return decoded.select(
-        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    done = bpe.round_trip(docs, path, public_tokenizers.PATTERN).select("doc_id", "lang", "source", "tokens")
+    return done.select(
+        "doc_id", "lang", "source", F.size("tokens.ids").cast("long").alias("n_tokens"), "tokens.ids", "tokens.decoded_sha256"
     )
 
 
