@@ -6,11 +6,14 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from planmark import reference as ref
-from planmark.operators.ordered import running_sum
+from planmark.operators.ordered import running_sum, with_ranges
+from planmark.session import cut_lineage
 
 
 def within(usage: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
@@ -233,36 +236,160 @@ def planned_calls(usage: DataFrame, prices: dict[str, tuple[float, float]] | Non
     )
 
 
-def budget_plan(
-    calls: DataFrame, daily_budget: float = 50.0, per_drawing: float = 0.30, alert_share: float = 0.8
-) -> DataFrame:
-    """Replay of planned calls in order, per day: allowed or not, tier, model, reason.
+#: Calls of a day that one range replays; a longer day is cut into ranges of its order.
+CALLS_PER_RANGE = 1_000_000
+#: Rows of a replay: what a range starts from (day's total, then drawings), and its calls.
+_TOTAL, _DRAWING, _CALL = 0, 1, 2
+
 
-    Each decision depends on all earlier ones of its day, so a day is one ordered pass. It is read
-    as a sorted stream of batches, never gathered: memory holds the day's state only, whose size
-    is bounded by the calls the budget admits, not by the calls that ask. Every call, admitted or
-    not, gets its tier, price and the spend before it.
+def _replay(rows: DataFrame, limits: tuple[float, float, float], decisions: bool) -> DataFrame:
+    """One ordered pass over every range: its starting state, then its calls, read as a sorted stream.
+
+    Gives the decisions and, for each range, what it adds: (kind, day, range_no, drawing_id, spent, tier). Memory
+    holds the drawings that the budget has admitted, not the calls that ask.
     """
+    kinds = dict(rows.dtypes)
+    schema = _parse_datatype_string(
+        f"kind int, range_no int, spent double, {DECISION}"
+        .replace("usage_id bigint", f"usage_id {kinds['usage_id']}").replace("drawing_id bigint", f"drawing_id {kinds['drawing_id']}")
+    )
+    arrow = to_arrow_schema(schema)
+    names = ("day", "range_no", "kind", "usage_id", "drawing_id", "spent", "tier", "cost_0", "cost_1", "cost_2", "model_0", "model_1", "model_2")
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        day, state = None, None
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found)) or [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def ended(day, number, state: BudgetState, start: float, known: dict) -> Iterator[tuple]:
+        yield (_TOTAL, number, state.spend - start, day, None, None, None, None, state.tier, None, None, None)
+        for drawing, spent in state.by_drawing.items():
+            if more := spent - known.get(drawing, 0.0):
+                yield (_DRAWING, number, more, day, None, drawing, None, None, None, None, None, None)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, start, known = None, None, 0.0, {}
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                if r.day != day:
-                    day, state = r.day, BudgetState(daily_budget, per_drawing, alert_share)
-                models = (r.model_0, r.model_1, r.model_2)
-                costs = (r.cost_0, r.cost_1, r.cost_2)
-                rows.append((r.day, r.usage_id, r.drawing_id, *state.decide(r.drawing_id, costs, models)))
-            yield pd.DataFrame(
-                rows,
-                columns=["day", "usage_id", "drawing_id", "allowed", "reason", "tier", "model",
-                         "estimated_cost", "spend_before"],
-            )
-
-    kinds = dict(calls.dtypes)
-    schema = DECISION.replace("usage_id bigint", f"usage_id {kinds['usage_id']}").replace(
-        "drawing_id bigint", f"drawing_id {kinds['drawing_id']}"
-    )
-    ordered = calls.repartition("day").sortWithinPartitions("day", "timestamp", "usage_id")
-    return ordered.mapInPandas(replay, schema)
+            out = []
+            for day, number, kind, usage, drawing, spent, tier, c0, c1, c2, m0, m1, m2 in zip(*(batch.column(n).to_pylist() for n in names)):
+                if (day, number) != at:
+                    if at is not None:
+                        out.extend(ended(*at, state, start, known))
+                    at, state, start, known = (day, number), BudgetState(*limits), 0.0, {}
+                if kind == _TOTAL:
+                    start = state.spend = spent
+                    state.tier = tier
+                elif kind == _DRAWING:
+                    known[drawing] = state.by_drawing[drawing] = spent
+                else:
+                    decided = state.decide(drawing, (c0, c1, c2), (m0, m1, m2))
+                    if decisions:
+                        out.append((_CALL, number, None, day, usage, drawing, *decided))
+            yield table(out)
+        if at is not None:
+            yield table(list(ended(*at, state, start, known)))
+
+    ordered = rows.repartition("day", "range_no").sortWithinPartitions("day", "range_no", "kind", "timestamp", "usage_id")
+    return ordered.select(*names).mapInArrow(replay, schema)
+
+
+def _with_states(ranged: DataFrame, states: DataFrame) -> DataFrame:
+    """Calls of all ranges and what each range starts from (kind, day, range_no, drawing_id, spent, tier)."""
+    return ranged.withColumn("kind", F.lit(_CALL)).unionByName(states, allowMissingColumns=True)
+
+
+def _first_states(ranges: DataFrame, state: DataFrame | None) -> DataFrame:
+    """``state`` (day, drawing_id, spent, tier; a null drawing for the day itself) at the first range of each day."""
+    first = ranges.groupBy("day").agg(F.min("range_no").alias("range_no"))
+    kind = F.when(F.col("drawing_id").isNull(), _TOTAL).otherwise(_DRAWING).alias("kind")
+    return state.join(first, "day").select(kind, "day", "range_no", "drawing_id", "spent", "tier")
+
+
+def _sums_before(keys: list[str]) -> Column:
+    before = Window.partitionBy(*keys).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("spent").over(before), F.lit(0.0))
+
+
+def _settled(ranged: DataFrame, ranges: DataFrame, first: DataFrame, limits: tuple[float, float, float]) -> DataFrame:
+    """What every range starts from, for days of several ranges.
+
+    A range changes spend, tier and drawings by amounts that hardly depend on where it starts, so all ranges are
+    replayed at once from a guess, what they add is summed up over the ranges before (the tier is the
+    lowest before), and this is repeated until the sums stand still. The first n ranges of a day are right after n rounds at
+    the latest; away from the limits two or three rounds do for all.
+    """
+    keys = ["day", "range_no"]
+    asked = cut_lineage(ranged.select(*keys, "drawing_id").distinct())
+    states, mark = first, None
+    while True:
+        added = cut_lineage(_replay(_with_states(ranged, states), limits, False))
+        start = F.lit(-(2**31)).alias("range_no")  # what the day had before its first range
+        day_rows = added.filter(F.col("kind") == _TOTAL).select("day", "range_no", "spent", "tier").unionByName(
+            first.filter(F.col("kind") == _TOTAL).select("day", start, "spent", "tier")
+        )
+        before = Window.partitionBy("day").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+        totals = day_rows.select(
+            F.lit(_TOTAL).alias("kind"), "day", "range_no", _sums_before(["day"]).alias("spent"),
+            F.coalesce(F.min("tier").over(before), F.lit(2)).alias("tier"),
+        ).filter(F.col("range_no") > -(2**31))
+        by_drawing = added.filter(F.col("kind") == _DRAWING).select("day", "range_no", "drawing_id", "spent").unionByName(
+            first.filter(F.col("kind") == _DRAWING).select("day", start, "drawing_id", "spent")
+        )
+        # a drawing's spend reaches the later ranges that ask for it
+        both = by_drawing.unionByName(asked.withColumn("spent", F.lit(0.0))).groupBy("day", "drawing_id", "range_no").agg(F.sum("spent").alias("spent"))
+        drawings = both.select(
+            F.lit(_DRAWING).alias("kind"), "day", "range_no", "drawing_id", _sums_before(["day", "drawing_id"]).alias("spent")
+        ).filter((F.col("range_no") > -(2**31)) & (F.col("spent") > 0))
+        states = cut_lineage(totals.unionByName(drawings, allowMissingColumns=True))
+        found = states.agg(
+            F.count("*"), F.sum(F.xxhash64("kind", "day", "range_no", "drawing_id", "spent", "tier").cast("decimal(38,0)"))
+        ).first()
+        if found == mark:
+            return states
+        mark = found
+
+
+def replay_budget(
+    calls: DataFrame, daily_budget: float = 50.0, per_drawing: float = 0.30, alert_share: float = 0.8,
+    state: DataFrame | None = None, calls_per_range: int = CALLS_PER_RANGE,
+) -> DataFrame:
+    """Decisions on planned calls, and what every range of a day adds (see ``_replay``).
+
+    ``state`` (day, drawing_id, spent, tier) is what earlier calls have left; a null drawing is the day itself.
+    """
+    limits = (daily_budget, per_drawing, alert_share)
+    ranged = with_ranges(calls, ["day"], "timestamp", calls_per_range)
+    ranges = cut_lineage(ranged.select("day", "range_no").distinct())
+    if state is None:
+        kind = calls.schema["drawing_id"].dataType
+        state = calls.select(F.lit(None).cast("date").alias("day"), F.lit(None).cast(kind).alias("drawing_id"), F.lit(0.0).alias("spent"), F.lit(2).alias("tier")).limit(0)
+    first = cut_lineage(_first_states(ranges, state))
+    several = ranges.groupBy("day").count().filter("count > 1").select("day")
+    if several.isEmpty():
+        return _replay(_with_states(ranged, first), limits, True)
+    ranged = cut_lineage(ranged)
+    long = ranged.join(several, "day", "left_semi")
+    settled = _settled(long, ranges.join(several, "day", "left_semi"), first.join(several, "day", "left_semi"), limits)
+    states = first.join(several, "day", "left_anti").unionByName(settled)
+    return _replay(_with_states(ranged, states), limits, True)
+
+
+def decisions(replayed: DataFrame) -> DataFrame:
+    return replayed.filter(F.col("kind") == _CALL).select(*[part.split()[0] for part in DECISION.split(", ")])
+
+
+def state_after(replayed: DataFrame, state: DataFrame | None) -> DataFrame:
+    """``state`` with what ``replayed`` adds: (day, drawing_id, spent, tier)."""
+    added = replayed.filter(F.col("kind") != _CALL).select("day", "drawing_id", "spent", "tier")
+    if state is not None:
+        added = added.unionByName(state.select("day", "drawing_id", "spent", "tier"))
+    return added.groupBy("day", "drawing_id").agg(F.sum("spent").alias("spent"), F.min("tier").alias("tier"))
+
+
+def budget_plan(calls: DataFrame, daily_budget: float = 50.0, per_drawing: float = 0.30, alert_share: float = 0.8, **options) -> DataFrame:
+    """Replay of planned calls in order, per day: allowed or not, tier, model, reason.
+
+    Each decision depends on all earlier ones of its day, because refused calls cost nothing. A day with many calls
+    is replayed in ranges side by side (see ``_settled``); spends then are sums of ranges. Every call,
+    admitted or not, gets its tier, price and the spend before it.
+    """
+    return decisions(replay_budget(calls, daily_budget, per_drawing, alert_share, **options))

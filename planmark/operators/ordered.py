@@ -28,8 +28,12 @@ def with_ranges(df: DataFrame, keys: list[str], order: str, rows_per_range: int
     every = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
     step = F.greatest(F.floor(F.lit(MOST_RANGES) * rows_per_range / F.col("rows_of_key")), F.lit(1))
     used = F.array_distinct(F.filter("quantiles", lambda q, i: (i + 1) % F.col("step") == 0))
+    long = df
+    if keys:  # quantiles for long keys only
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > rows_per_range)
+        long = df.join(sizes.select(*keys), keys, "left_semi")
     cuts = (
-        df.groupBy(*keys).agg(
+        long.groupBy(*keys).agg(
             F.count("*").alias("rows_of_key"),
             F.percentile_approx(value, every, F.lit(4 * MOST_RANGES)).alias("quantiles"),
         )

@@ -36,32 +36,23 @@ def _(v: Views) -> DataFrame:
 @register(
     "stream_daily_spend",
     with_views(
-        """SELECT strftime("timestamp", '%Y-%m-%d') AS date, use_case, count(*) AS calls, round(sum(cost_usd), 6) AS cost_usd FROM usg
-        WHERE CAST("timestamp" AS DATE) + INTERVAL 1 DAY <= (SELECT max("timestamp") - INTERVAL 1 HOUR FROM usg) GROUP BY 1, 2"""
+        """SELECT strftime("timestamp", '%Y-%m-%d') AS date, use_case, count(*) AS calls, round(sum(cost_usd), 6) AS cost_usd FROM usg GROUP BY 1, 2"""
     ),
 )
 def _(v: Views) -> DataFrame:
     folder, root = _stage(v, v.usage, "stream-usage")
     stream = jobs.daily_spend_stream(jobs.read_folder(v.spark, folder, v.usage.schema))
-    jobs.write_folder(stream, f"{root}/out", f"{root}/state").start().awaitTermination()
-    return tidy(v.spark.read.schema(stream.schema).parquet(f"{root}/out"))
+    jobs.write_latest(stream, f"{root}/out", f"{root}/state").start().awaitTermination()
+    return tidy(jobs.read_latest(v.spark, f"{root}/out", stream.schema, ["date", "use_case"]))
 
 
 @register("stream_budget_state", PLAN_SQL)
 def _(v: Views) -> DataFrame:
     calls = cost.planned_calls(v.usage, PLAN_PRICES)
     folder, root = _stage(v, calls, "stream-calls")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = v.spark.conf.get(key)
-    v.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = jobs.budget_stream(
-        jobs.read_folder(v.spark, folder, calls.schema), daily_budget=1.0, per_drawing=0.05
-    )
-    try:
-        jobs.write_folder(stream, f"{root}/out", f"{root}/state").start().awaitTermination()
-    finally:
-        v.spark.conf.set(key, before)
-    return tidy(v.spark.read.schema(stream.schema).parquet(f"{root}/out"), 9)
+    stream = jobs.read_folder(v.spark, folder, calls.schema)
+    jobs.budget_stream(stream, f"{root}/out", f"{root}/state", daily_budget=1.0, per_drawing=0.05).start().awaitTermination()
+    return tidy(jobs.read_decisions(v.spark, f"{root}/out", cost.DECISION), 9)
 
 
 @register("stream_review_alerts", with_views("SELECT drawing_id, overall_confidence FROM drw WHERE needs_review"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import LongType, StructField, StructType
 
 from planmark.operators import cost, extract
+from planmark.session import cut_lineage
 
 
 def read_folder(spark: SparkSession, folder: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -34,7 +33,8 @@ def write_folder(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
 
 
 def daily_spend_stream(usage: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Spend per day and use case; a day closes when the watermark passes its end."""
+    """Spend per day and use case. Written in update mode, so that open days show too; a day leaves the state when
+    the watermark passes its end."""
     return (
         usage.withWatermark("timestamp", lateness)
         .groupBy(F.window("timestamp", "1 day").alias("day"), "use_case")
@@ -53,78 +53,71 @@ def review_alert_stream(drawings: DataFrame, lateness: str = "1 day") -> DataFra
     )
 
 
-class DayBudget(StatefulProcessor):
-    """Budget decisions with the day's spend, tier and drawing totals as keyed state.
+def _batches_before(spark: SparkSession, path: str, number: int, schema: str) -> DataFrame | None:
+    """The newest version below ``number`` of a table that every micro-batch writes anew."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    found = [s.getPath().getName() for s in system.listStatus(folder)]
+    numbers = [int(n.split("=")[1]) for n in found if n.startswith("batch=")]
+    # a version is complete when its marker stands in it
+    complete = [n for n in numbers if n < number and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={n}/_SUCCESS"))]
+    return spark.read.schema(schema).parquet(f"{path}/batch={max(complete)}") if complete else None
+
 
-    A timer clears a day once the watermark has passed its end, so state does not pile up.
+def budget_stream(
+    calls: DataFrame, path: str, checkpoint: str, daily_budget: float = 50.0, per_drawing: float = 0.30, alert_share: float = 0.8,
+    keep_days: int = 2, **options,
+) -> DataStreamWriter:
+    """Decisions for arriving calls (``planned_calls`` of a usage stream), in ``path``/decisions.
+
+    The state is a table of keyed rows, one for each day and one for each drawing of a day, in a version for each
+    micro-batch. A batch takes the version before its own, is decided like ``budget_plan``, and overwrites its own
+    decisions and version, so that a batch that is run again after a failure gives the same tables. Days that
+    lie more than ``keep_days`` behind the newest one leave the state. Calls of a day must arrive in the order of time.
     """
+    kind = calls.schema["drawing_id"].dataType.simpleString()
+    schema = f"day date, drawing_id {kind}, spent double, tier int"
 
-    def __init__(self, daily: float, per_drawing: float, alert_share: float, drawing_type: str):
-        self.limits = (daily, per_drawing, alert_share)
-        self.drawing_type = drawing_type
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.total = handle.getValueState("total", "spend double, tier int")
-        self.drawings = handle.getMapState("drawings", f"drawing_id {self.drawing_type}", "spend double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = cost.BudgetState(*self.limits)
-        if self.total.exists():
-            state.spend, state.tier = self.total.get()
-        else:
-            end = pd.Timestamp(key[0], tz="UTC") + pd.Timedelta(days=1)
-            self.handle.registerTimer(int(end.timestamp() * 1000))
-        calls = pd.concat(list(rows)).sort_values(["timestamp", "usage_id"])
-        changed, decisions = set(), []
-        for r in calls.itertuples(index=False):
-            if r.drawing_id not in state.by_drawing:
-                who = (r.drawing_id,)
-                known = self.drawings.getValue(who)[0] if self.drawings.containsKey(who) else 0.0
-                state.by_drawing[r.drawing_id] = known
-            decided = state.decide(
-                r.drawing_id, (r.cost_0, r.cost_1, r.cost_2), (r.model_0, r.model_1, r.model_2)
-            )
-            if decided[0]:
-                changed.add(r.drawing_id)
-            decisions.append((r.day, r.usage_id, r.drawing_id, *decided))
-        for drawing in changed:
-            self.drawings.updateValue((drawing,), (state.by_drawing[drawing],))
-        self.total.update((state.spend, state.tier))
-        yield pd.DataFrame(
-            decisions,
-            columns=["day", "usage_id", "drawing_id", "allowed", "reason", "tier", "model",
-                     "estimated_cost", "spend_before"],
-        )
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.total.clear()
-        self.drawings.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+    def decide(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = _batches_before(spark, f"{path}/state", number, schema)
+        replayed = cut_lineage(cost.replay_budget(cut_lineage(batch), daily_budget, per_drawing, alert_share, state=known, **options))
+        cost.decisions(replayed).write.mode("overwrite").parquet(f"{path}/decisions/batch={number}")
+        state = cut_lineage(cost.state_after(replayed, known))
+        newest = state.agg(F.max("day")).first()[0]
+        if newest is not None:
+            state = state.filter(F.col("day") >= F.date_sub(F.lit(newest), keep_days))
+        state.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
 
+    return calls.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def read_decisions(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All decisions that a budget stream has written."""
+    return spark.read.schema(schema).parquet(f"{path}/decisions").drop("batch")
+
+
+def write_latest(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Changed rows of an aggregate, a folder for each micro-batch; a repeated batch overwrites itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def budget_stream(
-    calls: DataFrame, daily_budget: float = 50.0, per_drawing: float = 0.30, alert_share: float = 0.8,
-    lateness: str = "2 days",
-) -> DataFrame:
-    """Decisions for arriving calls (``planned_calls`` of a usage stream)."""
-    kinds = dict(calls.dtypes)
-    schema = cost.DECISION.replace("usage_id bigint", f"usage_id {kinds['usage_id']}").replace(
-        "drawing_id bigint", f"drawing_id {kinds['drawing_id']}"
-    )
     return (
-        calls.withWatermark("timestamp", lateness)
-        .groupBy("day")
-        .transformWithStateInPandas(
-            statefulProcessor=DayBudget(daily_budget, per_drawing, alert_share, kinds["drawing_id"]),
-            outputStructType=schema, outputMode="Append", timeMode="EventTime",
-        )
+        df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     )
 
 
+def read_latest(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
+    """The table that ``write_latest`` keeps: of each key the row of the newest batch, open days included."""
+    rest = [f.name for f in schema if f.name not in keys]
+    written = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(path)
+    newest = F.max_by(F.struct(*rest), "batch").alias("newest")
+    return written.groupBy(*keys).agg(newest).select(*keys, "newest.*")
+
+
 def collect_alerts(alerts: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Micro-batches to a folder per batch number, so that a repeated batch overwrites itself."""
 
