@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from planmark.functions import checks, bbox as bb, text as tx, units
-from planmark.operators import extract
+from planmark.operators import extract, near_text
 from planmark.plans.helpers import tidy
 from planmark.plans.registry import registry
 from planmark.plans.views import PAGE_HEIGHT, PAGE_WIDTH, Views, with_views
@@ -242,6 +242,23 @@ def _(v: Views) -> DataFrame:
     return tidy(extract.fuzzy_block_match(wanted, v.text_blocks))
 
 
+@register(
+    "near_duplicate_text",
+    r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(trim(coalesce(text, ''))), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] ELSE list_sort(list_distinct(list_transform(
+      range(greatest(1, len(ws) - 4)), lambda i: array_to_string(ws[i + 1:i + 5], ' ')))) END AS sh FROM w),
+    class AS (SELECT sh, min(doc_id) AS text_id, len(sh) AS n FROM s GROUP BY sh),
+    e AS (SELECT text_id, n, unnest(sh) AS x FROM class),
+    shared AS (SELECT a.text_id AS a, b.text_id AS b, a.n + b.n AS both_n, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.text_id < b.text_id GROUP BY 1, 2, 3),
+    links AS (SELECT a, b FROM shared WHERE 5 * c >= 4 * (both_n - c) UNION SELECT b, a FROM shared WHERE 5 * c >= 4 * (both_n - c)),
+    reach AS (SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
+    grp AS (SELECT node, least(node, min(other)) AS group_id FROM reach GROUP BY 1)
+    SELECT doc_id, text_id, coalesce(group_id, text_id) AS group_id FROM s JOIN class USING (sh) LEFT JOIN grp ON node = text_id""",
+)
+def _(v: Views) -> DataFrame:
+    return near_text.near_duplicate_text(v.table("documents"))
+
+
 # ---- scalar functions ------------------------------------------------------------------------
 
 
