@@ -121,6 +121,70 @@ def neighbour_edges(points: DataFrame, eps: float, small: int = spatial.DENSE_LI
     return edges.unionByName(inside).unionByName(sure).unionByName(touching)
 
 
+def _cubes(points: DataFrame, eps: float) -> tuple[DataFrame, list[str]]:
+    """Adds the place of every point in a grid of cubes of diagonal eps, whose members are all near each other."""
+    cube = eps / math.sqrt(3.0) * (1 - 1e-9)
+    cells = [f"g{f[1]}" for f in FEATURES]
+    return points.withColumns({g: F.floor(F.col(f) / cube) for f, g in zip(FEATURES, cells)}), cells
+
+
+def _around(points: DataFrame, cells: list[str]) -> DataFrame:
+    """A row for every cube that can hold a point near the row's own."""
+    for g in cells:
+        points = points.withColumn(f"n{g}", F.explode(F.sequence(F.col(g) - 2, F.col(g) + 2)))
+    return points
+
+
+def density_members(points: DataFrame, eps: float, min_samples: int, small: int = spatial.DENSE_LIMIT) -> DataFrame:
+    """(detection_id, group_id) of density clusters: a core has ``min_samples`` shapes, itself included, within eps; cores
+    within eps are one cluster, named by its smallest core; another shape within eps of cores joins the
+    cluster with the smallest name among them. All else is noise.
+
+    A cube of the grid with ``min_samples`` members has cores only. So neighbours are counted only for members of thinner
+    cubes, each of which has a bounded number; classes with few shapes are compared as lists.
+    """
+    group = ["drawing_id", "class_name"]
+    slim = cut_lineage(points.select(*group, "detection_id", *FEATURES, "members"))
+    here = {f: F.col(f) for f in FEATURES}
+    few, many = slim.where(F.col("members") <= small), slim.where(F.col("members") > small)
+    lists = few.groupBy(*group).agg(F.collect_list(F.struct("detection_id", *FEATURES)).alias("others"))
+    close = lambda others: F.filter(others, lambda o: _gap(here, {f: o[f] for f in FEATURES}) <= eps)
+    counted = few.join(lists, group).select("detection_id", (F.size(close(F.col("others"))) >= min_samples).alias("core"))
+
+    placed, cells = _cubes(many, eps)
+    sizes = placed.groupBy(*group, *cells).agg(F.count("*").alias("in_cube"))
+    sized = cut_lineage(placed.join(sizes, [*group, *cells]))
+    dense, thin = F.col("in_cube") >= min_samples, F.col("in_cube") < min_samples
+    other = sized.select(*[F.col(c).alias(f"o_{c}") for c in (*group, *cells, "detection_id", *FEATURES)])
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Points of ``left`` with those of ``right`` (o_ columns) within eps, itself included."""
+        same = [F.col(c) == F.col(f"o_{c}") for c in group] + [F.col(f"n{g}") == F.col(f"o_{g}") for g in cells]
+        both = _around(left, cells).join(right, same)
+        return both.where(_gap(here, {f: F.col(f"o_{f}") for f in FEATURES}) <= eps)
+
+    near = met(sized.where(thin), other).groupBy("detection_id").agg((F.count("*") >= min_samples).alias("core"))
+    counted = cut_lineage(counted.unionByName(sized.where(dense).select("detection_id", F.lit(True).alias("core"))).unionByName(near))
+    core_ids = counted.where("core").select("detection_id")
+    cores = cut_lineage(slim.join(core_ids, "detection_id", "left_semi"))
+    linked = connected_components(neighbour_edges(cores, eps, small)).withColumnRenamed("node", "detection_id")
+    named = cut_lineage(
+        core_ids.join(linked, "detection_id", "left").select("detection_id", F.coalesce("component", "detection_id").alias("group_id"))
+    )
+    rest = slim.join(core_ids, "detection_id", "left_anti")
+    core_lists = (
+        cores.where(F.col("members") <= small).join(named, "detection_id").groupBy(*group)
+        .agg(F.collect_list(F.struct("group_id", *FEATURES)).alias("others"))
+    )
+    border = rest.join(core_lists, group).select(
+        "detection_id", F.array_min(F.transform(close(F.col("others")), lambda o: o["group_id"])).alias("group_id")
+    ).where("group_id is not null")
+    named_cores = other.join(named.withColumnsRenamed({"detection_id": "o_detection_id"}), "o_detection_id")
+    thin_rest = sized.where(thin).join(core_ids, "detection_id", "left_anti")
+    border_many = met(thin_rest, named_cores).groupBy("detection_id").agg(F.min("group_id").alias("group_id"))
+    return named.unionByName(border).unionByName(border_many)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for all nodes of an edge table; the component is its smallest node.
 
@@ -156,13 +220,17 @@ def multi_view_groups(
 ) -> DataFrame:
     """Groups of like shapes with view names and the largest shape.
 
-    With two samples a density cluster is a connected component of the eps graph.
+    With two samples a density cluster is a connected component of the eps graph; with another number see
+    ``density_members``. A cluster of one shape is no group.
     """
-    if min_samples != 2:
-        raise ValueError("only two-sample clusters are supported")
+    if min_samples < 1:
+        raise ValueError("a cluster has one sample at least")
     points = standardized(detections)
-    groups = connected_components(neighbour_edges(points, eps, small))
-    joined = points.join(groups.withColumnRenamed("node", "detection_id"), "detection_id")
+    if min_samples == 2:
+        groups = connected_components(neighbour_edges(points, eps, small)).withColumnRenamed("node", "detection_id")
+    else:
+        groups = density_members(points, eps, min_samples, small).withColumnRenamed("group_id", "component")
+    joined = points.join(groups, "detection_id")
     biggest = F.struct("area", (-F.col("detection_id")).alias("first")) if dict(points.dtypes)["detection_id"] in (
         "bigint", "int") else F.struct("area", "detection_id")
     summed = joined.groupBy("drawing_id", "class_name", "component").agg(
@@ -179,7 +247,8 @@ def multi_view_groups(
         .when(F.col("shapes") == 2, names("top", "front"))
         .otherwise(names("top", "front", "side"))
     )
-    return summed.where(F.coalesce(F.try_divide("min_area", "max_area"), F.lit(0.0)) >= min_ratio).select(
+    alike = F.coalesce(F.try_divide("min_area", "max_area"), F.lit(0.0)) >= min_ratio
+    return summed.where(alike & (F.col("shapes") > 1)).select(
         "drawing_id", "class_name", F.col("component").alias("group_id"), "shapes",
         views.alias("views"), "primary_shape_id",
     )

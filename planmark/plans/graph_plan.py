@@ -141,21 +141,34 @@ def _sheets(v: Views) -> DataFrame:
     return v.detections.join(orders, "drawing_id").withColumn("drawing_id", F.col("o_custkey"))
 
 
-@register(
-    "multi_view_groups",
-    with_views(
-        """SELECT sheet AS drawing_id, class_name, component AS group_id, count(*) AS shapes,
+GROUPS = """SELECT sheet AS drawing_id, class_name, component AS group_id, count(*) AS shapes,
         CASE WHEN max(x+w/2.0)-min(x+w/2.0) > max(y+h/2.0)-min(y+h/2.0) THEN CASE WHEN count(*) = 2 THEN 'front,side' ELSE 'front,side,top' END
           ELSE CASE WHEN count(*) = 2 THEN 'top,front' ELSE 'top,front,side' END END AS views,
         arg_min(detection_id, (-w*h, detection_id)) AS primary_shape_id
-        FROM pts JOIN comp ON node = detection_id GROUP BY 1, 2, 3 HAVING min(w*h)/max(w*h) >= 0.5""",
-        **VIEWS,
-    ),
-)
+        FROM pts JOIN comp ON node = detection_id GROUP BY 1, 2, 3 HAVING min(w*h)/max(w*h) >= 0.5"""
+
+
+@register("multi_view_groups", with_views(GROUPS, **VIEWS))
 def _(v: Views) -> DataFrame:
     return tidy(view_groups.multi_view_groups(_sheets(v), eps=0.5))
 
 
+DENSE_VIEWS = {
+    "sht": SHEETS, "pts": POINTS, "near": NEAR,
+    "core": "SELECT a AS id FROM near GROUP BY a HAVING count(*) + 1 >= 3",
+    "linked": "SELECT n.a, n.b FROM near n JOIN core x ON x.id = n.a JOIN core y ON y.id = n.b",
+    "reach": "SELECT a AS node, b AS other FROM linked UNION SELECT r.node, n.b FROM reach r JOIN linked n ON n.a = r.other",
+    "cores": "SELECT id AS node, least(id, coalesce(min(other), id)) AS component FROM core LEFT JOIN reach ON node = id GROUP BY id",
+    "comp": """SELECT node, component FROM cores UNION ALL
+      SELECT n.a, min(c.component) FROM near n JOIN cores c ON c.node = n.b WHERE n.a NOT IN (SELECT id FROM core) GROUP BY n.a""",
+}
+
+
+@register("multi_view_groups_dense", with_views(GROUPS, **DENSE_VIEWS))
+def _(v: Views) -> DataFrame:
+    return tidy(view_groups.multi_view_groups(_sheets(v), eps=0.5, min_samples=3))
+
+
 @register(
     "primary_view_shape",
     with_views(
