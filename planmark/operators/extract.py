@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from planmark import reference as ref
 from planmark.functions import bbox as bb, text as tx, units
@@ -85,33 +85,39 @@ def _finish(found: DataFrame, method: str) -> DataFrame:
 
 
 def dictionary_entities(text_blocks: DataFrame, names: list[str] | DataFrame | None = None) -> DataFrame:
-    """Manufacturer names as whole tokens, any case; linked to the first block of the drawing
-    that holds the text. A list of names is a literal set, a table of names is joined."""
-    tokens = F.filter(F.split("content", r"[^A-Za-z0-9]+"), lambda t: t != "")
+    """Manufacturer names as whole tokens, any case, a row for every mention; each is linked to the first block of
+    its drawing that holds the text of the mention, and mentions of a block are numbered in reading order. A list of
+    names is a literal set, a table of names is joined."""
+    tokens = F.split("content", r"[^A-Za-z0-9]+")
+    place = ["drawing_id", "block_no", "text_id"]
     if isinstance(names, DataFrame):
         known = names.select(F.lower("name").alias("known")).distinct()
-        found = (
-            text_blocks.withColumn("token", F.explode(F.array_distinct(tokens)))
-            .join(known, F.lower("token") == F.col("known"), "left_semi")
+        likely = text_blocks
+        mentions = likely.select(*place, F.posexplode(tokens).alias("pos", "token")).join(
+            known, F.lower("token") == F.col("known"), "left_semi"
         )
     else:
         known = [name.lower() for name in (names or ref.OEM_NAMES)]
-        hits = F.filter(F.array_distinct(tokens), lambda t: F.lower(t).isin(known))
         # a plain substring test spares most blocks the split into tokens
-        likely = tx.contains_any(F.lower("content"), known)
-        found = text_blocks.where(likely).withColumn("token", F.explode(hits))
+        likely = text_blocks.where(tx.contains_any(F.lower("content"), known))
+        mentions = likely.select(*place, F.posexplode(tokens).alias("pos", "token")).where(F.lower("token").isin(known))
+    mentions = mentions.where("token <> ''")
     first = (
-        found.groupBy("drawing_id", "token")
+        mentions.select("drawing_id", "token").distinct()
+        .join(likely.select(*place, "content", "bbox"), "drawing_id").where(F.contains("content", "token"))
+        .groupBy("drawing_id", "token")
         .agg(F.min_by(F.struct("text_id", "bbox"), F.struct("block_no", "text_id")).alias("block"))
-        .select("drawing_id", "token", "block.*")
     )
+    order = Window.partitionBy("drawing_id", "block.text_id").orderBy("block_no", "text_id", "pos")
+    found = mentions.join(first, ["drawing_id", "token"]).withColumn("no", F.row_number().over(order).cast("bigint"))
+    found = found.select("drawing_id", "token", "no", "block.*")
     hit = F.struct(
         F.lit("OEM").alias("entity_type"),
         F.col("token").alias("original_text"),
-        F.lit(1).cast("bigint").alias("occurrence"),
+        F.col("no").alias("occurrence"),
         F.lit(ref.DICTIONARY_CONFIDENCE).alias("confidence"),
     )
-    return _finish(first.withColumn("hit", hit), "spacy")
+    return _finish(found.withColumn("hit", hit), "spacy")
 
 
 def extract_entities(

@@ -220,11 +220,13 @@ SQL = {
     "ent_rx": """SELECT text_id, drawing_id, entity_type, conf::DOUBLE AS confidence, 'regex' AS method, x, y, w, h,
         unnest(vals) AS original_text, unnest(range(1, len(vals)+1)) AS occurrence FROM ent_raw""",
     "oem": """SELECT unnest(['SKF','Timken','NSK','NTN','FAG','INA','Schaeffler','KOYO','NACHI','THK','IKO']) AS name""",
-    "ent_tok": """SELECT DISTINCT text_id, drawing_id, block_no, content, tok, x, y, w, h FROM (
-        SELECT *, unnest(string_split_regex(content, '[^A-Za-z0-9]+')) AS tok FROM txt) WHERE tok <> ''""",
-    "ent_oem": """SELECT text_id, drawing_id, 'OEM' AS entity_type, 0.85::DOUBLE AS confidence, 'spacy' AS method, x, y, w, h,
-        tok AS original_text, 1::BIGINT AS occurrence FROM ent_tok JOIN oem ON lower(tok)=lower(name)
-        QUALIFY row_number() OVER (PARTITION BY drawing_id, tok ORDER BY block_no, text_id)=1""",
+    "ent_tok": """SELECT * FROM (SELECT text_id, drawing_id, block_no, unnest(toks) AS tok, unnest(range(len(toks))) AS pos
+        FROM (SELECT *, string_split_regex(content, '[^A-Za-z0-9]+') AS toks FROM txt)) JOIN oem ON lower(tok)=lower(name)""",
+    "ent_at": """SELECT drawing_id, tok, arg_min(text_id, (block_no, text_id)) AS at_text FROM (SELECT DISTINCT drawing_id, tok FROM ent_tok)
+        JOIN txt USING (drawing_id) WHERE contains(content, tok) GROUP BY 1, 2""",
+    "ent_oem": """SELECT b.text_id, b.drawing_id, 'OEM' AS entity_type, 0.85::DOUBLE AS confidence, 'spacy' AS method, b.x, b.y, b.w, b.h,
+        m.tok AS original_text, row_number() OVER (PARTITION BY b.text_id ORDER BY m.block_no, m.text_id, m.pos) AS occurrence
+        FROM ent_tok m JOIN ent_at a ON a.drawing_id = m.drawing_id AND a.tok = m.tok JOIN txt b ON b.text_id = a.at_text""",
     "ent": """SELECT *, trim(original_text) AS value,
         text_id||'|'||entity_type||'|'||occurrence||'|'||method AS entity_key FROM
         (SELECT * FROM ent_rx UNION ALL SELECT text_id, drawing_id, entity_type, confidence, method, x, y, w, h, original_text, occurrence FROM ent_oem)""",

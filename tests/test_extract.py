@@ -38,13 +38,21 @@ def test_ids_are_stable(spark):
 
 
 def test_dictionary(spark):
-    df = blocks(spark, "bearing by skf", "SKF and SKF", "Timken SKF")
-    found = rows(extract.dictionary_entities(df), "value", "source_text_id")
-    assert found == [("SKF", 1), ("Timken", 2), ("skf", 0)]
+    df = blocks(spark, "bearing by skf", "SKFX, SKF and SKF", "Timken SKF", "none")
+    found = rows(extract.dictionary_entities(df), "value", "source_text_id", "occurrence")
+    # every mention, at the first block that holds its text
+    assert found == [("SKF", 1, 1), ("SKF", 1, 2), ("SKF", 1, 3), ("Timken", 2, 1), ("skf", 0, 1)]
+    ids = rows(extract.dictionary_entities(df), "entity_id")
+    assert len(set(ids)) == len(ids)
     names = spark.createDataFrame([("Bearing",)], "name string")
     assert rows(extract.dictionary_entities(df, names), "value", "source_text_id") == [("bearing", 0)]
 
 
+def test_a_mention_lies_in_an_earlier_block(spark):
+    df = blocks(spark, "type SKF22", "by SKF")
+    assert rows(extract.dictionary_entities(df), "value", "source_text_id", "occurrence") == [("SKF", 0, 1)]
+
+
 def test_title_block_spans_blocks(spark):
     df = blocks(spark, "SCALE:", "1:5 REV", "B 3/04/2024", "PN ABC-10020 Timken", "SKF SCALE 2:1")
     found = extract.title_block_fields(df).first().asDict()
