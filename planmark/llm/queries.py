@@ -40,7 +40,7 @@ def op2_permutation_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_line_chunks")
 def op4_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    return line_chunks.dedup_lines(documents, count="removed_chunks")
+    return line_chunks.dedup_lines(documents, count="removed_passages")
 
 
 @query(

@@ -8,9 +8,10 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from planmark.llm import bpe, line_chunks, mixing, quality
+from planmark.llm import bpe, mixing, quality
 from planmark.llm.queries import Q, SQL, remainder
 from tests.llm.test_jaccard import groups
+from tests.llm.test_line_chunks import expected as expected_lines
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -37,17 +38,8 @@ def test_stages(spark, tmp_path):
 
     before, after = seen["line_dedup"]
     assert sorted(r["doc_id"] for r in before) == sorted(r["doc_id"] for r in after)
-    bodies, wanted = set(), {}
-    for r in sorted(before, key=lambda r: r["doc_id"]):
-        lines, left = r["text"].split("\n"), []
-        for a, b in line_chunks.chunks(lines):
-            body = "\n".join(lines[a:b])
-            if b - a >= 2 and body.strip():
-                if body in bodies:
-                    continue
-                bodies.add(body)
-            left += lines[a:b]
-        wanted[r["doc_id"]] = "\n".join(left)
+    cleaned = expected_lines([(r["doc_id"], r["text"]) for r in before])
+    wanted = {doc_id: text for (doc_id, _), (text, _) in cleaned.items()}
     assert {r["doc_id"]: r["text"] for r in after} == wanted
     assert all(r["n_chars"] == len(r["text"]) for r in after)
 
