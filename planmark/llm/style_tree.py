@@ -6,15 +6,20 @@ stands (content) and which inline markup its blocks have (presentation). Content
 pages carries little: a text on c of m pages has importance 1 - log(c) / log(m), and a node the mean
 over its different texts. Presentation is worth its entropy to base m. A node's importance joins the
 two, nine parts to one, times a prior from the markup: navigation, headers, footers, asides, forms and
-elements whose class, id or role names such a thing have none; what stands outside ``article`` or
-``main`` on a page that has one counts half. Blocks of nodes below ``THRESHOLD`` are removed, blocks
-inside ``article`` or ``main`` only by their markup. A host with few pages, or none in its address,
-is judged by the tree merged over all hosts. Pages join the short list of their host's low nodes.
+elements whose class, id or role names nothing but such a thing have none; what a name leaves in doubt
+(``ad-hoc``), and what stands outside ``article`` or ``main`` on a page that has one, counts half; what
+stands inside counts double. Blocks of nodes below ``THRESHOLD`` are removed, so a line that a site
+repeats within its articles under a class that says nothing goes by the tree alone. A host with few
+pages, or none in its address, is judged by the tree merged over all hosts. Pages join the short list of
+their host's low nodes.
 
 Behaviour at the edges: a null or empty page has an empty text; malformed markup is read as browsers
 read it as far as blocks go (a block start ends an open paragraph, stray end tags are ignored, an
-open comment or script runs to the end); equal pages of a host count once; repeated rows and null or
-equal ids keep one result row each; an empty table gives an empty result; columns beside the page's
+open comment or script runs to the end; a quoted attribute may have any length; ``article`` and ``main``
+inside a form are read as such); an element of noise inside a paragraph leaves the paragraph whole; pages
+of a host with equal text inside ``article`` or ``main``, or equal as a whole where they have none, count
+once, so copied articles stay; very long pages are read like others, in one task each; repeated rows and
+null or equal ids keep one result row each; an empty table gives an empty result; columns beside the page's
 are passed through, columns named as the results are replaced.
 """
 
@@ -23,6 +28,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -32,6 +38,8 @@ from planmark.llm.common import bound_batches, spare, text_of
 from planmark.session import cut_lineage
 
 THRESHOLD, LEAST_PAGES, CONTENT_SHARE = 0.4, 4, 0.9
+#: What the importance of a node counts inside article or main, and where the markup speaks against it.
+INSIDE, DOUBTED = 2.0, 0.5
 
 # fixed values: element names of HTML, and words by which sites name what is not the article
 BLOCKS = frozenset(
@@ -49,6 +57,12 @@ NOISE_WORDS = frozenset(
     "newsletter notice notices notification pager pagination popup promo promoted related replies respond share "
     "sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Words that say nothing beside a noise word, as in ``share-buttons`` or ``site-footer-2``.
+PLAIN_WORDS = frozenset(
+    "area article bar block body bottom box btn button buttons column container content form global group icon icons inline "
+    "inner item items js left link links list main middle mobile module outer page panel post posts primary right row "
+    "secondary section site slot sticky text thread title top unit wrap wrapper".split()
+)
 #: Names of headers: noise outside the article, its title inside.
 HEADER_WORDS = frozenset("header masthead topbar".split())
 MAIN_TAGS = frozenset(("article", "main"))
@@ -56,7 +70,7 @@ MAIN_TAGS = frozenset(("article", "main"))
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table dl article section div body html".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]{0,8192}\"|'[^']{0,8192}')*+)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -69,19 +83,46 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _is_noise(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
+NONE, DOUBT, FORM, NOISE = range(4)
+
+
+def _named(attributes: dict[str, str], in_main: bool) -> int:
+    """What the class and id say: each name whose words are all noise or plain ones, one of them noise, is noise."""
+    found = NONE
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = {w.lower() for w in _NAME.findall(name)}
+        noise = words & NOISE_WORDS or (set() if in_main else words & HEADER_WORDS)
+        if noise:
+            plain = all(w in noise or w in PLAIN_WORDS or w.isdigit() or len(w) == 1 for w in words)
+            found = max(found, NOISE if plain else DOUBT)
+    return found
+
+
+def _noise(tag: str, attributes: dict[str, str], in_main: bool) -> int:
+    """How far the markup speaks against an element; FORM no longer holds for an article inside."""
     if tag in NOISE_TAGS or (tag == "header" and not in_main):
-        return True
+        return FORM if tag == "form" and not attributes.get("role") and not _named(attributes, in_main) else NOISE
     if not attributes:
-        return False
+        return NONE
     if "hidden" in attributes or _HIDDEN.search(attributes.get("style", "")):
-        return True
+        return NOISE
     if attributes.get("role", "").lower() in NOISE_ROLES:
-        return True
+        return NOISE
     if tag in ("html", "body", *MAIN_TAGS) and "comment" not in attributes.get("class", "").lower():
-        return False
-    words = {w.lower() for w in _NAME.findall(attributes.get("class", "") + " " + attributes.get("id", ""))}
-    return bool(words & NOISE_WORDS) or (not in_main and bool(words & HEADER_WORDS))
+        return NONE
+    return _named(attributes, in_main)
+
+
+def _ends(page: str, tag: str) -> dict[int, tuple[int, int]]:
+    """For each element ``tag`` by the place of its start tag: where its end tag begins and ends."""
+    opened, out = [], {}
+    for m in re.compile(f"<(/?){re.escape(tag)}(?=[\\s/>])", re.IGNORECASE).finditer(page):
+        if not m[1]:
+            opened.append(m.start())
+        elif opened:
+            stop = page.find(">", m.end())
+            out[opened.pop()] = m.start(), len(page) if stop < 0 else stop + 1
+    return out
 
 
 def _signature(tag: str, attributes: dict[str, str]) -> str:
@@ -92,18 +133,20 @@ def _signature(tag: str, attributes: dict[str, str]) -> str:
 
 def blocks(page: str) -> list[tuple[str, str, str, str]]:
     """(path, text, inline markup, where) of each block with text, in page order; where is ``noise``,
-    ``main`` or ``other``."""
+    ``doubt``, ``main`` or ``other``."""
     out: list[tuple[str, str, str, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, inside noise, inside main
+    stack: list[tuple[str, str, int, bool]] = []  # tag, path, noise, inside main
     words: list[str] = []
     inline: list[str] = []
+    ends: dict[str, dict[int, tuple[int, int]]] = {}
     at, size = 0, len(page)
 
     def flush() -> None:
         text = " ".join("".join(words).split())
         if text:
-            _, path, noise, main = stack[-1] if stack else ("", "", False, False)
-            out.append((path, text, ",".join(dict.fromkeys(inline)), "noise" if noise else "main" if main else "other"))
+            _, path, noise, main = stack[-1] if stack else ("", "", NONE, False)
+            where = "noise" if noise >= FORM else "doubt" if noise else "main" if main else "other"
+            out.append((path, text, ",".join(dict.fromkeys(inline)), where))
         words.clear()
         inline.clear()
 
@@ -159,18 +202,16 @@ def blocks(page: str) -> list[tuple[str, str, str, str]]:
             continue
         if tag not in BLOCKS:
             attributes = _attributes(raw)
-            if attributes and tag not in VOID and _is_noise(tag, attributes, bool(stack) and stack[-1][3]):
-                flush()
-                _, path, _, main = stack[-1] if stack else ("", "", False, False)
-                if not raw.endswith("/"):
-                    end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.IGNORECASE).search(page, at)
-                    if end is not None:
-                        inner = html.unescape(re.sub(r"<[^>]*>", " ", page[at : end.start()]))
-                        text = " ".join(inner.split())
-                        if text:
-                            out.append((f"{path}/{_signature(tag, attributes)}", text, tag, "noise"))
-                        stop = page.find(">", end.start())
-                        at = size if stop < 0 else stop + 1
+            _, path, _, main = stack[-1] if stack else ("", "", NONE, False)
+            if attributes and tag not in VOID and _noise(tag, attributes, main) >= FORM:
+                if tag not in ends:
+                    ends[tag] = _ends(page, tag)
+                end = None if raw.endswith("/") else ends[tag].get(mark)
+                if end is not None:
+                    text = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", page[at : end[0]])).split())
+                    if text:
+                        out.append((f"{path}/{_signature(tag, attributes)}", text, tag, "noise"))
+                    at = end[1]
                 continue
             inline.append(tag)
             continue
@@ -181,8 +222,10 @@ def blocks(page: str) -> list[tuple[str, str, str, str]]:
         if tag in VOID:
             continue
         attributes = _attributes(raw)
-        _, path, noise, main = stack[-1] if stack else ("", "", False, False)
-        noise = noise or _is_noise(tag, attributes, main)
+        _, path, noise, main = stack[-1] if stack else ("", "", NONE, False)
+        if tag in MAIN_TAGS and noise == FORM:
+            noise = NONE
+        noise = max(noise, _noise(tag, attributes, main))
         stack.append((tag, f"{path}/{_signature(tag, attributes)}", noise, main or tag in MAIN_TAGS))
     flush()
     return out
@@ -267,15 +310,16 @@ def importance(parsed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
 
 
 def low_nodes(weights: DataFrame, threshold: float) -> DataFrame:
-    """(host, low, low_outside): nodes below the threshold, and below it at half their importance.
+    """(host, low, low_doubted, low_inside): nodes below the threshold, by their importance as it is, where
+    the markup speaks against them, and inside article or main.
 
     Such a node's texts stand on many of the host's pages each, so a host has few of them beside its
     pages, and one short list travels with the host.
     """
     part = lambda prior: F.collect_list(F.when(F.col("weight") * prior < threshold, F.col("node")))
     return (
-        weights.filter(F.col("weight") * 0.5 < threshold).groupBy("host")
-        .agg(part(1.0).alias("low"), part(0.5).alias("low_outside"))
+        weights.filter(F.col("weight") * DOUBTED < threshold).groupBy("host")
+        .agg(part(1.0).alias("low"), part(DOUBTED).alias("low_doubted"), part(INSIDE).alias("low_inside"))
     )
 
 
@@ -286,8 +330,8 @@ def extract(
     """Adds the main text of ``page`` and its number of characters."""
     bound_batches(df)
     rest = df.drop(out, count)
-    host, parsed, same, low_host, low, low_outside = spare(
-        rest, "x_host", "x_blocks", "x_same", "x_low_host", "x_low", "x_low_outside"
+    host, parsed, same, low_host, low, doubted, inside = spare(
+        rest, "x_host", "x_blocks", "x_same", "x_low_host", "x_low", "x_low_doubted", "x_low_inside"
     )
     kind = "array<struct<node:long,text:string,style:long,where:string,new_text:boolean,new_style:boolean>>"
     body = text_of(page)
@@ -296,20 +340,27 @@ def extract(
         *kept, host_of(F.col(f"`{url}`")).alias(host), F.xxhash64(body).alias(same),
         F.arrow_udf(_parsed, kind).asNondeterministic()(body).alias(parsed),
     ))
+    has_main = F.exists(parsed, lambda b: b["where"] == "main")
+    # copies of an article among other adverts are one page of the tree
+    article = F.xxhash64(F.transform(F.filter(parsed, lambda b: b["where"] == "main"), lambda b: b["text"]))
     weights = importance(whole.select(
-        F.col(host).alias("host"), F.col(same).alias("page"), F.col(parsed).alias("blocks")
+        F.col(host).alias("host"), F.when(has_main, article).otherwise(F.col(same)).alias("page"),
+        F.col(parsed).alias("blocks"),
     ))
     lows = cut_lineage(low_nodes(weights, threshold)).select(
-        F.col("host").alias(low_host), F.col("low").alias(low), F.col("low_outside").alias(low_outside)
+        F.col("host").alias(low_host), F.col("low").alias(low), F.col("low_doubted").alias(doubted),
+        F.col("low_inside").alias(inside),
     )
     joined = whole.join(lows, F.col(host) == F.col(low_host), "left")
     none = F.array().cast("array<bigint>")
-    has_main = F.exists(parsed, lambda b: b["where"] == "main")
-    gone = F.coalesce(F.when(has_main, F.col(low_outside)).otherwise(F.col(low)), none)
-    marked = joined.withColumn(low, gone)
-    stay = F.filter(
-        parsed,
-        lambda b: (b["where"] == "main") | ((b["where"] == "other") & ~F.array_contains(F.col(low), b["node"])),
-    )
+    outside = F.when(has_main, F.col(doubted)).otherwise(F.col(low))
+    marked = joined.withColumns({
+        low: F.coalesce(outside, none), doubted: F.coalesce(F.col(doubted), none), inside: F.coalesce(F.col(inside), none),
+    })
+    lists = {"main": inside, "other": low, "doubt": doubted}
+    stay = F.filter(parsed, lambda b: reduce(
+        lambda a, c: a | c,
+        [(b["where"] == where) & ~F.array_contains(F.col(nodes), b["node"]) for where, nodes in lists.items()],
+    ))
     text = F.array_join(F.transform(stay, lambda b: b["text"]), "\n")
     return marked.select(*kept, text.alias(out)).withColumn(count, F.length(out).cast("long"))

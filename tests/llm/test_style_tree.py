@@ -26,7 +26,14 @@ def texts(html):
     ("</p></div>z</article>", [("z", "other")]),
     ("<ul><li>a<li>b</ul>c", [("a", "other"), ("b", "other"), ("c", "other")]),
     ("<table><tr><td>1<td>2<tr><td>3</table>", [("1", "other"), ("2", "other"), ("3", "other")]),
-    ("<p>a <span class=ad>buy</span> b</p>", [("a", "other"), ("buy", "noise"), ("b", "other")]),
+    ("<p>a <span class=ad>buy</span> b</p>", [("buy", "noise"), ("a b", "other")]),
+    ("<p><span class='share'>x<span>y</span> LEAK</span>kept</p>", [("x y LEAK", "noise"), ("kept", "other")]),
+    ("<p><span class=ad>never closed</p>", [("never closed", "other")]),
+    ("<div class='social-science'><p>s</p></div><p class=ad-hoc>t</p>", [("s", "doubt"), ("t", "doubt")]),
+    ("<div class='share-buttons'>s</div><div id=site-footer-2>t</div>", [("s", "noise"), ("t", "noise")]),
+    ("<form><main><p>in</p></main>out</form>", [("in", "main"), ("out", "noise")]),
+    ("<form class=newsletter><main><p>in</p></main></form>", [("in", "noise")]),
+    (f"<p data-x='{'<b>x</b>' * 3000}'>q</p>", [("q", "other")]),
     ("<div hidden>h</div><div style='display: none'>i</div>", [("h", "noise"), ("i", "noise")]),
     ("<form>f<input value=v></form><select><option>o</select>", [("f", "noise")]),
     ("<article class=comment>bad</article>", [("bad", "noise")]),
@@ -37,7 +44,7 @@ def test_blocks(html, wanted):
 
 
 def test_long_and_broken_pages_end_soon():
-    for html in ("<" * 50_000, '<a "' * 20_000, "<p>" * 50_000, "<div>" * 3000 + "x", "&amp;" * 50_000, "<!--" * 20_000):
+    for html in ("<" * 50_000, '<a "' * 20_000, "<p>" * 50_000, "<div>" * 3000 + "x", "&amp;" * 50_000, "<!--" * 20_000, "<span class=ad>" * 20_000):
         tree.blocks(html)
 
 
@@ -67,6 +74,24 @@ def test_repeated_branches_go(site):
     assert {got[200 + i]["text"] for i in range(40)} == {"the same page"}
 
 
+def test_tree_decides_inside_articles(spark):
+    """Lines that every page of a host repeats under names that say nothing, and names in doubt."""
+    rows = []
+    for i in range(20):
+        own = "".join(f"<p>own text {i} {j}</p>" for j in range(3)) + f"<p class=ad-hoc>committee {i}</p><p class=ad-hok>k</p>"
+        share = "<div class=x1>Share this page</div><div class=menu-q>Top of the site</div>"
+        rows.append((i, "http://a.example", page(f"<main><h1>Title {i}</h1>{own}{share}</main>")))
+    copied = "<article><p>copied</p><p>twice</p></article>"
+    rows += [(100 + i, "http://c.example", page(f"<div class=ad>advert {i}</div>{copied}")) for i in range(30)]
+    rows += [(200 + i, "http://c.example", page(f"<article><p>other {i}</p></article>")) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in tree.extract(df).collect()}
+    for i in range(20):
+        assert got[i].split("\n") == [f"Title {i}", *[f"own text {i} {j}" for j in range(3)], f"committee {i}"]
+    assert {got[100 + i] for i in range(30)} == {"copied\ntwice"}
+    assert got[200] == "other 0"
+
+
 def test_importance_by_hand(site):
     rows = [("h", k, [(7, f"t{c}", 1, "other", True, True)]) for k, c in enumerate([1, 1, 1, 1, 2, 3, 4, 5])]
     spark = site.sparkSession
