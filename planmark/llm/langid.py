@@ -8,7 +8,8 @@ are multiplied out, so a subword adds one short row of logits. A temperature and
 threshold are fitted on pieces kept out of training.
 
 Behaviour at the edges: a null text, and one without letters, is ``und`` with score 0; documents
-without a language teach nothing; without any labelled document everything is ``und``; ties between
+without a language teach nothing; a language with one labelled document is learned from it; without any, or
+on an empty table, everything is ``und``; very long texts are counted in slices of a batch of their own; ties between
 languages go to the first by code point; repeated rows have equal results; other columns pass
 through, columns named as the results are replaced.
 """
@@ -18,16 +19,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from planmark.llm.common import bound_batches, slices
 
-#: Labelled documents that training may gather on the driver, and languages it may learn.
-SAMPLE, MOST_LANGUAGES = 6_000, 100
+#: Labelled documents that training uses, one of each language at least, and the characters of each.
+SAMPLE, STRETCH = 6_000, 2_000
+DIGESTS = 1 << 40
 BUCKETS, WIDTH = 1 << 16, 12
 GRAMS = (2, 3, 4)
 #: Of the pieces kept out of training that are accepted, so many must be right.
@@ -168,26 +171,33 @@ def train(
     df: DataFrame, learnable: Column | None = None, doc_id: str = "doc_id", text: str = "text",
     lang: str = "lang", sample: int = SAMPLE,
 ) -> Model:
-    """Fit from at most ``sample`` documents with text and language, shared evenly among the languages
-    and chosen by a digest of id; beyond ``MOST_LANGUAGES`` the most frequent ones are learned."""
+    """Fit from at most ``sample`` documents with text and language, shared evenly among the languages and
+    chosen by a digest of id; every language has one at least.
+
+    A stretch of ``STRETCH`` characters at a place drawn from the id stands for a document. Languages
+    are never sorted: the count of each gives a bound below which about twice the wanted digests lie,
+    and the driver, which gathers those, keeps the smallest.
+    """
     known = df.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"),
         F.col(f"`{text}`").cast("string").alias("text"),
     ).filter("text is not null and lang is not null and doc_id is not null")
     if learnable is not None:
         known = known.filter(learnable)
-    names = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not names:
+    digest = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(DIGESTS))
+    known = known.withColumn("digest", digest)
+    counted = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("digest").alias("least")).collect()
+    if not counted:
         return fit([], [])
-    each = max(1, sample // len(names))
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("lang"), "doc_id"), "doc_id")
-    ids = (
-        known.filter(F.col("lang").isin([r["lang"] for r in names])).select("doc_id", "lang")
-        .withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= each).select("doc_id", "lang").distinct()
-    )
-    rows = (
-        known.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    each = max(1, sample // len(counted))
+    bounds = [(r["lang"], max(r["least"], min(DIGESTS, 2 * (each + 50) * DIGESTS // r["n"]))) for r in counted]
+    bound = df.sparkSession.createDataFrame(bounds, "lang string, bound long")  # a row per language
+    place = F.pmod(F.xxhash64(F.lit("at"), "doc_id"), F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1) + 1
+    near = known.join(bound, "lang").filter("digest <= bound").groupBy("lang", "digest", "doc_id").agg(
+        F.min(F.substring(F.col("text"), place.cast("int"), F.lit(STRETCH))).alias("text")
     )
+    ahead = sorted(near.collect(), key=lambda r: (r["lang"], r["digest"], r["doc_id"]))
+    rows = [r for _, same in groupby(ahead, lambda r: r["lang"]) for r in islice(same, each)]
     rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 

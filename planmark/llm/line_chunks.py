@@ -175,7 +175,7 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """(c_id, c_text, gone): for each document that loses something, the places of what goes."""
     bound_batches(df)
     documents = df.select(F.col(f"`{doc_id}`").alias("c_id"), F.col(f"`{text}`").cast("string").alias("t"))
-    documents = documents.filter("t is not null").withColumn("c_text", F.md5("t"))
+    documents = documents.filter("t is not null").withColumn("c_text", F.unhex(F.md5("t")))
     cut = documents.withColumn("found", _called(_digests, _CHUNKS, F.col("t"))).select("c_id", "c_text", "found")
     places = cut_lineage(cut.select("c_id", "c_text", F.inline("found")).distinct())
     whole = cut_lineage(_repeats(places.drop("inside")))
@@ -219,7 +219,7 @@ def dedup_lines(
     lost = cut_lineage(lost).select(
         F.col("c_id").alias(f"{key_id}_g"), F.col("c_text").alias(f"{key_text}_g"), F.col("gone").alias(spans)
     )
-    rows = df.withColumns({key_id: F.col(f"`{doc_id}`"), key_text: F.md5(text_of(text))})
+    rows = df.withColumns({key_id: F.col(f"`{doc_id}`"), key_text: F.unhex(F.md5(text_of(text)))})
     same = F.col(key_id).eqNullSafe(F.col(f"{key_id}_g")) & (F.col(key_text) == F.col(f"{key_text}_g"))
     joined = rows.join(lost.hint("merge"), same, "left").drop(f"{key_id}_g", f"{key_text}_g", key_id, key_text)
     call = _called(_without, "struct<text:string,runs:long>", F.col(f"`{text}`").cast("string"), F.col(spans))

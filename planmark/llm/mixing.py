@@ -187,6 +187,10 @@ def mix(
 
 def apply_mix(df: DataFrame, **options) -> DataFrame:
     """The mixed rows themselves: each as often as the mix takes it, with the columns of ``df``."""
-    mixed = mix(df, **options)
+    plain = [f"u{i}" for i in range(len(df.columns))]  # whatever the user's columns are called
+    named = dict(zip(df.columns, plain))
+    keys = {k: named[options.pop(k, k)] for k in ("doc_id", "text", "source")}
+    mixed = mix(df.toDF(*plain), **keys, **options)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int")
-    return mixed.withColumn("m_repeat", F.explode(F.array_repeat(F.lit(0), times))).select(*df.columns)
+    repeated = mixed.withColumn("m_repeat", F.explode(F.array_repeat(F.lit(0), times)))
+    return repeated.select(*[F.col(p).alias(c) for c, p in named.items()])

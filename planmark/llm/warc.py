@@ -9,9 +9,10 @@ Reading. The reader walks the bytes of an archive. A record must begin with a ve
 well-formed headers with a Content-Length that stays inside the archive, end in two line ends, and
 match its block and payload digests. Where a check fails, the reader searches for the next offset at
 which a whole valid record starts - the next version line, or the next gzip member that opens and
-begins with one - and logs the bytes between as a quarantined gap. Compressed archives hold one gzip
-member per record; a damaged member costs that member alone. An archive is one row of Spark's
-binary source, so a single file must fit into a task.
+holds nothing but records, whichever comes first - and logs the bytes between as a quarantined gap. So
+plain and compressed records may stand in one archive, and a damaged member costs that member alone. An
+archive is one row of Spark's binary source, so a single file must fit into a task; very long payloads
+are records like others.
 
 Behaviour at the edges: a null payload is an empty one; null ids are written without an id and sort
 last among equal payloads; equal ids with equal payloads all carry the same reference; an empty table
@@ -37,6 +38,7 @@ ID_PREFIX = "urn:page:"
 RECORDS_PER_FILE = 2_000
 _STEP = 1 << 16
 _MEMBER = b"\x1f\x8b\x08"
+_NAME = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 _LENGTH = re.compile(r"\d{1,18}\Z")
 
 
@@ -133,7 +135,7 @@ def _parse(data: bytes, at: int) -> tuple[dict, int] | None:
     headers: dict[str, str] = {}
     for line in data[at + len(VERSION) : head_end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
-        if not colon or not name or name != name.strip():
+        if not colon or not _NAME.fullmatch(name):
             return None
         headers[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
@@ -166,38 +168,51 @@ def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
     return b"".join(parts), min(place, len(data)) - len(opener.unused_data)
 
 
-def _starts(data: bytes, at: int, packed: bool) -> int:
-    """The first offset from ``at`` on at which a record may start; the length of ``data`` if none."""
-    found = data.find(_MEMBER if packed else VERSION, at)
-    return len(data) if found < 0 else found
+def _starts(data: bytes) -> Iterator[int]:
+    """The offsets, in order, at which a record may start: version lines and gzip members alike."""
+    following = {mark: data.find(mark) for mark in (VERSION, _MEMBER)}
+    while True:
+        left = [place for place in following.values() if place >= 0]
+        if not left:
+            return
+        at = min(left)
+        yield at
+        following = {m: data.find(m, p + 1) if p == at else p for m, p in following.items()}
 
 
-def _one(data: bytes, at: int, packed: bool) -> tuple[dict, int] | None:
-    if not packed:
-        return _parse(data, at)
+def _found(data: bytes, at: int) -> tuple[list[dict], int] | None:
+    """The record at ``at``, or all records of the gzip member there, and the offset after them."""
+    if not data.startswith(_MEMBER, at):
+        parsed = _parse(data, at)
+        return None if parsed is None else ([parsed[0]], parsed[1])
     opened = _member(data, at)
     if opened is None:
         return None
-    parsed = _parse(opened[0], 0)
-    return None if parsed is None or parsed[1] != len(opened[0]) else (parsed[0], opened[1])
+    records, place = [], 0
+    while place < len(opened[0]):
+        parsed = _parse(opened[0], place)
+        if parsed is None:
+            return None
+        records.append(parsed[0])
+        place = parsed[1]
+    return (records, opened[1]) if records else None
 
 
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records and gaps of an archive in order; every byte belongs to exactly one of them."""
-    packed = _starts(data, 0, True) < _starts(data, 0, False)
+    """Records and gaps of an archive in order; every byte belongs to one of them, but that the records
+    of one gzip member share its bytes."""
     at = 0
-    while at < len(data):
-        found = _one(data, at, packed)
-        if found is not None:
-            record, after = found
-            yield {"kind": "record", "at": at, "after": after, **record}
-            at = after
+    for start in _starts(data):
+        found = _found(data, start) if start >= at else None
+        if found is None:
             continue
-        after = _starts(data, at + 1, packed)
-        while after < len(data) and _one(data, after, packed) is None:
-            after = _starts(data, after + 1, packed)
-        yield {"kind": "gap", "at": at, "after": after}
-        at = after
+        if start > at:
+            yield {"kind": "gap", "at": at, "after": start}
+        for record in found[0]:
+            yield {"kind": "record", "at": start, "after": found[1], **record}
+        at = found[1]
+    if at < len(data):
+        yield {"kind": "gap", "at": at, "after": len(data)}
 
 
 _FIELDS = (

@@ -60,10 +60,13 @@ def test_better_documents_are_taken_more(documents):
 
 
 def test_apply_repeats_rows(documents):
-    df = documents(*ROWS, m_repeat="clash")
-    mixed = mixing.mix(df).agg(F.sum("taken")).first()[0]
+    df = documents(*ROWS, m_repeat="clash", size=-5, m_id="mine", taken=None, u0=7)
+    mixed = mixing.mix(documents(*ROWS)).agg(F.sum("taken")).first()[0]
     out = cut_lineage(mixing.apply_mix(df))
     assert out.columns == df.columns
+    assert [tuple(r) for r in out.select("m_repeat", "size", "m_id", "taken", "u0").distinct().collect()] == [
+        ("clash", -5, "mine", None, 7)
+    ]
     assert out.agg(F.sum(F.regexp_count("text", F.lit("w")))).first()[0] == mixed
 
 

@@ -47,6 +47,15 @@ def test_subwords_stay_inside_their_text():
     assert langid.subwords(["", "1"])[0][1].tolist() == [0, 0]
 
 
+def test_every_language_is_learned(spark):
+    """More languages than a hundred, one of them far larger, and a sample smaller than most of them."""
+    letters = [chr(0x1200 + i) * 3 for i in range(130)]
+    rows = [(i, " ".join([letters[i % 130]] * 20), f"l{i % 130:03d}") for i in range(390)]
+    rows += [(1000 + i, " ".join([letters[0]] * 20), "l000") for i in range(600)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=390)
+    assert model.languages == [f"l{i:03d}" for i in range(130)]
+
+
 def test_quality_held_out(spark):
     found = Q["op7_quality"](spark, FOLDER)
     rows = found.join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id").filter("held_out").collect()

@@ -65,6 +65,17 @@ def test_wrong_lengths_and_headers():
         assert got == [b"good"] and len(gaps) == 1 and gaps[0]["after"] == len(bad)
 
 
+def test_plain_and_packed_records_in_one_archive():
+    damaged = record(b"x\x1f\x8b\x08y", 1).replace(b"WARC/1.0", b"WARC/1.x", 1)
+    got, gaps = both(damaged + record(b"two", 2) + warc.gzip_record(record(b"three", 3)) + record(b"four", 4))
+    assert got == [b"two", b"three", b"four"] and [g["after"] for g in gaps] == [len(damaged)]
+    many = warc.gzip_record(record(b"a", 1) + record(b"b", 2))
+    found = list(warc.salvage(b"junk" + many + record(b"c", 3)))
+    assert [f["kind"] for f in found] == ["gap", "record", "record", "record"]
+    assert [f["payload"] for f in found[1:]] == [b"a", b"b", b"c"]
+    assert [(f["at"], f["after"]) for f in found[1:3]] == [(4, 4 + len(many))] * 2
+
+
 def test_write_and_read_back(spark, tmp_path):
     rows = [
         (5, "http://a/x y", "<p>same</p>"), (3, None, "<p>same</p>"), (9, "http://b", None), (8, "u", ""), (7, "u", "é" * 50_000),
