@@ -89,43 +89,58 @@ def nested_documents(
 ) -> DataFrame:
     """One nested row per drawing; ``children`` maps a list name to (table, key column).
 
-    A drawing with more than ``elements`` rows in a list is spread over numbered parts by the
-    digest of the row key, so no list outgrows a task and no row is lost. Missing lists are empty.
-    Only drawings that need several parts are listed, in a small table of known size.
+    Drawings and the rows of all lists are one union, shuffled once by drawing and gathered in one
+    aggregate; lists are ordered by key, then by the other columns, and missing ones are empty. A drawing
+    with more than ``elements`` rows in a list is spread over numbered parts by the digest of the row, so
+    no list outgrows a task and no row is lost. Only drawings that need several parts are listed, in a
+    small table of known size.
     """
-    parts = None
-    for table, _ in children.values():
-        sizes = (
-            table.groupBy("drawing_id").agg(F.ceil(F.count("*") / elements).cast("int").alias("need"))
-            .where(F.col("need") > 1)
-        )
-        parts = sizes if parts is None else parts.unionByName(sizes)
-    needed = cut_lineage(parts.groupBy("drawing_id").agg(F.max("need").alias("parts")))
-    one = F.coalesce("parts", F.lit(1))
-    result = (
-        drawings.join(needed, "drawing_id", "left")
-        .withColumn("parts", one)
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    )
+    rows = None
     for name, (table, key) in children.items():
         row = F.struct(key, *[c for c in table.columns if c not in ("drawing_id", key)])
-        listed = (
-            table.join(needed, "drawing_id", "left")
-            .withColumn("part", F.pmod(F.xxhash64(key), one).cast("int"))
-            .drop("parts")
-            .groupBy("drawing_id", "part")
-            .agg(F.array_sort(F.collect_list(row)).alias(name))
+        own = table.where("drawing_id is not null").select(
+            "drawing_id", F.lit(name).alias("n_list"), F.xxhash64(row).alias("n_digest"), row.alias(name)
         )
-        empty = F.array().cast(dict(listed.dtypes)[name])
-        result = result.join(listed, ["drawing_id", "part"], "left").withColumn(name, F.coalesce(name, empty))
-    return result
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    need = F.ceil(F.count("*") / elements).cast("int")
+    needed = cut_lineage(
+        rows.groupBy("drawing_id", "n_list").agg(need.alias("need")).where("need > 1")
+        .groupBy("drawing_id").agg(F.max("need").alias("parts"))
+    )
+
+    def placed(df: DataFrame, part: Column) -> DataFrame:
+        known = df.join(needed, "drawing_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        return known.withColumn("part", part)
+
+    heads = drawings.select("drawing_id", F.struct(*drawings.columns).alias("n_own"))
+    heads = placed(heads, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lists = placed(rows, F.pmod("n_digest", "parts").cast("int")).drop("n_list", "n_digest")
+    gathered = heads.unionByName(lists, allowMissingColumns=True).groupBy("drawing_id", "part").agg(
+        F.first("n_own", ignorenulls=True).alias("n_own"), F.max("parts").alias("parts"),
+        *[F.array_sort(F.collect_list(name)).alias(name) for name in children],
+    )
+    return gathered.where("n_own is not null").select("n_own.*", "parts", "part", *children)
 
 
 def nested_json_export(
-    drawings: DataFrame, children: dict[str, tuple[DataFrame, str]], elements: int = ELEMENTS_PER_DOCUMENT
+    drawings: DataFrame, children: dict[str, tuple[DataFrame, str]], elements: int = ELEMENTS_PER_DOCUMENT,
+    roots: DataFrame | None = None, edges: DataFrame | None = None,
 ) -> DataFrame:
-    """(drawing_id, part, document) with the document as JSON text."""
+    """(drawing_id, part, document) with the document as JSON text.
+
+    With ``roots`` (drawing_id, root_id) and ``edges`` (drawing_id, parent_id, child_id, relationship,
+    confidence) a document has a ``hierarchy`` of root component and assemblies, null where it has neither.
+    """
+    if edges is not None:
+        children = {**children, "assemblies": (edges, "parent_id")}
+        drawings = drawings.join(
+            roots.select("drawing_id", F.col("root_id").alias("root_component_id")), "drawing_id", "left"
+        )
     nested = nested_documents(drawings, children, elements)
+    if edges is not None:
+        parts = ("root_component_id", "assemblies")
+        any_part = F.col(parts[0]).isNotNull() | (F.size(parts[1]) > 0)
+        nested = nested.withColumn("hierarchy", F.when(any_part, F.struct(*parts))).drop(*parts)
     return nested.select("drawing_id", "part", F.to_json(F.struct(*nested.columns), {"ignoreNullFields": "false"}).alias("document"))
 
 

@@ -134,14 +134,17 @@ def _(v: Views) -> DataFrame:
     return tidy(scoring.completeness_score(_profile(v), _associations(v), region), 9)
 
 
+FLAGS = """SELECT drawing_id, 'LOW_CONFIDENCE' AS flag_type, CASE WHEN overall_confidence < 0.5 THEN 'CRITICAL' WHEN overall_confidence < 0.65 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM prof WHERE overall_confidence < 0.75
+        UNION ALL SELECT drawing_id, 'MISSING_DATA', 'HIGH' FROM prof WHERE ne = 0 UNION ALL SELECT drawing_id, 'MISSING_DATA', 'HIGH' FROM prof WHERE ns = 0
+        UNION ALL SELECT drawing_id, 'CRITICAL_FIELD_MISSING', 'CRITICAL' FROM prof WHERE m1 IS NULL UNION ALL SELECT drawing_id, 'ERROR', 'CRITICAL' FROM prof WHERE status = 'failed'
+        UNION ALL SELECT drawing_id, 'INCONSISTENCY', 'CRITICAL' FROM prof WHERE m1 IS NULL"""
+
+
 @register(
     "review_flags",
     with_views(
-        """SELECT drawing_id, 'LOW_CONFIDENCE' AS flag_type, CASE WHEN overall_confidence < 0.5 THEN 'CRITICAL' WHEN overall_confidence < 0.65 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM prof WHERE overall_confidence < 0.75
-        UNION ALL SELECT drawing_id, 'MISSING_DATA', 'HIGH' FROM prof WHERE ne = 0 UNION ALL SELECT drawing_id, 'MISSING_DATA', 'HIGH' FROM prof WHERE ns = 0
-        UNION ALL SELECT drawing_id, 'CRITICAL_FIELD_MISSING', 'CRITICAL' FROM prof WHERE m1 IS NULL UNION ALL SELECT drawing_id, 'ERROR', 'CRITICAL' FROM prof WHERE status = 'failed'
-        UNION ALL SELECT drawing_id, 'INCONSISTENCY', 'CRITICAL' FROM prof WHERE m1 IS NULL""",
-        prof=PROFILE,
+        "SELECT * FROM flg",
+        prof=PROFILE, flg=FLAGS,
     ),
 )
 def _(v: Views) -> DataFrame:

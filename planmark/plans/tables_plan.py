@@ -6,10 +6,12 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from planmark.operators import export, extract, fingerprint, history, integrity, query, scoring, validate
+from planmark.operators import export, extract, fingerprint, hierarchy, history, integrity, query, scoring, validate
 from planmark.operators.associate import associate_text_shapes
+from planmark.plans.graph_plan import PARTS
 from planmark.plans.helpers import scratch, tidy
 from planmark.plans.registry import registry
+from planmark.plans.scoring_plan import FLAGS, PROFILE
 from planmark.plans.views import PAGE_HEIGHT, PAGE_WIDTH, Views, with_views
 from planmark.sources import files, store
 from planmark.session import cut_lineage
@@ -224,14 +226,23 @@ def _(v: Views) -> DataFrame:
 @register(
     "nested_json_export",
     with_views(
-        """SELECT d.drawing_id, 0::BIGINT AS part, d.status, coalesce(t.n,0) AS text_blocks, coalesce(e.n,0) AS entities, coalesce(s.n,0) AS detections, coalesce(a.n,0) AS associations
-        FROM drw d LEFT JOIN (SELECT drawing_id, count(*) AS n FROM txt GROUP BY 1) t USING (drawing_id)
-        LEFT JOIN (SELECT drawing_id, count(*) AS n FROM ent GROUP BY 1) e USING (drawing_id)
-        LEFT JOIN (SELECT drawing_id, count(*) AS n FROM det GROUP BY 1) s USING (drawing_id)
-        LEFT JOIN (SELECT drawing_id, count(*) AS n FROM asc_ GROUP BY 1) a USING (drawing_id)"""
+        """SELECT d.drawing_id, 0::BIGINT AS part, d.status, coalesce(t.l,'') AS text_blocks, coalesce(e.l,'') AS entities, coalesce(s.l,'') AS detections,
+          coalesce(a.l,'') AS associations, r.root_id::VARCHAR AS root_component, coalesce(h.l,'') AS assemblies, coalesce(f.l,'') AS review_flags
+        FROM drw d LEFT JOIN (SELECT drawing_id, string_agg(text_id::VARCHAR||':'||content, ';' ORDER BY text_id) AS l FROM txt GROUP BY 1) t USING (drawing_id)
+        LEFT JOIN (SELECT drawing_id, string_agg(id||':'||entity_type||':'||value, ';' ORDER BY id) AS l
+          FROM (SELECT *, 'ENT-'||substr(sha256(entity_key),1,16) AS id FROM ent) GROUP BY 1) e USING (drawing_id)
+        LEFT JOIN (SELECT drawing_id, string_agg(detection_id::VARCHAR||':'||class_name, ';' ORDER BY detection_id) AS l FROM det GROUP BY 1) s USING (drawing_id)
+        LEFT JOIN (SELECT drawing_id, string_agg(id||':'||relationship_type, ';' ORDER BY id) AS l
+          FROM (SELECT *, 'ASSOC-'||substr(sha256(text_id||'|'||detection_id),1,16) AS id FROM asc_) GROUP BY 1) a USING (drawing_id)
+        LEFT JOIN (SELECT drawing_id, root_id FROM rts) r USING (drawing_id)
+        LEFT JOIN (SELECT drawing_id, string_agg(parent_id::VARCHAR||':'||child_id::VARCHAR||':'||relationship, ';' ORDER BY parent_id, child_id, relationship) AS l
+          FROM edg GROUP BY 1) h USING (drawing_id)
+        LEFT JOIN (SELECT drawing_id, string_agg(flag_type||':'||severity, ';' ORDER BY flag_type, severity) AS l FROM flg GROUP BY 1) f USING (drawing_id)""",
+        **PARTS, prof=PROFILE, flg=FLAGS,
     ),
 )
 def _(v: Views) -> DataFrame:
+    roots = cut_lineage(hierarchy.root_component(v.detections, associate_text_shapes(v.text_blocks, v.detections)))
     documents = export.nested_json_export(
         v.drawings,
         {
@@ -239,12 +250,29 @@ def _(v: Views) -> DataFrame:
             "entities": (cut_lineage(v.entities), "entity_id"),
             "detections": (v.detections, "detection_id"),
             "associations": (cut_lineage(associate_text_shapes(v.text_blocks, v.detections)), "association_id"),
+            "review_flags": (cut_lineage(_flags(v)), "flag_type"),
         },
+        roots=roots, edges=cut_lineage(hierarchy.assembly_edges(v.detections, roots)),
     )
-    lists = ("text_blocks", "entities", "detections", "associations")
-    parsed = documents.select("drawing_id", "part", F.json_tuple("document", "status", *lists).alias("status", *lists))
-    size = lambda name: F.json_array_length(name).cast("bigint").alias(name)
-    return tidy(parsed.select("drawing_id", "part", "status", *map(size, lists)))
+    fields = {
+        "text_blocks": ("text_id", "content"), "entities": ("entity_id", "entity_type", "value"),
+        "detections": ("detection_id", "class_name"), "associations": ("association_id", "relationship_type"),
+        "review_flags": ("flag_type", "severity"),
+    }
+    edge = ("parent_id", "child_id", "relationship")
+    items = lambda names: f"array<struct<{','.join(f'{n}:string' for n in names)}>>"
+    schema = ", ".join(f"{name} {items(names)}" for name, names in fields.items())
+    parsed = documents.withColumn("d", F.from_json(
+        "document", f"status string, {schema}, hierarchy struct<root_component_id:string,assemblies:{items(edge)}>"
+    ))
+    line = lambda path, names: F.array_join(
+        F.transform(F.coalesce(path, F.array().cast(items(names))), lambda x: F.concat_ws(":", *[x[n] for n in names])), ";"
+    )
+    return tidy(parsed.select(
+        "drawing_id", "part", "d.status", *[line(F.col(f"d.{name}"), names).alias(name) for name, names in fields.items()],
+        F.col("d.hierarchy.root_component_id").alias("root_component"),
+        line(F.col("d.hierarchy.assemblies"), edge).alias("assemblies"),
+    ))
 
 
 # documents with one kind of fault each, by order priority and status
