@@ -191,46 +191,61 @@ def assembly_edges(
 def hierarchy_tree(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All nodes below each root with depth, path and relationship.
 
-    One join per level over all drawings at once. Each level is written to the checkpoint folder,
-    so the plan stays flat and lost executors cost one level. A node already on its own path is
-    cut; edges have no cycles, so the levels end by themselves. With ``max_depth`` nothing below it
-    is followed, and the column ``cut`` marks nodes whose children are left out.
+    Steps double: a round joins all nodes found so far with the steps of 1, 2, 4, ... edges, for all
+    drawings at once, and joins those steps with themselves for the next one. So a tree of depth n takes
+    log2(n) rounds. Each round is written to the checkpoint folder, so the plan stays flat and lost
+    executors cost one round. A path never meets a node twice. With ``max_depth`` nothing below it is
+    followed, and the column ``cut`` marks nodes whose children are left out.
     """
-    links = cut_lineage(edges.select("parent_id", "child_id", "relationship"))
     kind = dict(roots.dtypes)["root_id"]
-    level = cut_lineage(roots.select(
+    found = [cut_lineage(roots.select(
         "drawing_id",
         F.col("root_id").alias("component_id"),
         F.lit(None).cast(kind).alias("parent_id"),
         F.lit(None).cast("string").alias("relationship"),
         F.lit(0).alias("depth"),
         F.array("root_id").alias("path"),
+    ))]
+    steps = cut_lineage(edges.where("parent_id <> child_id").select(
+        F.col("parent_id").alias("s_from"), F.col("child_id").alias("s_to"), F.col("parent_id").alias("s_parent"),
+        F.col("relationship").alias("s_kind"), F.array("child_id").alias("s_path"),
     ))
-    levels = [level]
+    length = 1
     while True:
-        depth = len(levels)
-        above = level.select("drawing_id", F.col("component_id").alias("parent_id"), "path")
-        level = cut_lineage(
-            above.join(links, "parent_id")
-            .where(~F.array_contains("path", F.col("child_id")))
+        tree = reduce(DataFrame.unionByName, found)
+        farther = cut_lineage(
+            tree.join(steps, F.col("component_id") == F.col("s_from"))
+            .where(~F.arrays_overlap("path", "s_path"))
             .select(
                 "drawing_id",
-                F.col("child_id").alias("component_id"),
-                "parent_id",
-                "relationship",
-                F.lit(depth).alias("depth"),
-                F.concat("path", F.array("child_id")).alias("path"),
+                F.col("s_to").alias("component_id"),
+                F.col("s_parent").alias("parent_id"),
+                F.col("s_kind").alias("relationship"),
+                (F.col("depth") + length).alias("depth"),
+                F.concat("path", "s_path").alias("path"),
             )
         )
-        if level.isEmpty():
+        if farther.isEmpty():
             break
-        if max_depth is not None and depth > max_depth:
-            below = level.select(F.col("parent_id").alias("component_id")).distinct().withColumn("cut", F.lit(True))
-            tree = reduce(DataFrame.unionByName, levels).join(below, "component_id", "left")
-            return tree.withColumn("cut", (F.col("depth") == max_depth) & F.coalesce("cut", F.lit(False)))
-        levels.append(level)
-    tree = reduce(DataFrame.unionByName, levels)
-    return tree if max_depth is None else tree.withColumn("cut", F.lit(False))
+        found.append(farther)
+        if max_depth is not None and 2 * length > max_depth + 1:
+            break
+        first = steps.select(F.col("s_from").alias("f_from"), F.col("s_to").alias("f_to"), F.col("s_path").alias("f_path"))
+        simple = ~F.arrays_overlap("f_path", "s_path") & ~F.array_contains("s_path", F.col("f_from"))
+        steps = cut_lineage(
+            first.join(steps, F.col("f_to") == F.col("s_from")).where(simple)
+            .select(F.col("f_from").alias("s_from"), "s_to", "s_parent", "s_kind", F.concat("f_path", "s_path").alias("s_path"))
+        )
+        length *= 2
+    tree = reduce(DataFrame.unionByName, found)
+    if max_depth is None:
+        return tree
+    below = (
+        tree.where(F.col("depth") == max_depth + 1).select(F.col("parent_id").alias("component_id")).distinct()
+        .withColumn("cut", F.lit(True))
+    )
+    kept = tree.where(F.col("depth") <= max_depth).join(below, "component_id", "left")
+    return kept.withColumn("cut", (F.col("depth") == max_depth) & F.coalesce("cut", F.lit(False)))
 
 
 def unreachable_components(detections: DataFrame, tree: DataFrame) -> DataFrame:

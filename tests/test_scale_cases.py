@@ -56,6 +56,20 @@ def test_tree_has_no_depth_limit(spark):
     assert deep.agg(F.max("depth")).first()[0] == 55
 
 
+def test_tree_of_depth_1000_takes_few_rounds(spark, monkeypatch):
+    """A chain, with a side branch and a way back to the root that no path may take."""
+    written = []
+    real = hierarchy.cut_lineage
+    monkeypatch.setattr(hierarchy, "cut_lineage", lambda df: written.append(1) or real(df))
+    data = [(i, i + 1, "contains") for i in range(1000)] + [(500, 5000, "fastens"), (1000, 0, "contains"), (5000, 700, "fastens")]
+    edges = spark.createDataFrame(data, "parent_id int, child_id int, relationship string")
+    tree = hierarchy.hierarchy_tree(edges, spark.createDataFrame([(1, 0)], "drawing_id int, root_id int"))
+    got = sorted((r["component_id"], r["depth"], r["parent_id"], len(r["path"])) for r in tree.collect())
+    wanted = [(i, i, i - 1 if i else None, i + 1) for i in range(1001)] + [(5000, 501, 500, 502)]
+    wanted += [(i, i - 198, 5000 if i == 700 else i - 1, i - 197) for i in range(700, 1001)]
+    assert got == sorted(wanted) and len(written) <= 24
+
+
 def test_small_boxes_never_meet_in_coarse_cells(spark):
     n = 3_000
     grid = spark.range(n).select(
