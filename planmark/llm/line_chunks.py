@@ -17,7 +17,7 @@ the copy that stays.
 
 Digests and places are grouped with partial aggregates. Bytes of repeated chunks and pairs meet the
 bytes of the copy that stays in groups of about ``COPIES`` rows: a passage with more copies is dealt out
-over numbered parts. Texts move twice: to hand over those bytes, and to take the removals; both joins
+over numbered parts. Texts move twice, compressed: to hand over those bytes, and to take the removals; both joins
 are merge joins at every size, as neither the lists nor the texts have a bound.
 
 Behaviour at the edges: a null text stays null and an empty one empty; a text that occurs earlier as a
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from planmark.llm.common import WORD, bound_batches, spare, text_of
@@ -123,10 +124,20 @@ _KIND = "struct<first:int,after:int,h1:long,h2:long"
 _CHUNKS = f"array<{_KIND},inside:array<{_KIND}>>>>"
 
 
-def _bodies(text: pa.Array, spans: pa.Array) -> pa.Array:
+def _packed(text: pa.Array) -> pa.Array:
+    """Texts compressed one by one, for the shuffles."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([pack(_bytes(x.as_py())) if x.is_valid else None for x in text], pa.binary())
+
+
+def _opened(packed: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass") if packed else ""
+
+
+def _bodies(packed: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
-    for body, wanted in zip(text, spans):
-        lines = (body.as_py() or "").split("\n")
+    for body, wanted in zip(packed, spans):
+        lines = _opened(body.as_py()).split("\n")
         out.append(["\n".join(lines[s["first"] : s["after"]]) for s in wanted.as_py() or []])
     return pa.array(out, pa.list_(pa.string()))
 
@@ -142,10 +153,10 @@ def without(text: str, spans: list[dict]) -> tuple[str, int]:
     return "\n".join(kept + lines[at:]), runs
 
 
-def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
+def _without(packed: pa.Array, spans: pa.Array) -> pa.Array:
     texts, runs = [], []
-    for body, gone in zip(text, spans):
-        body, gone = body.as_py(), gone.as_py()
+    for body, gone in zip(packed, spans):
+        body, gone = _opened(body.as_py()) if body.is_valid else None, gone.as_py()
         body, n = (body, 0) if body is None or not gone else without(body, gone)
         texts.append(body)
         runs.append(n)
@@ -177,7 +188,7 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     documents = df.select(F.col(f"`{doc_id}`").alias("c_id"), F.col(f"`{text}`").cast("string").alias("t"))
     documents = documents.filter("t is not null").withColumn("c_text", F.unhex(F.md5("t")))
     cut = documents.withColumn("found", _called(_digests, _CHUNKS, F.col("t"))).select("c_id", "c_text", "found")
-    places = cut_lineage(cut.select("c_id", "c_text", F.inline("found")).distinct())
+    places = cut_lineage(cut.select("c_id", "c_text", F.inline("found")))  # rows of one document are all first
     whole = cut_lineage(_repeats(places.drop("inside")))
     copies = whole.filter("not is_first").select(
         F.col("c_id").alias("w_id"), F.col("c_text").alias("w_text"), F.col("first").alias("w_first")
@@ -191,11 +202,12 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         .withColumn("parts", parts).withColumn("part", part).drop("n")
     )
     held = [c for c in marked.columns if c not in ("c_id", "c_text")]
-    wanted = marked.groupBy("c_id", "c_text").agg(F.collect_list(F.struct(*held)).alias("spans")).select(
+    wanted = marked.groupBy("c_id", "c_text").agg(F.collect_set(F.struct(*held)).alias("spans")).select(
         F.col("c_id").alias("w_id"), F.col("c_text").alias("w_text"), "spans"
     )
+    compressed = documents.select("c_id", "c_text", _called(_packed, "binary", F.col("t")).alias("t"))
     bodies = cut_lineage(
-        documents.join(wanted.hint("merge"), F.col("c_id").eqNullSafe(F.col("w_id")) & (F.col("c_text") == F.col("w_text")))
+        compressed.join(wanted.hint("merge"), F.col("c_id").eqNullSafe(F.col("w_id")) & (F.col("c_text") == F.col("w_text")))
         .withColumn("bodies", _called(_bodies, "array<string>", F.col("t"), F.col("spans")))
         .select("c_id", "c_text", F.explode(F.arrays_zip("spans", "bodies")).alias("p"))
         .select("c_id", "c_text", "p.spans.*", F.col("p.bodies").alias("body"))
@@ -215,15 +227,20 @@ def dedup_lines(
     """``df`` with repeated passages removed from ``text`` (or written to ``out``); ``count`` names a
     column for the number of stretches of lines that went."""
     lost = removals(df, doc_id, text)
-    key_id, key_text, spans, clean = spare(df, "chunk_id", "chunk_text", "chunk_spans", "chunk_clean")
+    key_id, key_text, spans, clean, packed = spare(df, "chunk_id", "chunk_text", "chunk_spans", "chunk_clean", "chunk_packed")
     lost = cut_lineage(lost).select(
         F.col("c_id").alias(f"{key_id}_g"), F.col("c_text").alias(f"{key_text}_g"), F.col("gone").alias(spans)
     )
-    rows = df.withColumns({key_id: F.col(f"`{doc_id}`"), key_text: F.unhex(F.md5(text_of(text)))})
+    rows = df.withColumns({
+        key_id: F.col(f"`{doc_id}`"), key_text: F.unhex(F.md5(text_of(text))),
+        packed: _called(_packed, "binary", F.col(f"`{text}`").cast("string")),
+    })
+    rows = rows if out else rows.drop(text)
     same = F.col(key_id).eqNullSafe(F.col(f"{key_id}_g")) & (F.col(key_text) == F.col(f"{key_text}_g"))
     joined = rows.join(lost.hint("merge"), same, "left").drop(f"{key_id}_g", f"{key_text}_g", key_id, key_text)
-    call = _called(_without, "struct<text:string,runs:long>", F.col(f"`{text}`").cast("string"), F.col(spans))
+    call = _called(_without, "struct<text:string,runs:long>", F.col(packed), F.col(spans))
     cleaned = {out or text: F.col(f"{clean}.text")}
     if count:
         cleaned[count] = F.col(f"{clean}.runs")
-    return joined.withColumn(clean, call).withColumns(cleaned).drop(spans, clean)
+    names = list(dict.fromkeys([*df.columns, *cleaned]))
+    return joined.withColumn(clean, call).withColumns(cleaned).select(*[F.col(f"`{c}`") for c in names])
