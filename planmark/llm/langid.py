@@ -191,9 +191,9 @@ def train(
         return fit([], [])
     each = max(1, sample // len(counted))
     bounds = [(r["lang"], max(r["least"], min(DIGESTS, 2 * (each + 50) * DIGESTS // r["n"]))) for r in counted]
-    bound = df.sparkSession.createDataFrame(bounds, "lang string, bound long")  # a row per language
+    bound = df.sparkSession.createDataFrame(bounds, "lang string, bound long")  # a row per language, as gathered above
     place = F.pmod(F.xxhash64(F.lit("at"), "doc_id"), F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1) + 1
-    near = known.join(bound, "lang").filter("digest <= bound").groupBy("lang", "digest", "doc_id").agg(
+    near = known.join(F.broadcast(bound), "lang").filter("digest <= bound").groupBy("lang", "digest", "doc_id").agg(
         F.min(F.substring(F.col("text"), place.cast("int"), F.lit(STRETCH))).alias("text")
     )
     ahead = sorted(near.collect(), key=lambda r: (r["lang"], r["digest"], r["doc_id"]))
