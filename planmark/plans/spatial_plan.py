@@ -104,12 +104,17 @@ IOU = """greatest(0, least(a.x+a.w,b.x+b.w)-greatest(a.x,b.x))*greatest(0, least
     / (a.w*a.h+b.w*b.h-greatest(0, least(a.x+a.w,b.x+b.w)-greatest(a.x,b.x))*greatest(0, least(a.y+a.h,b.y+b.h)-greatest(a.y,b.y)))"""
 
 
+# boxes belong to blocks, so the oracle compares blocks first and opens the pairs that remain
 @register(
     "overlapping_entities",
     with_views(
-        f"""SELECT a.drawing_id, a.eid AS entity_id, a.entity_type, b.eid AS other_id, b.entity_type AS other_type, round({IOU}, 6) AS overlap
-        FROM (SELECT *, 'ENT-'||substr(sha256(entity_key),1,16) AS eid FROM ent) a JOIN (SELECT *, 'ENT-'||substr(sha256(entity_key),1,16) AS eid FROM ent) b
-        ON a.drawing_id = b.drawing_id AND a.eid < b.eid AND a.entity_type <> b.entity_type AND {IOU} > 0.3"""
+        f"""SELECT p.drawing_id, least(a.eid, b.eid) AS entity_id, CASE WHEN a.eid < b.eid THEN a.entity_type ELSE b.entity_type END AS entity_type,
+        greatest(a.eid, b.eid) AS other_id, CASE WHEN a.eid < b.eid THEN b.entity_type ELSE a.entity_type END AS other_type, round(p.iou, 6) AS overlap
+        FROM near_blocks p JOIN named a ON a.text_id = p.one JOIN named b ON b.text_id = p.two
+        WHERE a.entity_type <> b.entity_type AND (p.one <> p.two OR a.eid < b.eid)""",
+        named="SELECT text_id, entity_type, 'ENT-'||substr(sha256(entity_key),1,16) AS eid FROM ent",
+        near_blocks=f"""SELECT a.drawing_id, a.text_id AS one, b.text_id AS two, {IOU} AS iou
+        FROM txt a JOIN txt b ON a.drawing_id = b.drawing_id AND a.text_id <= b.text_id WHERE {IOU} > 0.3""",
     ),
 )
 def _(v: Views) -> DataFrame:
