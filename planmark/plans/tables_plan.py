@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from planmark.operators import export, extract, fingerprint, hierarchy, history, integrity, query, scoring, validate
+from planmark.operators import (
+    export, extract, fingerprint, hierarchy, history, integrity, query, scoring, search_index, validate,
+)
 from planmark.operators.associate import associate_text_shapes
 from planmark.plans.graph_plan import PARTS
 from planmark.plans.helpers import scratch, tidy
 from planmark.plans.registry import registry
 from planmark.plans.scoring_plan import FLAGS, PROFILE
 from planmark.plans.views import PAGE_HEIGHT, PAGE_WIDTH, Views, with_views
-from planmark.sources import files, store
+from planmark.sources import files, publish, store
 from planmark.session import cut_lineage
 
 Q, SQL, register = registry()
@@ -53,12 +56,33 @@ COUNTS_SQL = """SELECT 'drawings' AS "table", count(*) AS "rows" FROM drw UNION
     UNION ALL SELECT 'llm_usage', count(*) FROM usg UNION ALL SELECT 'processing_audit', count(*) FROM aud"""
 
 
-@register("ingest_tables", with_views(COUNTS_SQL))
+# rows and contents: a sum of digests of the columns that identify a row and what it says
+CONTENT = {
+    "drawings": ("drw", ("drawing_id", "source_file", "status")),
+    "text_extractions": ("txt", ("text_id", "drawing_id", "content")),
+    "shape_detections": ("det", ("detection_id", "drawing_id", "class_name")),
+    "entities": ("ent", ("drawing_id", "entity_type", "value", "original_text")),
+    "llm_usage": ("usg", ("usage_id", "drawing_id", "model", "tokens_input")),
+    "processing_audit": ("aud", ("audit_id", "drawing_id", "stage", "error_message")),
+}
+INGEST_SQL = " UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", count(*) AS "rows", sum(('0x'||substr(md5(concat_ws('|', {", ".join(columns)})), 1, 8))::BIGINT)::BIGINT AS content
+    FROM {view}"""
+    for name, (view, columns) in CONTENT.items()
+)
+
+
+@register("ingest_tables", with_views(INGEST_SQL))
 def _(v: Views) -> DataFrame:
     tables, root = _table_set(v), scratch(v.spark, "ingest")
-    store.ingest_tables(tables, root)
-    back = {name: v.spark.read.parquet(f"{root}/{name}") for name in tables}
-    return integrity.row_counts(back)
+    store.ingest_tables(tables, root, "first")
+    store.ingest_tables(tables, root, "first")  # a delivery that comes twice counts once
+    back = publish.read_published(v.spark, root)
+    parts = []
+    for name, (_, columns) in CONTENT.items():
+        digest = F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 8), 16, 10).cast("bigint")
+        parts.append(back[name].agg(F.count("*").alias("rows"), F.sum(digest).alias("content")).select(F.lit(name).alias("table"), "rows", "content"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register("table_snapshot", with_views(COUNTS_SQL))
@@ -447,17 +471,26 @@ def _(v: Views) -> DataFrame:
     return query.ocr_fallback_candidates(v.text_blocks).select("text_id", "drawing_id", "confidence")
 
 
-@register(
-    "entity_search",
-    with_views(
-        r"""SELECT drawing_id, 'ENT-'||substr(sha256(entity_key),1,16) AS entity_id, entity_type FROM ent
-        WHERE list_has_all(regexp_extract_all(lower(entity_type||' '||value||' '||original_text), '[\p{L}\p{N}]+'), ['steel','304'])"""
-    ),
+SEARCH_SQL = with_views(
+    r"""SELECT drawing_id, 'ENT-'||substr(sha256(entity_key),1,16) AS entity_id, entity_type FROM ent
+    WHERE list_has_all(regexp_extract_all(lower(entity_type||' '||value||' '||original_text), '[\p{L}\p{N}]+'), ['steel','304'])"""
 )
+
+
+@register("entity_search", SEARCH_SQL)
 def _(v: Views) -> DataFrame:
     return extract.entity_search(v.entities, "Steel 304")
 
 
+@register("entity_search_index", SEARCH_SQL)
+def _(v: Views) -> DataFrame:
+    root, entities = scratch(v.spark, "search"), cut_lineage(v.entities)
+    odd = F.col("drawing_id") % 2 == 1
+    search_index.add_entities(entities.where(odd), root, "odd")
+    search_index.add_entities(entities.where(~odd), root, "even")
+    return search_index.search(v.spark, root, "Steel 304")
+
+
 @register(
     "type_filter",
     with_views("SELECT drawing_id, entity_type, value FROM ent WHERE entity_type IN ('OEM','THREAD_SPEC')"),

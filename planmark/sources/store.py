@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from planmark import schemas
 from planmark.operators.cost import within
+from planmark.sources import publish
 
 
 def append_table(df: DataFrame, root: str, table: str, cluster_by: str | None = "drawing_id") -> None:
@@ -18,14 +21,18 @@ def read_table(spark: SparkSession, root: str, table: str, schema: str | None =
     return spark.read.schema(schema or schemas.TABLES[table]).parquet(f"{root}/{table}")
 
 
-def ingest_tables(tables: dict[str, DataFrame], root: str) -> None:
-    """Append several tables; the usage table is laid out by day."""
-    for name, df in tables.items():
-        if name == "llm_usage":
-            dated = df.withColumn("day", F.to_date("timestamp"))
-            dated.write.mode("append").partitionBy("day").parquet(f"{root}/{name}")
-        else:
-            append_table(df, root, name)
+def ingest_tables(tables: dict[str, DataFrame], root: str, batch: str | None = None) -> bool:
+    """Add rows to several tables in one step that readers see whole or not at all.
+
+    The usage table is laid out by day, the others in id order. Give a ``batch`` name to make a
+    second run of the same delivery harmless; read with ``publish.read_published``.
+    """
+    laid = {
+        name: df.withColumn("day", F.to_date("timestamp")) if name == "llm_usage"
+        else df.sortWithinPartitions("drawing_id")
+        for name, df in tables.items()
+    }
+    return publish.publish_tables(laid, root, batch or uuid.uuid4().hex, {"llm_usage": ["day"]})
 
 
 def rewrite_table(df: DataFrame, root: str, table: str, version: str) -> str:
