@@ -11,8 +11,9 @@ Sorting a source never meets in one task: its key axis is cut into ranges of abo
 
 Behaviour at the edges: a null text has size 0; documents without words are taken 0 times; the null
 source is a source of its own and comes last; null ids are ids like others; repeated rows (same id,
-source and text) count each and share one decision; an empty table gives an empty result; keys are
-derived from id and seed, hence reruns agree, and ties go by text digest; columns named as the four
+source and text) count each and share one decision, by the largest weight among them; an empty table
+gives an empty result; keys are derived from id, source, text and seed, hence reruns agree, and ties go
+by id and text digest; very long texts travel as a digest and a size only; columns named as the four
 results are replaced, other columns pass through.
 """
 
@@ -28,6 +29,8 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 ROWS_PER_RANGE = 4_096
 SEED = "mix"
+#: A document of no known worth is still taken, last.
+LEAST_WEIGHT = 1e-3
 #: What junk is full of; documents with many of these weigh less.
 JUNK = "[#*$%&|<>!]"
 _KEYS = ("m_id", "m_source", "m_text")
@@ -39,8 +42,14 @@ def text_quality(text: Column, size: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.lit(4.0) * junk / F.greatest(size, F.lit(1)).cast("double"))
 
 
-def measure(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One narrow row per document: identity, source, size, quality weight."""
+def measure(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None
+) -> DataFrame:
+    """One narrow row per document: identity, source, size, quality weight.
+
+    ``weight`` names a column of quality scores; without, the text's own junk decides. Scores that are
+    null, not finite or below ``LEAST_WEIGHT`` count as that.
+    """
     words = F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
     sized = df.select(
         F.col(f"`{doc_id}`").alias("m_id"),
@@ -48,8 +57,12 @@ def measure(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         F.md5(text_of(text)).alias("m_text"),
         words.alias("m_size"),
         text_of(text).alias("m_raw"),
+        (F.col(f"`{weight}`").cast("double") if weight else F.lit(None).cast("double")).alias("m_given"),
     )
-    return sized.withColumn("m_weight", text_quality(F.col("m_raw"), F.col("m_size"))).drop("m_raw")
+    usable = ~F.isnan("m_given") & (F.col("m_given") >= LEAST_WEIGHT) & (F.col("m_given") < float("inf"))
+    given = F.when(usable, F.col("m_given")).otherwise(F.lit(LEAST_WEIGHT))
+    own = text_quality(F.col("m_raw"), F.col("m_size"))
+    return sized.withColumn("m_weight", given if weight else own).drop("m_raw", "m_given")
 
 
 def targets(measured: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -88,9 +101,11 @@ def targets(measured: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     )
 
 
-def sample_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
-    """An exponential variate with rate ``weight``, drawn from a digest of the id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def sample_key(doc_id: Column, source: Column, text_digest: Column, weight: Column, seed: str = SEED) -> Column:
+    """An exponential variate with rate ``weight``, drawn from a digest of id, source and text, so that
+    documents that share an id, or have none, spread over the ranges too."""
+    known = [F.coalesce(c.cast("string"), F.lit("")) for c in (doc_id, source, text_digest)]
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *known))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
     return -F.log(uniform) / weight
 
@@ -104,8 +119,8 @@ def plan_mix(
 ) -> DataFrame:
     """One row per distinct document: size, source_size, target and taken (words, repeats counted)."""
     documents = (
-        measured.groupBy(*_KEYS, "m_size", "m_weight").agg(F.count("*").alias("m_copies"))
-        .withColumn("m_key", sample_key(F.col("m_id"), F.col("m_weight"), seed))
+        measured.groupBy(*_KEYS, "m_size").agg(F.count("*").alias("m_copies"), F.max("m_weight").alias("m_weight"))
+        .withColumn("m_key", sample_key(*map(F.col, _KEYS), F.col("m_weight"), seed))
         .withColumn("m_total", F.col("m_size") * F.col("m_copies"))
     )
     per_source = targets(measured, weights, most).withColumnRenamed("m_source", "m_of")
@@ -175,10 +190,11 @@ def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None,
+    **options,
 ) -> DataFrame:
     """Adds size, source_size, target and taken to every row of ``df``."""
-    plan = plan_mix(cut_lineage(measure(df, doc_id, text, source)), **options)
+    plan = plan_mix(cut_lineage(measure(df, doc_id, text, source, weight)), **options)
     rows = df.drop("size", "source_size", "target", "taken").withColumns({
         "m_id": F.col(f"`{doc_id}`"), "m_source": F.col(f"`{source}`").cast("string"), "m_text": F.md5(text_of(text)),
     })
@@ -190,6 +206,8 @@ def apply_mix(df: DataFrame, **options) -> DataFrame:
     plain = [f"u{i}" for i in range(len(df.columns))]  # whatever the user's columns are called
     named = dict(zip(df.columns, plain))
     keys = {k: named[options.pop(k, k)] for k in ("doc_id", "text", "source")}
+    if options.get("weight"):
+        options["weight"] = named[options["weight"]]
     mixed = mix(df.toDF(*plain), **keys, **options)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int")
     repeated = mixed.withColumn("m_repeat", F.explode(F.array_repeat(F.lit(0), times)))

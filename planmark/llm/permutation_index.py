@@ -11,12 +11,14 @@ pivots and orders live in that space, scores do not.
 
 Scale. Equal vectors are one entry, with as many of their smallest ids as a result can need. Shards
 hold about ``SHARD`` entries and are met by blocks of queries, so a task holds one shard and one block.
-The share of a shard that is reranked is a parameter; in data without structure recall needs it.
+The share of a shard that is reranked is measured, not guessed: a bounded sample of the queries is
+compared with every vector, and the footrule ranks of their true neighbours tell which share finds
+``RECALL`` of them. Data without structure needs a large one.
 
 Behaviour at the edges: vectors that are null, zero, hold null or non-finite components, have a null
 id or another dimension than most vectors (the smaller if tied) take no part; rows with equal id and
 vector are one; fewer candidates than asked for give fewer results; ties in score go to the smaller
-id; an empty table gives an empty result; other columns are ignored.
+id; an empty table gives an empty result; other columns, such as a very long text, are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ PIVOTS, PREFIX = 256, 64
 #: Vectors that pivots are chosen from; of those nearer than ``APART`` (a cosine) only the first is one.
 PIVOT_SAMPLE, APART = 2_048, 0.8
 SHARD, QUERY_BLOCK = 8_192, 4_096
-RERANK_SHARE, RERANK_LEAST = 0.12, 500
+#: Recall that the share of a shard to rerank is chosen for, on so many sampled queries, and its least.
+RECALL, PROBES, RERANK_LEAST = 0.96, 128, 100
 _INDEX = "shard int, cids binary, lows binary, vectors binary, ends binary, members binary, places binary"
 
 
@@ -101,44 +104,94 @@ def build(entries: DataFrame, pivots: np.ndarray, largest: float, prefix: int, s
     return entries.select(shard.alias("shard"), "cid", "low", "v").groupBy("shard").applyInPandas(post, _INDEX)
 
 
+class _Shard:
+    """The inverted files of one row of the index."""
+
+    def __init__(self, row):
+        self.cids, self.lows = np.frombuffer(row.cids, np.int64), np.frombuffer(row.lows, np.int64)
+        self.vectors = np.frombuffer(row.vectors, np.float64).reshape(len(self.cids), -1)
+        self.ends, self.members = np.frombuffer(row.ends, np.int64), np.frombuffer(row.members, np.int32)
+        self.begins, self.places = np.concatenate(([0], self.ends[:-1])), np.frombuffer(row.places, np.int16)
+
+    def nearness(self, order: np.ndarray) -> np.ndarray:
+        """What grows as the footrule falls: footrule = width * (width + 1) - 2 * nearness."""
+        near, width = np.zeros(len(self.cids), np.int32), len(order)
+        for j, p in enumerate(order):
+            a, b = self.begins[p], self.ends[p]
+            near[self.members[a:b]] += width - np.maximum(self.places[a:b], j)
+        return near
+
+
+def _asked(queries: pd.DataFrame, pivots: np.ndarray, prefix: int):
+    vectors = np.stack(queries["v"].to_numpy()).astype(np.float64)
+    flat = np.hstack([vectors, np.zeros((len(vectors), 1))])
+    return zip(queries["cid"], vectors, _orders(flat, pivots, prefix))
+
+
 def _search(pivots: np.ndarray, prefix: int, k: int, share: float, least: int) -> Callable:
     def search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         for row in index.itertuples():
-            cids, lows = np.frombuffer(row.cids, np.int64), np.frombuffer(row.lows, np.int64)
-            vectors = np.frombuffer(row.vectors, np.float64).reshape(len(cids), -1)
-            ends, members = np.frombuffer(row.ends, np.int64), np.frombuffer(row.members, np.int32)
-            places = np.frombuffer(row.places, np.int16)
-            begins = np.concatenate(([0], ends[:-1]))
-            keep = min(len(cids), max(least, int(np.ceil(share * len(cids)))))
             if not len(queries):
                 continue
-            asked = np.stack(queries["v"].to_numpy()).astype(np.float64)
-            flat = np.hstack([asked, np.zeros((len(asked), 1))])
-            for cid, vector, order in zip(queries["cid"], asked, _orders(flat, pivots, prefix)):
-                width = len(order)
-                # footrule = width * (width + 1) - 2 * near
-                near = np.zeros(len(cids), np.int32)
-                for j, p in enumerate(order):
-                    a, b = begins[p], ends[p]
-                    near[members[a:b]] += width - np.maximum(places[a:b], j)
+            held = _Shard(row)
+            keep = min(len(held.cids), max(least, int(np.ceil(share * len(held.cids)))))
+            for cid, vector, order in _asked(queries, pivots, prefix):
+                near = held.nearness(order)
                 last = np.partition(near, len(near) - keep)[len(near) - keep]
                 chosen = np.flatnonzero(near >= last)  # all that tie with the last
-                score = vectors[chosen] @ vector
-                best = np.lexsort((lows[chosen], -score))[: k + 1]
-                found += zip([cid] * len(best), cids[chosen[best]], lows[chosen[best]], score[best])
+                score = held.vectors[chosen] @ vector
+                best = np.lexsort((held.lows[chosen], -score))[: k + 1]
+                found += zip([cid] * len(best), held.cids[chosen[best]], held.lows[chosen[best]], score[best])
         return pd.DataFrame(found, columns=["q", "cid", "low", "score"])
 
     return search
 
 
+def _ranks(pivots: np.ndarray, prefix: int, k: int) -> Callable:
+    """The k + 1 truly nearest of each probe in a shard, and the share of it that would have found them."""
+
+    def rank(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        for row in index.itertuples():
+            if not len(queries):
+                continue
+            held = _Shard(row)
+            for cid, vector, order in _asked(queries, pivots, prefix):
+                near, score = held.nearness(order), held.vectors @ vector
+                best = np.lexsort((held.lows, -score))[: k + 1]
+                ahead = len(near) - np.searchsorted(np.sort(near), near[best], side="right")
+                found += zip([cid] * len(best), held.lows[best], score[best], (ahead + 1) / len(near))
+        return pd.DataFrame(found, columns=["q", "low", "score", "share"])
+
+    return rank
+
+
+def needed_share(
+    index: DataFrame, probes: DataFrame, shards: int, chosen: np.ndarray, prefix: int, k: int, recall: float = RECALL
+) -> float:
+    """Share of every shard to rerank so that ``recall`` of the true neighbours of the probes (cid, v) are found.
+
+    ``probes`` are few (``PROBES``); each meets every shard, and k + 1 numbers of each come to the driver.
+    """
+    asked = probes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    ranked = index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(
+        _ranks(chosen, prefix, k), "q long, low long, score double, share double"
+    )
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "low")
+    top = ranked.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= k + 1)
+    shares = [r["share"] for r in top.select("share").collect()]
+    return float(np.quantile(shares, recall, method="higher")) if shares else 1.0
+
+
 def neighbours(
     df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding",
-    pivots: int = PIVOTS, prefix: int = PREFIX, share: float = RERANK_SHARE, least: int = RERANK_LEAST,
-    shard: int = SHARD, query_block: int = QUERY_BLOCK,
+    pivots: int = PIVOTS, prefix: int = PREFIX, share: float | None = None, least: int = RERANK_LEAST,
+    shard: int = SHARD, query_block: int = QUERY_BLOCK, recall: float = RECALL, probes: int = PROBES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that ``is_query`` (a condition on
-    ``vec_id``), by inner product, among all rows but its own id."""
+    ``vec_id``), by inner product, among all rows but its own id. The share of each shard to rerank is
+    measured for ``recall`` on ``probes`` queries unless ``share`` is given."""
     rows = cut_lineage(usable(df, vec_id, embedding))
     entries = cut_lineage(classes(rows, k))
     asking = cut_lineage(
@@ -154,6 +207,9 @@ def neighbours(
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     chosen = choose_pivots(_filled(np.array([r["v"] for r in sample], np.float64), largest), pivots)
     index = cut_lineage(build(entries, chosen, largest, prefix, shards))
+    if share is None:
+        some = entries.join(wanted, "cid").orderBy(F.xxhash64(F.lit("probe"), "v"), "v").limit(probes).select("cid", "v")
+        share = needed_share(index, some, shards, chosen, prefix, k, recall)
     each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     left = index.withColumn("block", each_block)

@@ -81,7 +81,7 @@ def op4_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     ),
     docs AS (
       SELECT doc_id, source, tid, size, w, count(*) AS copies, size * count(*) AS total,
-             -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5)
+             -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, '') || ':' || tid), 1, 13))::BIGINT::DOUBLE + 0.5)
                  / 4503599627370496.0::DOUBLE) / w AS k
       FROM weighed GROUP BY doc_id, source, tid, size, w
     ),

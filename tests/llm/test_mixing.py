@@ -76,3 +76,21 @@ def test_edges(documents):
     assert {(r["size"], r["taken"], r["target"]) for r in blank} == {(0, 0, 0.0)}
     alone = mixing.mix(documents((1, "one two three"))).collect()[0]
     assert (alone["target"], alone["taken"]) == (3.0, 3)
+
+
+def test_documents_without_ids_draw_each_for_themselves(documents):
+    df = documents(*[(None, f"words of document {i}", "en", "b") for i in range(400)], (1, "a b c", "en", "a"))
+    measured = mixing.measure(df)
+    key = mixing.sample_key(F.col("m_id"), F.col("m_source"), F.col("m_text"), F.col("m_weight"))
+    assert measured.select(key).distinct().count() == 401
+
+
+def test_a_given_weight_decides(documents):
+    texts = [(i, f"word{i} " * 8, "en", "b" if i % 5 else "a") for i in range(600)]
+    df = documents(*texts).withColumn("w", F.when(F.col("doc_id") % 2 == 0, 1.0).when(F.col("doc_id") % 3 == 0, float("nan")))
+    taken = lambda rows, odd: sum(r["taken"] for r in rows if r["source"] == "b" and r["doc_id"] % 2 == odd)
+    rows = mixing.mix(df, weight="w").collect()
+    assert taken(rows, 0) > 20 * max(1, taken(rows, 1)) or taken(rows, 1) == 0
+    assert mixing.apply_mix(df, weight="w").columns == df.columns
+    twice = df.unionByName(df.withColumn("w", F.lit(0.5)))  # one document, two weights: one decision, the higher weight
+    assert mixing.mix(twice, weight="w").count() == 1200

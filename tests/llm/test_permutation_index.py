@@ -50,6 +50,15 @@ def test_recall_against_brute_force(spark, scale):
         assert all(abs(s - np.dot(of[q], of[v])) < 1e-9 for v, s in near)
 
 
+def test_recall_on_the_given_vectors(spark):
+    """The query's own settings, in shards so large that the measured share decides and not the floor."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r["vec_id"], list(r["embedding"])) for r in df.collect()]
+    wanted, got = exact(rows, 20), found(df, shard=1000)
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in wanted[q]}) for q in wanted)
+    assert hits / (20 * len(wanted)) >= 0.93
+
+
 def test_ties_copies_and_bad_rows(spark):
     one, two = [1.0, 0.0], [0.6, 0.8]
     nan, inf = float("nan"), float("inf")
