@@ -6,6 +6,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from planmark.session import cut_lineage
+
 
 def duplicate_files(files: DataFrame, key: str, content: str) -> DataFrame:
     """Digests held by more than one file: number of files, first file."""
@@ -44,6 +46,10 @@ def similar_hashes(
     Where more than ``crowd`` hashes share a key, it is cut once more: of d + 1 pieces, dealt over
     all 64 bits in turn, one at least is equal too. Each piece joins the key, a pair counts at its
     first equal piece, and a crowd falls apart into some 2^(64 / (d + 1)) parts a piece.
+
+    The hashes are written once and read three times. Rows with keys are sorted and merged: a group
+    makes dozens of them, which the planner does not foresee, so it would take them for a small side
+    and gather them all on the driver.
     """
     most = int((1 - threshold) * 64 + 1e-9)
     equal = bands - most
@@ -52,6 +58,7 @@ def similar_hashes(
     if 64 % bands:
         raise ValueError("bands must divide 64")
     width = 64 // bands
+    hashed = cut_lineage(hashed.select("vec_id", "hash"))
     groups = hashed.groupBy("hash").agg(F.min("vec_id").alias("head"))
     members = (
         hashed.join(groups, "hash")
@@ -61,7 +68,7 @@ def similar_hashes(
     band = lambda h, i: F.shiftrightunsigned(h, width * i).bitwiseAND(F.lit((1 << width) - 1))
     keys = F.array(*[
         F.struct(
-            F.array(*map(F.lit, choice)).alias("choice"),
+            F.lit(sum(1 << i for i in choice)).alias("choice"),
             F.xxhash64(*[band(F.col("hash"), i) for i in choice]).alias("digest"),
         )
         for choice in combinations(range(bands), equal)
@@ -89,12 +96,14 @@ def similar_hashes(
         F.lit((1 << width) - 1)
     )
     equal_bands = F.filter(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: band_of_difference(i) == 0)
-    first = F.slice(equal_bands, 1, equal)
+    first = F.aggregate(
+        F.slice(equal_bands, 1, equal), F.lit(0), lambda bits, i: bits + F.call_function("shiftleft", F.lit(1), i)
+    )
     first_piece = F.coalesce(*[
         F.when(apart.bitwiseAND(F.lit(signed[p]).cast("bigint")) == 0, F.lit(p)) for p in range(most + 1)
     ])
     pairs = (
-        spread.join(other, on)
+        spread.hint("merge").join(other, on)
         .where((F.col("head") < F.col("head2")) & (F.bit_count(apart) <= most) & (F.col("choice") == first))
         .where((F.col("piece") == -1) | (F.col("piece") == first_piece))
         .select(
