@@ -2,9 +2,23 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from planmark.functions import text as tx
 from planmark.operators import fingerprint
 
 
+@pytest.mark.parametrize("text, wanted", [
+    ("4703 Achverber", False), ('{"a":1} x', False), ("[1]]", False), ("1] x [2", False), ("1,2", False),
+    ('1, "a": 2', False), ("'a'", False), ('{"a":"it\'s","b":[\'q\']}', False), ('"a\nb"', False), ("", False),
+    ('{"a":1,"a":2}', True), ('["a\\"b\'c"]', True), (" 12 \n", True), ("null", True), (None, None),
+])
+def test_json_is_one_whole_value(spark, text, wanted):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(tx.json_ok(F.col("t"))).first()[0] is wanted
+
+
 def test_keys_of_hashes_are_not_gathered_on_the_driver(spark):
     draw = random.Random(1)
     df = spark.createDataFrame([(i, draw.getrandbits(63)) for i in range(3000)], "vec_id long, hash long")
