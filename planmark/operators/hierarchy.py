@@ -71,30 +71,21 @@ def containment_pairs(detections: DataFrame, dense_limit: int = spatial.DENSE_LI
     shapes = _shapes(detections)
     dense = spatial.dense_drawings(shapes, dense_limit)
     rank = lambda box, ident: F.struct(bb.area(box).alias("area"), ident.alias("id"))
-    own = rank(F.col("bbox"), F.col("detection_id"))
-    holders = F.filter(
-        "shapes",
-        lambda s: bb.contains(s["bbox"], F.col("bbox")) & (rank(s["bbox"], s["detection_id"]) > own),
-    )
-    sparse = (
-        shapes.join(spatial.shape_lists(shapes, dense, "detection_id", "bbox"), "drawing_id")
-        .select(
-            "drawing_id", "detection_id",
-            F.explode(F.slice(F.array_sort(F.transform(holders, lambda s: rank(s["bbox"], s["detection_id"]))), 1, 1)).alias("parent"),
+    own, other = rank(F.col("bbox"), F.col("detection_id")), rank(F.col("other_box"), F.col("other_id"))
+
+    def around(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.where(bb.contains(F.col("other_box"), F.col("bbox")) & (other > own))
+            .groupBy("drawing_id", "detection_id")
+            .agg(F.min(other).alias("parent"))
+            .select("drawing_id", "detection_id", F.col("parent.id").alias("parent_id"))
         )
-        .select("drawing_id", "detection_id", F.col("parent.id").alias("parent_id"))
-    )
+
+    sparse = around(shapes.join(_others(spatial.without_dense(shapes, dense)), "drawing_id"))
     big = None
     if dense is not None:
         some = spatial.only_dense(shapes, dense)
-        other_rank = rank(F.col("other_box"), F.col("other_id"))
-        big = (
-            spatial.overlap_join(some, _others(some), "bbox", "other_box")
-            .where(bb.contains(F.col("other_box"), F.col("bbox")) & (other_rank > own))
-            .groupBy("drawing_id", "detection_id")
-            .agg(F.min(other_rank).alias("parent"))
-            .select("drawing_id", "detection_id", F.col("parent.id").alias("parent_id"))
-        )
+        big = around(spatial.overlap_join(some, _others(some), "bbox", "other_box"))
     return spatial.union_parts(sparse, big)
 
 
@@ -114,15 +105,13 @@ def fastener_links(
         dy = F.abs(bb.center_y(other_box) - bb.center_y(F.col("bbox")))
         return (gap <= reach) & ((dx < gap * 0.8) | (dy < gap * 0.8))
 
-    lists = spatial.shape_lists(parts, dense, "detection_id", "bbox")
-    sparse = (
-        fasteners.join(lists, "drawing_id")
-        .withColumn("o", F.explode(F.filter("shapes", lambda s: linked(s["bbox"]))))
-        .select(
-            "drawing_id", "detection_id", F.col("o.detection_id").alias("component_id"),
-            bb.center_distance(F.col("bbox"), F.col("o.bbox")).alias("distance"),
+    def links(pairs: DataFrame) -> DataFrame:
+        return pairs.where(linked(F.col("other_box"))).select(
+            "drawing_id", "detection_id", F.col("other_id").alias("component_id"),
+            bb.center_distance(F.col("bbox"), F.col("other_box")).alias("distance"),
         )
-    )
+
+    sparse = links(fasteners.join(_others(spatial.without_dense(parts, dense)), "drawing_id"))
     big = None
     if dense is not None:
         pad = int(reach) + 1
@@ -132,14 +121,7 @@ def fastener_links(
         )
         some = spatial.only_dense(fasteners, dense).withColumn("near", around(F.col("bbox")))
         other = _others(spatial.only_dense(parts, dense)).withColumn("dot", dot(F.col("other_box")))
-        big = (
-            spatial.overlap_join(some, other, "near", "dot")
-            .where(linked(F.col("other_box")))
-            .select(
-                "drawing_id", "detection_id", F.col("other_id").alias("component_id"),
-                bb.center_distance(F.col("bbox"), F.col("other_box")).alias("distance"),
-            )
-        )
+        big = links(spatial.overlap_join(some, other, "near", "dot"))
     return spatial.union_parts(sparse, big)
 
 
