@@ -35,16 +35,17 @@ PARTS = {"rts": ROOTS, "ins": INSIDE, "free": FREE, "lnk": LINKS, "edg": EDGES,
 
 
 def _roots(v: Views) -> DataFrame:
+    v = v.kept
     return hierarchy.root_component(v.detections, associate_text_shapes(v.text_blocks, v.detections))
 
 
 def _edges(v: Views) -> DataFrame:
-    return hierarchy.assembly_edges(v.detections, _roots(v))
+    return hierarchy.assembly_edges(v.kept.detections, _roots(v))
 
 
 def _tree(v: Views) -> DataFrame:
     roots = cut_lineage(_roots(v))
-    return hierarchy.hierarchy_tree(hierarchy.assembly_edges(v.detections, roots), roots)
+    return hierarchy.hierarchy_tree(hierarchy.assembly_edges(v.kept.detections, roots), roots)
 
 
 @register(
@@ -80,12 +81,12 @@ def _(v: Views) -> DataFrame:
     with_views("SELECT drawing_id, detection_id FROM det WHERE detection_id NOT IN (SELECT component_id FROM tree)", **PARTS),
 )
 def _(v: Views) -> DataFrame:
-    return hierarchy.unreachable_components(v.detections, _tree(v))
+    return hierarchy.unreachable_components(v.kept.detections, _tree(v))
 
 
 def _large(v: Views) -> DataFrame:
     """Asked components: all shapes of class plate or gear."""
-    return v.detections.where(F.col("class_name").isin("plate", "gear")).select(F.col("detection_id").alias("component_id"))
+    return v.kept.detections.where(F.col("class_name").isin("plate", "gear")).select(F.col("detection_id").alias("component_id"))
 
 
 ASKED = "(SELECT detection_id FROM det WHERE class_name IN ('plate','gear'))"
