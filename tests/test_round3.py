@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from planmark.functions import text as tx
-from planmark.operators import fingerprint
+from planmark.operators import associate, fingerprint, hierarchy, validate
+from planmark.plans import catalog
 
 
 @pytest.mark.parametrize("text, wanted", [
@@ -27,3 +28,17 @@ def test_keys_of_hashes_are_not_gathered_on_the_driver(spark):
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "SortMergeJoin" in plan
     assert not [line for line in plan.splitlines() if "BroadcastExchange" in line and "piece" in line]
+
+
+@pytest.mark.parametrize("key", ["children_of", "issue_references", "drawing_confidence", "export_summary"])
+def test_lines_are_aggregated_once(spark, key):
+    found = catalog.queries()[key](spark, "/root/testdata/sf0.001")
+    assert not [file for file in found.inputFiles() if "lineitem" in file]
+
+
+def test_small_drawings_are_paired_without_arrays(views):
+    for found in (
+        associate.associate_text_shapes(views.text_blocks, views.detections),
+        hierarchy.containment_pairs(views.detections), validate.overlapping_blocks(views.text_blocks),
+    ):
+        assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
