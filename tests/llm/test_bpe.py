@@ -89,3 +89,22 @@ def test_round_trip_in_one_pass(documents):
         assert row["tokens"]["ids_sha256"] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
         assert row["tokens"]["decoded_sha256"] == hashlib.sha256((row["text"] or "").encode()).hexdigest()
     assert bpe.round_trip(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_pre_tokens_share_a_queue():
+    draw = random.Random(5)
+    pieces = ["".join(draw.choice("etaoin 'é日") for _ in range(draw.choice((0, 1, 2, 5, 9, 40)))).encode() for _ in range(400)]
+    assert bpe.merge_all(pieces, RANKS) == [bpe.merge(x, RANKS) for x in pieces]
+    # "abc" ranks below "ab": it goes first although other places of "ab" wait
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 300, b"ab": 301, b"abca": 302, b"ca": 303}
+    for piece in (b"abcab", b"ababcaab", b"aabcabca"):
+        want = tiktoken.Encoding("odd", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary(piece.decode())
+        assert bpe.merge_all([b"abx", piece, b"xabcab"], ranks)[1] == want
+
+
+def test_texts_encoded_together_as_alone():
+    texts = ["one, two  three", "", " two\n", "two one", "z" * 70 + " " + "z" * 70, " \xa0 \xa0", "y-y " * 30]
+    together = bpe.Encoder(RANKS, public_tokenizers.PATTERN).encode_all(texts)
+    assert together == [bpe.Encoder(RANKS, public_tokenizers.PATTERN).encode(x) for x in texts]
+    for raw, text in zip(together, texts):
+        assert [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)] == REFERENCE.encode_ordinary(text)
