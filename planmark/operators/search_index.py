@@ -5,8 +5,8 @@ token order inside each file, so a search opens the buckets of its own tokens on
 the row groups that can hold these tokens. A batch of entities adds files and rewrites none; batches
 appear as a whole (``sources.publish``).
 
-A token that a third of all entities hold is cut into many files, as rows are dealt by ranges of
-(bucket, token, entity) rather than by token.
+Entities are cut into tokens once a batch: postings are dealt by bucket, without a sample that fixes ranges first. A bucket
+with a token that a third of all entities hold is cut into many tasks and files by its size.
 """
 
 from __future__ import annotations
@@ -29,10 +29,9 @@ def _bucket(token, buckets: int):
 
 def add_entities(entities: DataFrame, root: str, batch: str, buckets: int = BUCKETS) -> bool:
     """Post one batch of entities; False if the batch is in the index already."""
-    order = ("bucket", "token", "drawing_id", "entity_id")
     postings = (
         entity_tokens(entities).withColumn("bucket", _bucket(F.col("token"), buckets))
-        .repartitionByRange(*order).sortWithinPartitions(*order)
+        .hint("rebalance", "bucket").sortWithinPartitions("bucket", "token")
     )
     return publish.publish_tables({POSTINGS: postings}, root, batch, {POSTINGS: ["bucket"]})
 
