@@ -27,7 +27,9 @@ def _stage(v: Views, df: DataFrame, name: str) -> tuple[str, str]:
 )
 def _(v: Views) -> DataFrame:
     folder, root = _stage(v, v.text_blocks, "stream-text")
-    stream = jobs.entity_stream(jobs.read_folder(v.spark, folder, v.text_blocks.schema, files_per_batch=4))
+    # a batch of fewer files than cores leaves cores idle, whatever the number of batches
+    files = max(4, 2 * v.spark.sparkContext.defaultParallelism)
+    stream = jobs.entity_stream(jobs.read_folder(v.spark, folder, v.text_blocks.schema, files_per_batch=files))
     jobs.write_folder(stream, f"{root}/out", f"{root}/state").start().awaitTermination()
     written = v.spark.read.schema(stream.schema).parquet(f"{root}/out")
     return written.groupBy("entity_type", "extraction_method").agg(F.count("*").alias("n"))
