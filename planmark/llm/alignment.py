@@ -10,11 +10,15 @@ postings: every document adds up the scores of its pairs, once per link.
 
 At scale: the texts are read once and never shuffled; a chunk's bitmaps are bounded by the chunk, so a
 pair that all documents hold is one small row per chunk, counted before any shuffle; scores meet postings by a
-join on the pair and return by the chunk. Tokens of a unit (a stretch between plain single blanks,
-which neither tokenizer crosses) are remembered per task while they fit in ``REMEMBERED`` bytes.
+join on the pair and return by the chunk. Links become postings (pair, document, multiplicity) after each block
+of ``BLOCK`` characters, a chunk ends at ``POSTINGS`` postings, and its bitmaps are made ``SLICE`` postings at a time, so
+that beside one text a task's memory depends neither on the number of documents nor on their links. Tokens of a unit (a stretch
+between plain single blanks, which neither tokenizer crosses) are remembered per worker in ``REMEMBERED`` bytes; those
+not met of late go.
 
 Behaviour at the edges: a null or empty text, and one whose tokens of either kind do not give back
-blank and text, has no tokens and zeros; very long texts are a chunk of their own; ties for a best
+blank and text, has no tokens and zeros; a long text is aligned in stretches of about ``BLOCK`` characters, from plain blank
+to plain blank (without any, at once); ties for a best
 pair all count; repeated rows are counted each; an empty table gives an empty result; only the id and
 the text are read, so other columns, whatever their names, do not matter.
 """
@@ -23,9 +27,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -37,13 +43,19 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from planmark.llm.common import bound_batches
 from planmark.session import cut_lineage, ensure_checkpoint_dir
 
-#: Documents and bytes of text of a chunk (one longer text is a chunk of its own).
-DOCUMENTS, CHUNK = 8192, 32_000_000
+#: Documents and postings of a chunk (it ends with the document and the block that reach either).
+DOCUMENTS, POSTINGS = 8192, 2_000_000
+#: Characters whose links are held before they become postings.
+BLOCK = 500_000
+#: Postings whose bitmaps are made at a time (one pair more at most), and bitmaps that are read at a time.
+SLICE, ROWS = 200_000, 1_000
 #: Documents of a chunk from which a plane is a bitmap of ``DOCUMENTS`` bits.
 DENSE = DOCUMENTS // 16
-#: Bytes of units that a task remembers before it forgets all.
+#: Bytes of units that a worker process remembers, one half met of late, the other before.
 REMEMBERED = 100_000_000
 _B_BITS = 24
+#: A blank that no unit crosses.
+_PLAIN = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_level() -> dict[str, int]:
@@ -93,6 +105,16 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
+        """Remember no unit."""
+        self._number_anew()
+        self.older: tuple = ({},)
+
+    def age(self) -> None:
+        """Number units anew. Those met since the last time need not be aligned again; others are forgotten."""
+        self.older = (self.known, self.sizes, self.ends, self.pairs, self.groups)
+        self._number_anew()
+
+    def _number_anew(self) -> None:
         self.known: dict[str, int] = {}
         self.sizes = array("q")  # a, b, groups of each unit
         self.ends = array("q", [0])
@@ -116,44 +138,75 @@ class Aligner:
         found = self.known.get(unit)
         if found is not None:
             return found
-        aligned = self.align(unit)
-        if aligned is None:
+        sizes, pairs, groups = self.before(unit) or self.describe(unit)
+        self.held += 4 * len(unit) + 10 * len(pairs) + len(groups) + 300
+        if not groups:
             self.known[unit] = -1
             return -1
+        number = self.known[unit] = len(self.groups)
+        self.groups.append(groups)
+        self.sizes.extend(sizes)
+        self.pairs.extend(pairs)
+        self.ends.append(len(self.pairs))
+        return number
+
+    def before(self, unit: str) -> tuple | None:
+        """What ``describe`` gives, if the unit was met before units were last numbered anew."""
+        i = self.older[0].get(unit)
+        if i is None:
+            return None
+        _, sizes, ends, pairs, groups = self.older
+        return ((), (), "") if i < 0 else (sizes[3 * i : 3 * i + 3], pairs[ends[i] : ends[i + 1]], groups[i])
+
+    def describe(self, unit: str) -> tuple:
+        """Sizes, linked pairs and groups of a unit; empty if it has no tokens."""
+        aligned = self.align(unit)
+        if aligned is None:
+            return (), (), ""
         a, b, cuts, pairs = aligned
         parts, i, j = [], 0, 0
         for x, y in cuts:
             parts.append(f"{','.join(map(str, a[i : x + 1]))}|{','.join(map(str, b[j : y + 1]))}")
             i, j = x + 1, y + 1
-        number = self.known[unit] = len(self.groups)
-        self.groups.append(";".join(parts))
-        self.sizes.extend((len(a), len(b), len(cuts)))
-        self.pairs.extend(pairs)
-        self.ends.append(len(self.pairs))
-        self.held += 4 * len(unit) + 10 * len(pairs) + len(self.groups[-1]) + 200
-        return number
+        return (len(a), len(b), len(cuts)), pairs, ";".join(parts)
 
     def codes(self, text: str) -> list[int] | None:
         """Numbers of the units of blank and ``text``."""
         if not text:
             return None
         pieces = [text] if self.whole else text.split(" ")
+        if not self.whole and ("" in pieces or list(map(str.strip, pieces)) != pieces):
+            pieces = list(units(pieces))
         found = list(map(self.known.get, pieces))
-        if None in found or "" in pieces:
-            found = [self.code(unit) for unit in units(pieces)]
+        if None in found:
+            found = [self.code(pieces[i]) if x is None else x for i, x in enumerate(found)]
         return None if -1 in found else found
 
+    def stretches(self, text: str) -> Iterator[str]:
+        """``text`` in parts of ``BLOCK`` characters and up to the next plain blank, which is left out."""
+        start = 0
+        while not self.whole and len(text) - start > BLOCK and (blank := _PLAIN.search(text, start + BLOCK)):
+            yield text[start : blank.start()]
+            start = blank.end()
+        yield text[start:] if start else text
+
 
 def units(pieces: list[str]) -> Iterator[str]:
     """``pieces`` between blanks, joined again where a blank stands beside white space."""
-    held = pieces[0]
+    held = [pieces[0]]
     for piece in pieces[1:]:
-        if held and piece and not held[-1].isspace() and not piece[0].isspace():
-            yield held
-            held = piece
+        if held[-1] and piece and not held[-1][-1].isspace() and not piece[0].isspace():
+            yield " ".join(held)
+            held = [piece]
         else:
-            held = f"{held} {piece}"
-    yield held
+            held.append(piece)
+    yield " ".join(held)
+
+
+@lru_cache(maxsize=1)
+def worker_aligner(byte_path: str, pattern: str, piece_path: str) -> Aligner:
+    """One for all tasks of a worker process, so that the vocabularies are held once and units stay known."""
+    return Aligner(byte_path, pattern, piece_path)
 
 
 def planes(pairs: np.ndarray, docs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -216,6 +269,15 @@ def read_planes(bitmaps: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray,
         place[rows] += np.where(sparse, card, DOCUMENTS // 16)
 
 
+def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of (keys, times) as one, every key once."""
+    keys, times = (np.concatenate(x) for x in zip(*runs))
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return (keys, times) if len(starts) == len(keys) else (keys[starts], np.add.reduceat(times, starts, dtype=times.dtype))
+
+
 class _Chunk:
     """Documents of a task until they are written as rows of the two kinds."""
 
@@ -224,44 +286,78 @@ class _Chunk:
         self.clear()
 
     def clear(self) -> None:
-        self.ids, self.units, self.sums, self.size = [], [], [], 0
+        self.ids, self.digests, self.sums = [], [], np.zeros((DOCUMENTS, 3), dtype=np.int64)
+        self.void: list[int] = []  # documents whose first stretches have tokens, but not all
+        self.waiting: list[tuple[int, list[int]]] = []  # documents and units of a block
+        self.size, self.postings, self.held, self.most = 0, [], 0, POSTINGS
+
+    @property
+    def full(self) -> bool:
+        return len(self.ids) == DOCUMENTS or self.held >= POSTINGS
 
     def add(self, doc_id, text: str | None) -> None:
-        codes = self.aligner.codes(text or "")
+        idx, digest = len(self.ids), hashlib.sha256()
         self.ids.append(doc_id)
-        self.units.append(codes)
-        self.sums.append(hashlib.sha256(";".join(map(self.aligner.groups.__getitem__, codes)).encode()).hexdigest() if codes else "")
-        self.size += len(text or "")
+        for n, part in enumerate(self.aligner.stretches(text or "")):
+            if self.size >= BLOCK:
+                self.settle()
+            codes = self.aligner.codes(part)
+            self.size += len(part)
+            if codes is None:
+                digest = None
+                if n:
+                    self.void.append(idx)
+                break
+            digest.update((";" * (n > 0) + ";".join(map(self.aligner.groups.__getitem__, codes))).encode())
+            self.waiting.append((idx, codes))
+        self.digests.append(digest.hexdigest() if digest else "")
+
+    def settle(self) -> None:
+        """Turn the links that wait into sorted postings: pair and document as one number, and how often."""
+        aligner = self.aligner
+        if self.waiting:
+            doc = np.repeat([d for d, _ in self.waiting], [len(c) for _, c in self.waiting])
+            flat = np.concatenate([np.array(c, dtype=np.int64) for _, c in self.waiting])
+            sizes, ends = np.frombuffer(aligner.sizes, np.int64).reshape(-1, 3), np.frombuffer(aligner.ends, np.int64)
+            np.add.at(self.sums, doc, sizes[flat])
+            width = ends[flat + 1] - ends[flat]
+            where = np.repeat(ends[flat] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+            keys = np.frombuffer(aligner.pairs, np.int64)[where] * DOCUMENTS + np.repeat(doc, width)
+            del sizes, ends, where
+            keys.sort()
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            self.postings.append((keys[starts], np.diff(np.append(starts, len(keys))).astype(np.int32)))
+            self.held += len(starts)
+            self.waiting = []
+        self.size = 0
+        if self.held > self.most:  # a long text's pairs come in every block
+            self.postings = [merged(self.postings)]
+            self.held = len(self.postings[0][0])
+            self.most = max(POSTINGS, 2 * self.held)
+        if aligner.held > REMEMBERED // 2:
+            aligner.age()
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        n, aligner = len(self.ids), self.aligner
-        chunk = TaskContext.get().partitionId() << 32 | self.number
+        self.settle()
+        n, chunk = len(self.ids), TaskContext.get().partitionId() << 32 | self.number
         self.number += 1
-        counts = np.array([len(u) if u else 0 for u in self.units], dtype=np.int64)
-        flat = np.concatenate([np.zeros(0, np.int64), *(np.array(u, dtype=np.int64) for u in self.units if u)])
-        doc = np.repeat(np.arange(n), counts)
-        sizes, ends = np.frombuffer(aligner.sizes, np.int64).reshape(-1, 3), np.frombuffer(aligner.ends, np.int64)
-        sums = np.zeros((n, 3), dtype=np.int64)
-        for k in range(3):
-            np.add.at(sums[:, k], doc, sizes[flat, k])
-        yield self.batch("docs", chunk, n, idx=np.arange(n), doc_id=self.ids, n_a=sums[:, 0], n_b=sums[:, 1], n_groups=sums[:, 2], groups_sha256=self.sums)
-        width = ends[flat + 1] - ends[flat]
-        linked = np.frombuffer(aligner.pairs, np.int64)
-        where = np.repeat(ends[flat] - (np.cumsum(width) - width), width) + np.arange(width.sum())
-        keys = linked[where]
-        doc = np.repeat(doc, width)
-        del sizes, ends, linked
-        order = np.lexsort((doc, keys))
-        keys, doc = keys[order], doc[order]
-        if len(keys):
-            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))))
-            pair, docs, links, bitmaps = planes(keys[starts], doc[starts], np.diff(np.append(starts, len(keys))))
-            for a in range(0, len(pair), 100_000):
-                part = slice(a, a + 100_000)
-                yield self.batch("pairs", chunk, len(pair[part]), pair=pair[part], docs=docs[part], links=links[part], planes=bitmaps[part])
+        self.sums[self.void] = 0
+        n_a, n_b, n_groups = self.sums[:n].T
+        yield self.batch("docs", chunk, n, idx=np.arange(n), doc_id=self.ids, n_a=n_a, n_b=n_b, n_groups=n_groups, groups_sha256=self.digests)
+        keys, times = merged(self.postings) if self.postings else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.postings = []
+        if self.void:
+            kept = ~np.isin(keys % DOCUMENTS, self.void)
+            keys, times = keys[kept], times[kept]
+        a = 0
+        while a < len(keys):  # whole pairs
+            b = len(keys)
+            if b - a > SLICE:
+                b = int(np.searchsorted(keys, (keys[a + SLICE] // DOCUMENTS + 1) * DOCUMENTS))
+            pair, docs, links, bitmaps = planes(keys[a:b] // DOCUMENTS, keys[a:b] % DOCUMENTS, times[a:b].astype(np.int64))
+            yield self.batch("pairs", chunk, len(pair), pair=pair, docs=docs, links=links, planes=bitmaps)
+            a = b
         self.clear()
-        if aligner.held > REMEMBERED:
-            aligner.forget()
 
     def batch(self, kind: str, chunk: int, n: int, **columns) -> pa.RecordBatch:
         given = {"kind": [kind] * n, "chunk": np.full(n, chunk), **columns}
@@ -288,12 +384,12 @@ def postings(df: DataFrame, byte_path: str, pattern: str, piece_path: str, doc_i
     arrow = to_arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk(arrow, Aligner(byte_path, pattern, piece_path))
+        chunk = _Chunk(arrow, worker_aligner(byte_path, pattern, piece_path))
         for batch in batches:
-            for found in zip(*(c.to_pylist() for c in batch.columns)):
-                if chunk.ids and (len(chunk.ids) == DOCUMENTS or chunk.size + len(found[1] or "") > CHUNK):
+            for number, body in zip(*batch.columns):
+                chunk.add(number.as_py(), body.as_py())
+                if chunk.full:
                     yield from chunk.rows()
-                chunk.add(*found)
         if chunk.ids:
             yield from chunk.rows()
 
@@ -324,9 +420,10 @@ def document_scores(pairs: DataFrame, scores: DataFrame) -> DataFrame:
         score = table["score"].to_numpy().astype(np.int64)
         best = table["best"].to_numpy(zero_copy_only=False).astype(np.int64)
         totals, bests = np.zeros(DOCUMENTS, np.int64), np.zeros(DOCUMENTS, np.int64)
-        for rows, docs, k in read_planes(table["planes"].to_pylist()):
-            np.add.at(totals, docs, score[rows] << k)
-            np.add.at(bests, docs, best[rows] << k)
+        for a in range(0, len(score), ROWS):
+            for rows, docs, k in read_planes(table["planes"].slice(a, ROWS).to_pylist()):
+                np.add.at(totals, docs, score[a + rows] << k)
+                np.add.at(bests, docs, best[a + rows] << k)
         used = np.flatnonzero(totals)
         chunk = pa.array(np.full(len(used), table["chunk"][0].as_py()), pa.int64())
         return pa.table({"chunk": chunk, "idx": pa.array(used, pa.int32()), "n_best": bests[used], "count_sum": totals[used]})

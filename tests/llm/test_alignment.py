@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
@@ -127,3 +130,167 @@ def test_empty_table(documents):
 def test_given_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert result(df) == expected([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()])
+
+
+SCHEMA = pa.schema([
+    ("kind", pa.string()), ("chunk", pa.int64()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
+    ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("pair", pa.int64()), ("docs", pa.int64()), ("links", pa.int64()), ("planes", pa.binary()),
+])
+
+
+def task(monkeypatch, rows, aligner):
+    """Batches that one task writes for ``rows``."""
+    monkeypatch.setattr(alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    chunk = alignment._Chunk(SCHEMA, aligner)
+    for row in rows:
+        chunk.add(*row)
+        if chunk.full:
+            yield from chunk.rows()
+    if chunk.ids:
+        yield from chunk.rows()
+
+
+def gathered(batches):
+    """The operator's rows from what tasks write, added up link by link."""
+    docs, held, links = {}, [], Counter()
+    for r in (r for batch in batches for r in batch.to_pylist()):
+        if r["kind"] == "docs":
+            docs[r["chunk"], r["idx"]] = r
+        else:
+            links[r["pair"]] += r["links"]
+            held += [(r["chunk"], d, r["pair"], 1 << k) for _, found, k in alignment.read_planes([r["planes"]]) for d in found.tolist()]
+    most = Counter()
+    for pair, n in links.items():
+        most[pair % 2**24] = max(most[pair % 2**24], n)
+    best, total = Counter(), Counter()
+    for chunk, d, pair, times in held:
+        total[chunk, d] += times * links[pair]
+        best[chunk, d] += times * (links[pair] == most[pair % 2**24])
+    return sorted(
+        ((r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_groups"], best[k], total[k], r["groups_sha256"]) for k, r in docs.items()), key=repr
+    )
+
+
+@pytest.mark.parametrize("block, postings, slice_, remembered", [(1, 1, 1, 1), (40, 60, 7, 5000), (300, 10**6, 10**6, 10**8)])
+def test_bounds_change_nothing(monkeypatch, block, postings, slice_, remembered):
+    for name, value in {"BLOCK": block, "POSTINGS": postings, "SLICE": slice_, "REMEMBERED": remembered}.items():
+        monkeypatch.setattr(alignment, name, value)
+    draw = random.Random(3)
+    words = ["the", "quick", "naïve", "résumé", "42", "x9", "a\n", "\nb", "", "\xa0", "日本語", "brown"]
+    rows = list(enumerate(TEXTS)) + [(100 + i, " ".join(draw.choice(words) for _ in range(draw.randrange(200)))) for i in range(30)]
+    rows += [(200, "plain words " * 100 + "▁" + " more words" * 100), (201, "plain words " * 100)]  # the first has no tokens
+    batches = list(task(monkeypatch, rows, alignment.Aligner(*PATHS)))
+    assert gathered(batches) == expected(rows)
+    assert not plain(rows[-2][1]) and plain(rows[-1][1])
+    if block < 300:
+        assert len({b["chunk"][0].as_py() for b in batches}) > 5
+
+
+def test_memory_of_a_task_does_not_grow_with_its_texts(monkeypatch):
+    """Two workers of an executor once took 950 MB each, for texts of 26 MB."""
+    aligner = alignment.Aligner(*PATHS)
+    text = "plain words here and there " * 10_000
+    aligner.codes(text)
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in task(monkeypatch, ((i, text if i < 38 else text * 8) for i in range(40)), aligner))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 40 and peak < 60_000_000
+
+
+def test_units_of_long_ago_are_forgotten(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 1_000_000)
+    monkeypatch.setattr(alignment, "BLOCK", 10_000)
+    draw = random.Random(4)
+    aligner, most = alignment.Aligner(*PATHS), 0
+    monkeypatch.setattr(alignment, "DOCUMENTS", 1)  # so that every document is looked at
+    ends = ["", " ▁"]  # half of the texts have no tokens
+    rows = ((i, "often " + " ".join("".join(draw.choices("abcdefgh", k=9)) for _ in range(100)) + ends[i % 2]) for i in range(200))
+    for _ in task(monkeypatch, rows, aligner):
+        most = max(most, len(aligner.known) + len(aligner.older[0]))
+    assert 0 < most < 6_000  # of 20,000
+    assert "often" in aligner.known or "often" in aligner.older[0]
+
+
+SCHEMA = pa.schema([
+    ("kind", pa.string()), ("chunk", pa.int64()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
+    ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("pair", pa.int64()), ("docs", pa.int64()), ("links", pa.int64()), ("planes", pa.binary()),
+])
+
+
+def task(monkeypatch, rows, aligner):
+    """Batches that one task writes for ``rows``."""
+    monkeypatch.setattr(alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    chunk = alignment._Chunk(SCHEMA, aligner)
+    for row in rows:
+        chunk.add(*row)
+        if chunk.full:
+            yield from chunk.rows()
+    if chunk.ids:
+        yield from chunk.rows()
+
+
+def gathered(batches):
+    """The operator's rows from what tasks write, added up link by link."""
+    docs, held, links = {}, [], Counter()
+    for r in (r for batch in batches for r in batch.to_pylist()):
+        if r["kind"] == "docs":
+            docs[r["chunk"], r["idx"]] = r
+        else:
+            links[r["pair"]] += r["links"]
+            held += [(r["chunk"], d, r["pair"], 1 << k) for _, found, k in alignment.read_planes([r["planes"]]) for d in found.tolist()]
+    most = Counter()
+    for pair, n in links.items():
+        most[pair % 2**24] = max(most[pair % 2**24], n)
+    best, total = Counter(), Counter()
+    for chunk, d, pair, times in held:
+        total[chunk, d] += times * links[pair]
+        best[chunk, d] += times * (links[pair] == most[pair % 2**24])
+    return sorted(
+        ((r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_groups"], best[k], total[k], r["groups_sha256"]) for k, r in docs.items()), key=repr
+    )
+
+
+@pytest.mark.parametrize("block, postings, slice_, remembered", [(1, 1, 1, 1), (40, 60, 7, 5000), (300, 10**6, 10**6, 10**8)])
+def test_bounds_change_nothing(monkeypatch, block, postings, slice_, remembered):
+    for name, value in {"BLOCK": block, "POSTINGS": postings, "SLICE": slice_, "REMEMBERED": remembered}.items():
+        monkeypatch.setattr(alignment, name, value)
+    draw = random.Random(3)
+    words = ["the", "quick", "naïve", "résumé", "42", "x9", "a\n", "\nb", "", "\xa0", "日本語", "brown"]
+    rows = list(enumerate(TEXTS)) + [(100 + i, " ".join(draw.choice(words) for _ in range(draw.randrange(200)))) for i in range(30)]
+    rows += [(200, "plain words " * 100 + "▁" + " more words" * 100), (201, "plain words " * 100)]  # the first has no tokens
+    batches = list(task(monkeypatch, rows, alignment.Aligner(*PATHS)))
+    assert gathered(batches) == expected(rows)
+    assert not plain(rows[-2][1]) and plain(rows[-1][1])
+    if block < 300:
+        assert len({b["chunk"][0].as_py() for b in batches}) > 5
+
+
+def test_memory_of_a_task_does_not_grow_with_its_texts(monkeypatch):
+    """Two workers of an executor once took 950 MB each, for texts of 26 MB."""
+    aligner = alignment.Aligner(*PATHS)
+    text = "plain words here and there " * 10_000
+    aligner.codes(text)
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in task(monkeypatch, ((i, text if i < 38 else text * 8) for i in range(40)), aligner))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 40 and peak < 60_000_000
+
+
+def test_units_of_long_ago_are_forgotten(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 1_000_000)
+    monkeypatch.setattr(alignment, "BLOCK", 10_000)
+    draw = random.Random(4)
+    aligner, most = alignment.Aligner(*PATHS), 0
+    monkeypatch.setattr(alignment, "DOCUMENTS", 1)  # so that every document is looked at
+    ends = ["", " ▁"]  # half of the texts have no tokens
+    rows = ((i, "often " + " ".join("".join(draw.choices("abcdefgh", k=9)) for _ in range(100)) + ends[i % 2]) for i in range(200))
+    for _ in task(monkeypatch, rows, aligner):
+        most = max(most, len(aligner.known) + len(aligner.older[0]))
+    assert 0 < most < 6_000  # of 20,000
+    assert "often" in aligner.known or "often" in aligner.older[0]
