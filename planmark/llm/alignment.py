@@ -32,7 +32,7 @@ import uuid
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +52,7 @@ SLICE, ROWS = 200_000, 1_000
 #: Documents of a chunk from which a plane is a bitmap of ``DOCUMENTS`` bits.
 DENSE = DOCUMENTS // 16
 #: Bytes of units that a worker process remembers, one half met of late, the other before.
-REMEMBERED = 100_000_000
+REMEMBERED = 200_000_000
 _B_BITS = 24
 #: A blank that no unit crosses.
 _PLAIN = re.compile(r"(?<=\S) (?=\S)")
@@ -122,23 +122,25 @@ class Aligner:
         self.groups: list[str] = []
         self.held = 0
 
-    def align(self, unit: str) -> tuple[list[int], list[int], list[list[int]], list[int]] | None:
-        """Ids of both kinds of blank and ``unit``, ends of its groups as (a, b) places, linked pairs."""
-        a, b = self.a.encode_ordinary(" " + unit), self.b.encode(unit)
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+    def align(self, unit: str, b: list[int] | None = None) -> tuple[list[int], list[int], list[list[int]], list[int]] | None:
+        """Ids of both kinds of blank and ``unit``, ends of its groups as (a, b) places, linked pairs. ``b``: the second ids, if known."""
+        a = self.a.encode_ordinary(" " + unit)
+        if b is None:
+            b = self.b.encode(unit)
+        a_bytes, b_bytes = list(map(self.a_bytes.__getitem__, a)), list(map(self.b_bytes.__getitem__, b))
         raw = (" " + unit).encode("utf-8", "surrogatepass")
         if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
             return None
-        place = {end: j for j, end in enumerate(accumulate(map(len, b_bytes)))}
+        place = dict(zip(accumulate(map(len, b_bytes)), count()))
         cuts = [(i, place[end]) for i, end in enumerate(accumulate(map(len, a_bytes))) if end in place]
         return a, b, cuts, [a[i] << _B_BITS | b[j] for i, j in cuts]
 
-    def code(self, unit: str) -> int:
+    def code(self, unit: str, b: list[int] | None = None) -> int:
         """The number of a unit; -1 if it has no tokens."""
         found = self.known.get(unit)
         if found is not None:
             return found
-        sizes, pairs, groups = self.before(unit) or self.describe(unit)
+        sizes, pairs, groups = self.before(unit) or self.describe(unit, b)
         self.held += 4 * len(unit) + 10 * len(pairs) + len(groups) + 300
         if not groups:
             self.known[unit] = -1
@@ -158,15 +160,16 @@ class Aligner:
         _, sizes, ends, pairs, groups = self.older
         return ((), (), "") if i < 0 else (sizes[3 * i : 3 * i + 3], pairs[ends[i] : ends[i + 1]], groups[i])
 
-    def describe(self, unit: str) -> tuple:
+    def describe(self, unit: str, b: list[int] | None = None) -> tuple:
         """Sizes, linked pairs and groups of a unit; empty if it has no tokens."""
-        aligned = self.align(unit)
+        aligned = self.align(unit, b)
         if aligned is None:
             return (), (), ""
         a, b, cuts, pairs = aligned
+        spelled_a, spelled_b = list(map(str, a)), list(map(str, b))
         parts, i, j = [], 0, 0
         for x, y in cuts:
-            parts.append(f"{','.join(map(str, a[i : x + 1]))}|{','.join(map(str, b[j : y + 1]))}")
+            parts.append(f"{','.join(spelled_a[i : x + 1])}|{','.join(spelled_b[j : y + 1])}")
             i, j = x + 1, y + 1
         return (len(a), len(b), len(cuts)), pairs, ";".join(parts)
 
@@ -179,7 +182,13 @@ class Aligner:
             pieces = list(units(pieces))
         found = list(map(self.known.get, pieces))
         if None in found:
-            found = [self.code(pieces[i]) if x is None else x for i, x in enumerate(found)]
+            missing = {p for p, x in zip(pieces, found) if x is None}
+            new = [p for p in missing if p not in self.older[0]]
+            for unit, b in zip(new, self.b.encode(new, num_threads=1)):  # one call is faster than many
+                self.code(unit, b)
+            for unit in missing.difference(new):
+                self.code(unit)
+            found = list(map(self.known.__getitem__, pieces))
         return None if -1 in found else found
 
     def stretches(self, text: str) -> Iterator[str]:
