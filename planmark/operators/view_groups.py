@@ -11,16 +11,23 @@ from planmark.operators import spatial
 from planmark.session import cut_lineage
 
 FEATURES = ("fx", "fy", "fs")
+GROUP = ["drawing_id", "class_name"]
 
 
 def standardized(detections: DataFrame) -> DataFrame:
     """Center and root of area, centered and scaled per drawing and class (population deviation)."""
+    return _scaled(_centers(detections))
+
+
+def _centers(detections: DataFrame) -> DataFrame:
     box = F.col("bbox")
-    raw = detections.select(
-        "drawing_id", "class_name", "detection_id",
-        bb.center_x(box).alias("cx"), bb.center_y(box).alias("cy"),
-        bb.area(box).alias("area"), F.sqrt(bb.area(box)).alias("side"),
+    return detections.select(
+        *GROUP, "detection_id", bb.center_x(box).alias("cx"), bb.center_y(box).alias("cy"), bb.area(box).alias("area")
     )
+
+
+def _scaled(centers: DataFrame) -> DataFrame:
+    raw = centers.withColumn("side", F.sqrt("area"))
     moments = raw.groupBy("drawing_id", "class_name").agg(
         F.count("*").alias("members"),
         *[f(c).alias(f"{n}_{c}") for c in ("cx", "cy", "side") for n, f in (("m", F.avg), ("s", F.stddev_pop))],
@@ -35,6 +42,15 @@ def standardized(detections: DataFrame) -> DataFrame:
     )
 
 
+def _points(detections: DataFrame, members: int = 2, buckets: int = 0) -> DataFrame:
+    """Standardized shapes of classes with so many ``members``, written, as they are read several times. With ``buckets`` the
+    plain shapes are written too, dealt by class, and what follows by class shuffles nothing."""
+    centers = _centers(detections)
+    if buckets:
+        centers = cut_lineage(centers, GROUP, buckets)
+    return cut_lineage(_scaled(centers).where(F.col("members") >= members), GROUP, buckets)
+
+
 def _gap(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.sqrt(sum(((a[f] - b[f]) * (a[f] - b[f]) for f in FEATURES[1:]), (a["fx"] - b["fx"]) * (a["fx"] - b["fx"])))
 
@@ -143,45 +159,55 @@ def density_members(points: DataFrame, eps: float, min_samples: int, small: int
     A cube of the grid with ``min_samples`` members has cores only. So neighbours are counted only for members of thinner
     cubes, each of which has a bounded number; classes with few shapes are compared as lists.
     """
-    group = ["drawing_id", "class_name"]
-    slim = cut_lineage(points.select(*group, "detection_id", *FEATURES, "members"))
-    here = {f: F.col(f) for f in FEATURES}
-    few, many = slim.where(F.col("members") <= small), slim.where(F.col("members") > small)
-    lists = few.groupBy(*group).agg(F.collect_list(F.struct("detection_id", *FEATURES)).alias("others"))
-    close = lambda others: F.filter(others, lambda o: _gap(here, {f: o[f] for f in FEATURES}) <= eps)
-    counted = few.join(lists, group).select("detection_id", (F.size(close(F.col("others"))) >= min_samples).alias("core"))
+    slim = cut_lineage(points.select(*GROUP, "detection_id", *FEATURES, "members"))
+    return _clustered(slim, eps, min_samples, small).select("detection_id", "group_id")
+
+
+def _clustered(points: DataFrame, eps: float, min_samples: int, small: int, buckets: int = 0) -> DataFrame:
+    """Rows of the written table ``points`` that are in a cluster, with its ``group_id``. Only cores are written again."""
+    own = [c for c in points.columns if c not in (*GROUP, "members")]
+    at = lambda prefix: {f: F.col(prefix + f) for f in FEATURES}
+    close = lambda place: F.filter("others", lambda o: _gap(place, {f: o[f] for f in FEATURES}) <= eps)
+    is_few = F.col("members") <= small
+    few, many = points.where(is_few), points.where(~is_few)
+    lists = few.groupBy(*GROUP).agg(F.first("members").alias("members"), F.collect_list(F.struct(*own)).alias("others"))
+    few_cores = (
+        lists.select("*", F.explode("others").alias("me")).where(F.size(close(at("me."))) >= min_samples)
+        .select(*GROUP, "members", "me.*")
+    )
 
     placed, cells = _cubes(many, eps)
-    sizes = placed.groupBy(*group, *cells).agg(F.count("*").alias("in_cube"))
-    sized = cut_lineage(placed.join(sizes, [*group, *cells]))
+    sizes = placed.groupBy(*GROUP, *cells).agg(F.count("*").alias("in_cube"))
+    sized = cut_lineage(placed.join(sizes, [*GROUP, *cells]))
     dense, thin = F.col("in_cube") >= min_samples, F.col("in_cube") < min_samples
-    other = sized.select(*[F.col(c).alias(f"o_{c}") for c in (*group, *cells, "detection_id", *FEATURES)])
+    other = sized.select(*[F.col(c).alias(f"o_{c}") for c in (*GROUP, *cells, "detection_id", *FEATURES)])
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
         """Points of ``left`` with those of ``right`` (o_ columns) within eps, itself included."""
-        same = [F.col(c) == F.col(f"o_{c}") for c in group] + [F.col(f"n{g}") == F.col(f"o_{g}") for g in cells]
+        same = [F.col(c) == F.col(f"o_{c}") for c in GROUP] + [F.col(f"n{g}") == F.col(f"o_{g}") for g in cells]
         both = _around(left, cells).join(right, same)
-        return both.where(_gap(here, {f: F.col(f"o_{f}") for f in FEATURES}) <= eps)
+        return both.where(_gap(at(""), at("o_")) <= eps)
 
-    near = met(sized.where(thin), other).groupBy("detection_id").agg((F.count("*") >= min_samples).alias("core"))
-    counted = cut_lineage(counted.unionByName(sized.where(dense).select("detection_id", F.lit(True).alias("core"))).unionByName(near))
-    core_ids = counted.where("core").select("detection_id")
-    cores = cut_lineage(slim.join(core_ids, "detection_id", "left_semi"))
+    near = met(sized.where(thin), other).groupBy("detection_id").count().where(F.col("count") >= min_samples)
+    many_cores = sized.where(dense).unionByName(sized.where(thin).join(near, "detection_id", "left_semi"))
+    cores = cut_lineage(few_cores.unionByName(many_cores.select(*points.columns)), GROUP, buckets)
+    core_ids = cores.select("detection_id")
     linked = connected_components(neighbour_edges(cores, eps, small)).withColumnRenamed("node", "detection_id")
     named = cut_lineage(
-        core_ids.join(linked, "detection_id", "left").select("detection_id", F.coalesce("component", "detection_id").alias("group_id"))
+        cores.join(linked, "detection_id", "left")
+        .withColumn("group_id", F.coalesce("component", "detection_id")).drop("component"),
+        GROUP, buckets,
     )
-    rest = slim.join(core_ids, "detection_id", "left_anti")
-    core_lists = (
-        cores.where(F.col("members") <= small).join(named, "detection_id").groupBy(*group)
-        .agg(F.collect_list(F.struct("group_id", *FEATURES)).alias("others"))
+    core_lists = named.where(is_few).groupBy(*GROUP).agg(F.collect_list(F.struct("group_id", *FEATURES)).alias("others"))
+    border = (
+        few.join(core_lists, GROUP)
+        .withColumn("group_id", F.array_min(F.transform(close(at("")), lambda o: o["group_id"])))
+        .drop("others").where("group_id is not null").join(core_ids, "detection_id", "left_anti")
     )
-    border = rest.join(core_lists, group).select(
-        "detection_id", F.array_min(F.transform(close(F.col("others")), lambda o: o["group_id"])).alias("group_id")
-    ).where("group_id is not null")
-    named_cores = other.join(named.withColumnsRenamed({"detection_id": "o_detection_id"}), "o_detection_id")
+    named_cores = other.join(named.select(F.col("detection_id").alias("o_detection_id"), "group_id"), "o_detection_id")
     thin_rest = sized.where(thin).join(core_ids, "detection_id", "left_anti")
-    border_many = met(thin_rest, named_cores).groupBy("detection_id").agg(F.min("group_id").alias("group_id"))
+    joins = met(thin_rest, named_cores).groupBy("detection_id").agg(F.min("group_id").alias("group_id"))
+    border_many = many.join(joins, "detection_id")
     return named.unionByName(border).unionByName(border_many)
 
 
@@ -216,21 +242,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def multi_view_groups(
     detections: DataFrame, eps: float = 1.0, min_samples: int = 2, min_ratio: float = 0.5,
-    small: int = spatial.DENSE_LIMIT,
+    small: int = spatial.DENSE_LIMIT, buckets: int = 0,
 ) -> DataFrame:
     """Groups of like shapes with view names and the largest shape.
 
     With two samples a density cluster is a connected component of the eps graph; with another number see
-    ``density_members``. A cluster of one shape is no group.
+    ``density_members``. A cluster of one shape is no group, and a class with fewer shapes than a core needs has no cluster.
+    With ``buckets`` shapes are dealt by class into so many.
     """
     if min_samples < 1:
         raise ValueError("a cluster has one sample at least")
-    points = standardized(detections)
+    points = _points(detections, max(2, min_samples), buckets)
     if min_samples == 2:
         groups = connected_components(neighbour_edges(points, eps, small)).withColumnRenamed("node", "detection_id")
+        joined = points.join(groups, "detection_id")
     else:
-        groups = density_members(points, eps, min_samples, small).withColumnRenamed("group_id", "component")
-    joined = points.join(groups, "detection_id")
+        joined = _clustered(points, eps, min_samples, small, buckets).withColumnRenamed("group_id", "component")
     biggest = F.struct("area", (-F.col("detection_id")).alias("first")) if dict(points.dtypes)["detection_id"] in (
         "bigint", "int") else F.struct("area", "detection_id")
     summed = joined.groupBy("drawing_id", "class_name", "component").agg(
@@ -254,9 +281,11 @@ def multi_view_groups(
     )
 
 
-def group_members(detections: DataFrame, eps: float = 1.0, small: int = spatial.DENSE_LIMIT) -> DataFrame:
+def group_members(
+    detections: DataFrame, eps: float = 1.0, small: int = spatial.DENSE_LIMIT, buckets: int = 0
+) -> DataFrame:
     """(detection_id, group_id) before the size filter."""
-    found = connected_components(neighbour_edges(standardized(detections), eps, small))
+    found = connected_components(neighbour_edges(_points(detections, buckets=buckets), eps, small))
     return found.select(F.col("node").alias("detection_id"), F.col("component").alias("group_id"))
 
 

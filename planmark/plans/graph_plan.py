@@ -139,7 +139,7 @@ VIEWS = {"sht": SHEETS, "pts": POINTS, "near": NEAR, "reach": REACH, "comp": COM
 
 def _sheets(v: Views) -> DataFrame:
     orders = v.table("orders").select(F.col("o_orderkey").alias("drawing_id"), "o_custkey")
-    return v.detections.join(orders, "drawing_id").withColumn("drawing_id", F.col("o_custkey"))
+    return v.kept.detections.join(orders, "drawing_id").withColumn("drawing_id", F.col("o_custkey"))
 
 
 GROUPS = """SELECT sheet AS drawing_id, class_name, component AS group_id, count(*) AS shapes,
@@ -151,7 +151,7 @@ GROUPS = """SELECT sheet AS drawing_id, class_name, component AS group_id, count
 
 @register("multi_view_groups", with_views(GROUPS, **VIEWS))
 def _(v: Views) -> DataFrame:
-    return tidy(view_groups.multi_view_groups(_sheets(v), eps=0.5))
+    return tidy(view_groups.multi_view_groups(_sheets(v), eps=0.5, buckets=v.kept.buckets))
 
 
 DENSE_VIEWS = {
@@ -167,7 +167,7 @@ DENSE_VIEWS = {
 
 @register("multi_view_groups_dense", with_views(GROUPS, **DENSE_VIEWS))
 def _(v: Views) -> DataFrame:
-    return tidy(view_groups.multi_view_groups(_sheets(v), eps=0.5, min_samples=3))
+    return tidy(view_groups.multi_view_groups(_sheets(v), eps=0.5, min_samples=3, buckets=v.kept.buckets))
 
 
 @register(
@@ -179,4 +179,4 @@ def _(v: Views) -> DataFrame:
 )
 def _(v: Views) -> DataFrame:
     sheets = _sheets(v)
-    return view_groups.primary_view_shape(view_groups.group_members(sheets, eps=0.5), sheets)
+    return view_groups.primary_view_shape(view_groups.group_members(sheets, eps=0.5, buckets=v.kept.buckets), sheets)
